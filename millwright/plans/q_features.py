@@ -18,7 +18,7 @@ S = ["air", "proc", "rpm", "torque", "wear"]
 MILL_SQL = (f"round_even(proc-air, 2) temp_diff, round_even(torque*(rpm*{TWO_PI_OVER_60}), 1) power_w, "
             f"round_even(wear*torque, 1) overstrain, round_even(proc/greatest(air, 1.0), 4) thermal_ratio, "
             f"round_even(torque/greatest(rpm/1000.0, 0.1), 2) torque_per_krpm")
-ENC_SQL = "case upper(tier) when 'L' then 0.0 when 'M' then 1.0 when 'H' then 2.0 else 1.0 end type_encoded"
+ENC_SQL = "cast(case upper(tier) when 'L' then 0.0 when 'M' then 1.0 when 'H' then 2.0 else 1.0 end as double) type_encoded"
 
 
 @register("q_f01_tier_encode", oracle(["tel_raw"], f"select rk, h, {ENC_SQL} from tel_raw"))
