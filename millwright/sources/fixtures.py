@@ -194,7 +194,11 @@ def oracle(views: list[str], body: str, ctes: list[tuple[str, str]] | None = Non
     parts = duckdb_ctes(views) + list(ctes or [])
     if not parts:
         return body
-    return "with " + ",\n".join(f"{n} as ({s})" for n, s in parts) + "\n" + body
+    head = "with " + ",\n".join(f"{n} as ({s})" for n, s in parts)
+    b = body.lstrip()
+    if b[:5].lower() == "with ":
+        return head + ",\n" + b[5:]
+    return head + "\n" + body
 
 
 @lru_cache(maxsize=None)
