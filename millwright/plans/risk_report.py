@@ -12,6 +12,8 @@ stream unchanged (``report_from_clean``).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from millwright.operators import prescribe as R
 from millwright.operators.features import SHORT_MILLING, Milling, milling_features
 from millwright.operators.quality import Cleaner, CleanerModel, drop_exact_duplicates
 from millwright.operators.scoring import (
-    MODEL_OFFSETS, ensemble_averages, health_index, milling_risk, model_probability_map,
+    DEEP_MODELS, MODEL_OFFSETS, health_index, milling_risk, model_probability_exprs,
 )
 
 MILLING_SHORT = ["air", "proc", "rpm", "torque", "wear"]
@@ -30,33 +32,37 @@ def report_from_clean(clean: DataFrame, champion: str = "XGBoost", key: str = "r
                       max_rul: float = 220.0) -> DataFrame:
     feats = milling_features(clean, m)
     scored = milling_risk(feats, m.air, m.proc, m.rpm, m.torque, m.wear, m.tier)
-    scored = model_probability_map(scored)
+    probs = model_probability_exprs(F.col("base_risk"))
     off = dict(MODEL_OFFSETS)[champion]
-    prob = F.element_at(F.col("model_probs"), F.lit(champion))
+    ml = [probs[n] for n, _ in MODEL_OFFSETS if n not in DEEP_MODELS]
+    dl = [probs[n] for n, _ in MODEL_OFFSETS if n in DEEP_MODELS]
     rul = np_round(F.greatest(F.lit(2.0), (F.lit(1.0) - F.col("base_risk") * 0.92) * max_rul), 1)
-    d = scored.withColumns({"failure_prob_pct": prob, "pred_rul": rul})
+    d = scored.withColumns({
+        "failure_prob_pct": probs[champion], "pred_rul": rul,
+        # P8 on the per-model columns, summed in model order
+        "classical_avg_pct": np_round(reduce(lambda a, b: a + b, ml, F.lit(0.0)) / float(len(ml)), 2),
+        "deep_avg_pct": np_round(reduce(lambda a, b: a + b, dl, F.lit(0.0)) / float(len(dl)), 2),
+    })
     d = d.withColumn("health_index", health_index(F.col("failure_prob_pct"), F.col("pred_rul"), max_rul))
     d = d.withColumn("severity", R.severity(F.col("failure_prob_pct"), F.col("health_index"), F.col("pred_rul")))
     fnd = R.milling_findings(m.air, m.proc, m.rpm, m.torque, m.wear, m.tier)
-    d = d.withColumns(fnd)
+    keep = ["n_findings", "diagnostics_text", "n_actions", "actions_text", "spare_parts_text", "tuning_text",
+            "opt_torque", "opt_rpm", "opt_wear", "opt_air"]
+    d = d.withColumns({k: fnd[k] for k in keep})
     # Re-score the counterfactual inputs with the same closed form
     cf = milling_risk(d, "opt_air", m.proc, "opt_rpm", "opt_torque", "opt_wear", m.tier, out_prefix="cf_")
     proj = np_round(F.least(F.lit(99.2), F.greatest(F.lit(0.8), (F.col("cf_base_risk") + F.lit(off)) * 100.0)), 2)
     cf = cf.withColumn("projected_risk_pct", proj)
-    avg_ml, avg_dl = ensemble_averages(F.col("model_probs"))
-    parts = F.when(F.size("spare_parts") == 0, F.array(F.lit(R.PART_DEFAULT))).otherwise(F.col("spare_parts"))
-    actions = F.when(F.size("actions") == 0, R.default_actions(F.col("severity"), F.col("risk_mode"), F.lit("Tool wear [min]"))
-                     ).otherwise(F.col("actions"))
+    actions = F.when(F.col("n_actions") == 0,
+                     R.default_actions_text(F.col("severity"), F.col("risk_mode"), F.lit("Tool wear [min]"))
+                     ).otherwise(F.col("actions_text"))
+    parts = F.when(F.col("spare_parts_text") == "", F.lit(R.PART_DEFAULT)).otherwise(F.col("spare_parts_text"))
     return cf.select(
         col(key), col(m.tier).alias("tier"),
         "failure_prob_pct", F.col("risk_mode").alias("dominant_mode"), "pred_rul", "health_index", "severity",
-        avg_ml.alias("classical_avg_pct"), avg_dl.alias("deep_avg_pct"),
-        F.size("diagnostics").alias("n_findings"),
-        F.concat_ws(" | ", "diagnostics").alias("diagnostics"),
-        F.concat_ws(" | ", R.action_lines(actions)).alias("actions"),
-        F.concat_ws(" | ", parts).alias("spare_parts"),
-        F.concat_ws(" | ", F.transform("tuning", lambda t: F.concat_ws("=", t["sensor"], t["recommended"].cast("string"), t["change"]))).alias("tuning"),
-        "projected_risk_pct",
+        "classical_avg_pct", "deep_avg_pct", "n_findings",
+        F.col("diagnostics_text").alias("diagnostics"), actions.alias("actions"), parts.alias("spare_parts"),
+        F.col("tuning_text").alias("tuning"), "projected_risk_pct",
         np_round(F.col("projected_risk_pct") - F.col("failure_prob_pct"), 2).alias("risk_delta"),
     )
 
