@@ -120,22 +120,26 @@ def _knn_block(bc, k: int):
         for pdf in it:
             if len(pdf) == 0:
                 continue
-            q = np.stack(pdf["__x"].to_numpy()).astype(np.float64)
-            qid = pdf["__id"].to_numpy()
-            d2 = (q * q).sum(1)[:, None] + (block_x * block_x).sum(1)[None, :] - 2.0 * q @ block_x.T
-            dist = np.sqrt(np.maximum(d2, 0.0))
-            dist[qid[:, None] == block_ids[None, :]] = np.inf
+            qall = np.stack(pdf["__x"].to_numpy()).astype(np.float64)
+            qid_all = pdf["__id"].to_numpy()
+            bnorm = (block_x * block_x).sum(1)[None, :]
             kk = min(k, block_x.shape[0])
-            out_id, out_nn, out_d = [], [], []
-            rd = np.round(dist, 9)
-            for i in range(len(qid)):
-                order = np.lexsort((block_ids, rd[i]))[:kk]
-                order = order[np.isfinite(rd[i][order])]
-                out_id.append(np.full(len(order), qid[i]))
-                out_nn.append(block_ids[order])
-                out_d.append(dist[i][order])
-            yield pd.DataFrame({"__id": np.concatenate(out_id), "nn_id": np.concatenate(out_nn),
-                                "dist": np.concatenate(out_d)})
+            step = max(1, (32 << 20) // (8 * max(block_x.shape[0], 1)))  # ≤ 32 MB distance tile
+            for s0 in range(0, len(qid_all), step):
+                q, qid = qall[s0:s0 + step], qid_all[s0:s0 + step]
+                d2 = (q * q).sum(1)[:, None] + bnorm - 2.0 * q @ block_x.T
+                dist = np.sqrt(np.maximum(d2, 0.0))
+                dist[qid[:, None] == block_ids[None, :]] = np.inf
+                rd = np.round(dist, 9)
+                out_id, out_nn, out_d = [], [], []
+                for i in range(len(qid)):
+                    order = np.lexsort((block_ids, rd[i]))[:kk]
+                    order = order[np.isfinite(rd[i][order])]
+                    out_id.append(np.full(len(order), qid[i]))
+                    out_nn.append(block_ids[order])
+                    out_d.append(dist[i][order])
+                yield pd.DataFrame({"__id": np.concatenate(out_id), "nn_id": np.concatenate(out_nn),
+                                    "dist": np.concatenate(out_d)})
     return fn
 
 
