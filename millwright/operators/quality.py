@@ -205,20 +205,20 @@ class Cleaner:
         self.dedup = dedup
 
     def fit(self, df: DataFrame) -> CleanerModel:
+        model, work = self.fit_dedup(df)
+        work.unpersist()
+        return model
+
+    def fit_dedup(self, df: DataFrame) -> tuple[CleanerModel, DataFrame]:
+        """Fit and also return the de-duplicated input, persisted once and shared by every
+        statistics pass and by the caller's ``transform`` (caller unpersists)."""
         tier_col = self.tier_col if (self.tier_col and self.tier_col in df.columns) else None
-        # 0. duplicates
-        if self.dedup:
-            counts = duplicate_counts(df).first().asDict()
-            work = drop_exact_duplicates(df)
-        else:
-            n = df.count()
-            counts = {"initial_rows": n, "cleaned_rows": n, "duplicates_removed": 0}
-            work = df
-        work = work.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            return self._fit_on(work, counts, tier_col)
-        finally:
-            work.unpersist()
+        # 0. duplicates: the raw count is a pruned scan; the distinct rows are materialised once
+        n = df.count()
+        work = (drop_exact_duplicates(df) if self.dedup else df).persist(StorageLevel.MEMORY_AND_DISK)
+        m = work.count() if self.dedup else n
+        counts = {"initial_rows": n, "cleaned_rows": m, "duplicates_removed": n - m}
+        return self._fit_on(work, counts, tier_col), work
 
     def _fit_on(self, work: DataFrame, counts: dict, tier_col: str | None) -> CleanerModel:
         ex = self.exact
@@ -294,8 +294,8 @@ class Cleaner:
 def clean(df: DataFrame, sensors: list[str], tier_col: str | None = "tier", iqr_multiplier: float = 2.2,
           exact: bool = True) -> tuple[DataFrame, CleanerModel]:
     """Reference behaviour: fit on the table, then de-duplicate and transform it."""
-    model = Cleaner(sensors, tier_col, iqr_multiplier, exact).fit(df)
-    return model.transform(drop_exact_duplicates(df)), model
+    model, work = Cleaner(sensors, tier_col, iqr_multiplier, exact).fit_dedup(df)
+    return model.transform(work), model
 
 
 def missing_profile(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -72,8 +72,8 @@ def f06(spark, sf):
 
 def _clean_model(spark, sf):
     raw = fixture(spark, sf, "tel_raw")
-    m = Cleaner(S, "tier").fit(raw)
-    return m.transform(drop_exact_duplicates(raw))
+    m, work = Cleaner(S, "tier").fit_dedup(raw)
+    return m.transform(work)
 
 
 def _f07_sql():

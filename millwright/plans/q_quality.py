@@ -192,8 +192,8 @@ def _cleaned_sql():
 @register("q09_winsorized_table", _cleaned_sql)
 def q09(spark, sf):
     raw = _raw(spark, sf)
-    m = Cleaner(S, "tier").fit(raw)
-    return m.transform(drop_exact_duplicates(raw))
+    m, work = Cleaner(S, "tier").fit_dedup(raw)
+    return m.transform(work)
 
 
 def _after_sql():
@@ -205,8 +205,8 @@ def _after_sql():
 @register("q11_after_moments", _after_sql)
 def q11(spark, sf):
     raw = _raw(spark, sf)
-    m = Cleaner(S, "tier").fit(raw)
-    clean = m.transform(drop_exact_duplicates(raw))
+    m, work = Cleaner(S, "tier").fit_dedup(raw)
+    clean = m.transform(work)
     aggs = [F.struct(F.lit(c).alias("column"), np_round(F.avg(col(c)), 6).alias("mean_after"),
                      np_round(F.stddev_samp(col(c)), 6).alias("std_after")).alias(f"r{i}") for i, c in enumerate(S)]
     return clean.agg(*aggs).select(F.explode(F.array(*[F.col(f"r{i}") for i in range(len(S))])).alias("r")).select("r.*")

@@ -41,7 +41,8 @@ def _p01_sql():
 @register("q_p01_fill_inputs", _p01_sql)
 def p01(spark, sf):
     raw = fixture(spark, sf, "tel_raw")
-    clean = Cleaner(S, "tier").fit(raw).transform(drop_exact_duplicates(raw))
+    m, work = Cleaner(S, "tier").fit_dedup(raw)
+    clean = m.transform(work)
     med = {r["sensor"]: r["median"] for r in operating_ranges(clean, S).collect()}
     return fill_inputs(raw, med, "tier").select("rk", "h", "tier", *S)
 

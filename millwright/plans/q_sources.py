@@ -56,7 +56,8 @@ def s04(spark, sf):
 @register("q_s05_export_cleaned", lambda: oracle(["tel_raw"], "select * from cl", clean_ctes("tel_raw", MILLING_SHORT, ["rk", "h"])))
 def s05(spark, sf):
     raw = fixture(spark, sf, "tel_raw")
-    clean = Cleaner(MILLING_SHORT, "tier").fit(raw).transform(drop_exact_duplicates(raw))
+    m, work = Cleaner(MILLING_SHORT, "tier").fit_dedup(raw)
+    clean = m.transform(work)
     csv = IO.write_csv(clean, scratch_path(spark, "s05-csv"))
     IO.write_parquet(clean, scratch_path(spark, "s05-parquet"))
     return IO.read_csv(spark, csv, clean.schema)

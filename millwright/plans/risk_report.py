@@ -71,6 +71,8 @@ def milling_risk_report(raw: DataFrame, champion: str = "XGBoost", key: str = "r
                         model: CleanerModel | None = None) -> DataFrame:
     """Entry point over raw telemetry with short column names (``tel_raw`` shape)."""
     if model is None:
-        model = Cleaner(MILLING_SHORT, "tier", exact=exact).fit(raw)
-    clean = model.transform(drop_exact_duplicates(raw))
+        model, work = Cleaner(MILLING_SHORT, "tier", exact=exact).fit_dedup(raw)
+        clean = model.transform(work)
+    else:
+        clean = model.transform(drop_exact_duplicates(raw))
     return report_from_clean(clean, champion, key)

@@ -18,4 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None
     if name not in TABLES:
         raise ValueError(f"unknown table: {name}")
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    return rebalance_small_scan(df)
+
+
+def rebalance_small_scan(df: DataFrame) -> DataFrame:
+    """A file written as one row group cannot be split, so its scan is a single task and every
+    per-row expression above it runs serially.  When a scan yields fewer partitions than the
+    session's parallelism, spread it round-robin once; large inputs (many splits) are untouched."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    n = df.rdd.getNumPartitions()
+    return df.repartition(par) if n < par else df
