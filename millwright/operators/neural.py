@@ -1,0 +1,381 @@
+"""M6/M7 (+ M11 histories): data-parallel training of the 1-D convolution net and the BiLSTM.
+
+Spark has no convolutional or recurrent learner, so the networks are trained with local SGD:
+each epoch is one Spark job in which every partition of the (hash-partitioned, persisted)
+training table runs mini-batch AdamW over its own rows in NumPy, one Arrow batch at a time, starting from the broadcast
+weights; the replicas' weights and optimizer moments are then averaged, weighted by rows, with a
+distributed ``posexplode`` + ``groupBy`` (the reduced vector is the model size, not the data
+size).  Validation loss is one more job per epoch; scoring is an Arrow-batched pandas UDF.
+
+Networks (forward and backward written out for these two shapes only):
+  1-D CNN : conv(1→16, k3, pad1) → ReLU → conv(16→32, k3, pad1) → ReLU → flatten → dense 32 → ReLU → dense 1
+  BiLSTM  : LSTM(1→24) both directions over the ordered features → mean over steps → LayerNorm(48)
+            → dense 24 → ReLU → dense 1
+Loss is BCE with logits and positive weight min(max(neg/pos, 1), 4.5); inputs are standardized
+with the training mean and population std.  Batch normalization and dropout of the reference
+networks are left out (per-replica batch statistics have no data-parallel equivalent here).
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+import numpy as np
+import pandas as pd
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+
+from millwright.functions.exprs import col
+
+# --- fixed values: architecture sizes, optimizer and loss constants of the reference networks ---
+CONV1, CONV2, CNN_DENSE = 16, 32, 32
+LSTM_HIDDEN, LSTM_DENSE = 24, 24
+WEIGHT_DECAY = 1e-4
+MAX_POS_WEIGHT = 4.5
+PROB_CLIP = 1e-5
+ADAM_B1, ADAM_B2, ADAM_EPS = 0.9, 0.999, 1e-8
+LN_EPS = 1e-5
+
+
+@dataclass
+class NeuralConfig:
+    arch: str                 # "1D-CNN" or "BiLSTM"
+    epochs: int = 16
+    batch_size: int = 128
+    lr: float = 0.0035
+    seed: int = 42
+
+
+@dataclass
+class NeuralModel:
+    arch: str
+    features: list[str]
+    mean: np.ndarray
+    std: np.ndarray
+    params: dict[str, np.ndarray]
+    pos_weight: float
+    train_loss: list[float] = field(default_factory=list)
+    val_loss: list[float] = field(default_factory=list)
+
+
+# ------------------------------------------------------------------ parameters
+def init_params(arch: str, d: int, seed: int) -> dict[str, np.ndarray]:
+    """Uniform(±1/√fan_in) initialisation, LayerNorm at identity."""
+    rng = np.random.default_rng(seed)
+
+    def u(shape, fan_in):
+        b = 1.0 / np.sqrt(fan_in)
+        return rng.uniform(-b, b, size=shape)
+
+    if arch == "1D-CNN":
+        return {"w1": u((CONV1, 1, 3), 3), "b1": u((CONV1,), 3),
+                "w2": u((CONV2, CONV1, 3), CONV1 * 3), "b2": u((CONV2,), CONV1 * 3),
+                "w3": u((CONV2 * d, CNN_DENSE), CONV2 * d), "b3": u((CNN_DENSE,), CONV2 * d),
+                "w4": u((CNN_DENSE, 1), CNN_DENSE), "b4": u((1,), CNN_DENSE)}
+    if arch == "BiLSTM":
+        h = LSTM_HIDDEN
+        p = {}
+        for s in ("f", "r"):
+            p[f"wih_{s}"] = u((4 * h, 1), h)
+            p[f"whh_{s}"] = u((4 * h, h), h)
+            p[f"b_{s}"] = u((4 * h,), h) + u((4 * h,), h)
+        p.update({"ln_g": np.ones(2 * h), "ln_b": np.zeros(2 * h),
+                  "w3": u((2 * h, LSTM_DENSE), 2 * h), "b3": u((LSTM_DENSE,), 2 * h),
+                  "w4": u((LSTM_DENSE, 1), LSTM_DENSE), "b4": u((1,), LSTM_DENSE)})
+        return p
+    raise ValueError(f"unknown architecture: {arch}")
+
+
+def flatten(p: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([p[k].ravel() for k in sorted(p)])
+
+
+def unflatten(vec: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    out, i = {}, 0
+    for k in sorted(like):
+        n = like[k].size
+        out[k] = vec[i:i + n].reshape(like[k].shape)
+        i += n
+    return out
+
+
+# ------------------------------------------------------------------ 1-D CNN
+def _conv_fwd(x, w, b):
+    """x (B,C,L), w (O,C,3) → (B,O,L) with zero padding 1; returns the im2col patches too."""
+    bsz, c, ln = x.shape
+    xp = np.pad(x, ((0, 0), (0, 0), (1, 1)))
+    patches = np.stack([xp[:, :, k:k + ln] for k in range(3)], axis=-1)          # (B,C,L,3)
+    patches = patches.transpose(0, 2, 1, 3).reshape(bsz, ln, c * 3)              # (B,L,C*3)
+    out = patches @ w.reshape(w.shape[0], -1).T + b                              # (B,L,O)
+    return out.transpose(0, 2, 1), patches
+
+
+def _conv_bwd(dout, patches, w, c, ln):
+    dt = dout.transpose(0, 2, 1)                                                 # (B,L,O)
+    dw = np.einsum("blo,blk->ok", dt, patches).reshape(w.shape)
+    db = dt.sum(axis=(0, 1))
+    dp = (dt @ w.reshape(w.shape[0], -1)).reshape(dt.shape[0], ln, c, 3)         # (B,L,C,3)
+    dxp = np.zeros((dt.shape[0], c, ln + 2))
+    for k in range(3):
+        dxp[:, :, k:k + ln] += dp[..., k].transpose(0, 2, 1)
+    return dxp[:, :, 1:-1], dw, db
+
+
+def cnn_forward(p, x, cache=False):
+    z1, p1 = _conv_fwd(x[:, None, :], p["w1"], p["b1"])
+    a1 = np.maximum(z1, 0.0)
+    z2, p2 = _conv_fwd(a1, p["w2"], p["b2"])
+    a2 = np.maximum(z2, 0.0)
+    flat = a2.reshape(a2.shape[0], -1)
+    z3 = flat @ p["w3"] + p["b3"]
+    a3 = np.maximum(z3, 0.0)
+    logit = (a3 @ p["w4"] + p["b4"])[:, 0]
+    return (logit, (x, z1, p1, a1, z2, p2, a2, flat, z3, a3)) if cache else logit
+
+
+def cnn_backward(p, cache, dlogit):
+    x, z1, p1, a1, z2, p2, a2, flat, z3, a3 = cache
+    g = {}
+    d4 = dlogit[:, None]
+    g["w4"] = a3.T @ d4
+    g["b4"] = d4.sum(axis=0)
+    dz3 = (d4 @ p["w4"].T) * (z3 > 0)
+    g["w3"] = flat.T @ dz3
+    g["b3"] = dz3.sum(axis=0)
+    dz2 = (dz3 @ p["w3"].T).reshape(a2.shape) * (z2 > 0)
+    da1, g["w2"], g["b2"] = _conv_bwd(dz2, p2, p["w2"], CONV1, x.shape[1])
+    dz1 = da1 * (z1 > 0)
+    _, g["w1"], g["b1"] = _conv_bwd(dz1, p1, p["w1"], 1, x.shape[1])
+    return g
+
+
+# ------------------------------------------------------------------ BiLSTM
+def _sig(z):
+    return 0.5 * (1.0 + np.tanh(0.5 * z))
+
+
+def _lstm_dir(x, wih, whh, b, reverse):
+    """x (B,L) one input feature per step; returns hidden states (B,L,H) in sequence order + cache."""
+    bsz, ln = x.shape
+    h = whh.shape[1]
+    hs, cs, gates = np.zeros((bsz, ln, h)), np.zeros((bsz, ln, h)), []
+    hp, cp = np.zeros((bsz, h)), np.zeros((bsz, h))
+    steps = range(ln - 1, -1, -1) if reverse else range(ln)
+    for t in steps:
+        z = x[:, t:t + 1] @ wih.T + hp @ whh.T + b
+        i, f, gg, o = _sig(z[:, :h]), _sig(z[:, h:2 * h]), np.tanh(z[:, 2 * h:3 * h]), _sig(z[:, 3 * h:])
+        c = f * cp + i * gg
+        hn = o * np.tanh(c)
+        gates.append((t, i, f, gg, o, cp, hp))
+        hs[:, t], cs[:, t] = hn, c
+        hp, cp = hn, c
+    return hs, (gates, cs)
+
+
+def _lstm_dir_bwd(x, wih, whh, cache, dhs):
+    gates, cs = cache
+    h = whh.shape[1]
+    dwih, dwhh, db = np.zeros_like(wih), np.zeros_like(whh), np.zeros(4 * h)
+    dh_next, dc_next = np.zeros((x.shape[0], h)), np.zeros((x.shape[0], h))
+    for t, i, f, gg, o, cp, hp in reversed(gates):
+        dh = dhs[:, t] + dh_next
+        c = cs[:, t]
+        tc = np.tanh(c)
+        do = dh * tc
+        dc = dh * o * (1 - tc * tc) + dc_next
+        di, df, dg = dc * gg, dc * cp, dc * i
+        dz = np.concatenate([di * i * (1 - i), df * f * (1 - f), dg * (1 - gg * gg), do * o * (1 - o)], axis=1)
+        dwih += dz.T @ x[:, t:t + 1]
+        dwhh += dz.T @ hp
+        db += dz.sum(axis=0)
+        dh_next = dz @ whh
+        dc_next = dc * f
+    return dwih, dwhh, db
+
+
+def lstm_forward(p, x, cache=False):
+    hf, cf = _lstm_dir(x, p["wih_f"], p["whh_f"], p["b_f"], False)
+    hr, cr = _lstm_dir(x, p["wih_r"], p["whh_r"], p["b_r"], True)
+    pooled = np.concatenate([hf.mean(axis=1), hr.mean(axis=1)], axis=1)
+    mu = pooled.mean(axis=1, keepdims=True)
+    var = pooled.var(axis=1, keepdims=True)
+    xhat = (pooled - mu) / np.sqrt(var + LN_EPS)
+    ln = xhat * p["ln_g"] + p["ln_b"]
+    z3 = ln @ p["w3"] + p["b3"]
+    a3 = np.maximum(z3, 0.0)
+    logit = (a3 @ p["w4"] + p["b4"])[:, 0]
+    return (logit, (x, cf, cr, xhat, var, ln, z3, a3)) if cache else logit
+
+
+def lstm_backward(p, cache, dlogit):
+    x, cf, cr, xhat, var, ln, z3, a3 = cache
+    g = {}
+    d4 = dlogit[:, None]
+    g["w4"] = a3.T @ d4
+    g["b4"] = d4.sum(axis=0)
+    dz3 = (d4 @ p["w4"].T) * (z3 > 0)
+    g["w3"] = ln.T @ dz3
+    g["b3"] = dz3.sum(axis=0)
+    dln = dz3 @ p["w3"].T
+    g["ln_g"] = (dln * xhat).sum(axis=0)
+    g["ln_b"] = dln.sum(axis=0)
+    dxh = dln * p["ln_g"]
+    dpool = (dxh - dxh.mean(axis=1, keepdims=True) - xhat * (dxh * xhat).mean(axis=1, keepdims=True)) / np.sqrt(var + LN_EPS)
+    h = LSTM_HIDDEN
+    ln_steps = x.shape[1]
+    for s, sl, c in (("f", slice(0, h), cf), ("r", slice(h, 2 * h), cr)):
+        dhs = np.repeat((dpool[:, sl] / ln_steps)[:, None, :], ln_steps, axis=1)
+        g[f"wih_{s}"], g[f"whh_{s}"], g[f"b_{s}"] = _lstm_dir_bwd(x, p[f"wih_{s}"], p[f"whh_{s}"], c, dhs)
+    return g
+
+
+NETS = {"1D-CNN": (cnn_forward, cnn_backward), "BiLSTM": (lstm_forward, lstm_backward)}
+
+
+# ------------------------------------------------------------------ loss / optimizer
+def bce_with_logits(logit: np.ndarray, y: np.ndarray, pos_weight: float) -> tuple[float, np.ndarray]:
+    """Mean weighted BCE and its gradient w.r.t. the logits."""
+    loss = pos_weight * y * np.logaddexp(0.0, -logit) + (1.0 - y) * np.logaddexp(0.0, logit)
+    s = _sig(logit)
+    grad = (pos_weight * y * (s - 1.0) + (1.0 - y) * s) / len(y)
+    return float(loss.mean()), grad
+
+
+def adamw_step(p, g, m, v, t, lr):
+    for k in p:
+        p[k] = p[k] * (1.0 - lr * WEIGHT_DECAY)
+        m[k] = ADAM_B1 * m[k] + (1 - ADAM_B1) * g[k]
+        v[k] = ADAM_B2 * v[k] + (1 - ADAM_B2) * g[k] * g[k]
+        mh = m[k] / (1 - ADAM_B1 ** t)
+        vh = v[k] / (1 - ADAM_B2 ** t)
+        p[k] = p[k] - lr * mh / (np.sqrt(vh) + ADAM_EPS)
+
+
+def local_epoch(arch, p, m, v, t0, x, y, pos_weight, lr, batch, rng):
+    """One pass of mini-batch AdamW over a replica's rows; returns (sum of batch losses, batches, steps)."""
+    fwd, bwd = NETS[arch]
+    order = rng.permutation(len(y))
+    tot, nb, t = 0.0, 0, t0
+    for s in range(0, len(y), batch):
+        idx = order[s:s + batch]
+        logit, cache = fwd(p, x[idx], cache=True)
+        loss, dl = bce_with_logits(logit, y[idx], pos_weight)
+        t += 1
+        adamw_step(p, bwd(p, cache, dl), m, v, t, lr)
+        tot += loss
+        nb += 1
+    return tot, nb, t
+
+
+# ------------------------------------------------------------------ Spark driver
+def _standardize(x: np.ndarray, mean: np.ndarray, std: np.ndarray) -> np.ndarray:
+    return (x - mean) / np.where(std > 0, std, 1.0)
+
+
+def train(train_df: DataFrame, features: list[str], label: str, key: str, cfg: NeuralConfig,
+          val_df: DataFrame | None = None) -> NeuralModel:
+    spark = train_df.sparkSession
+    sc = spark.sparkContext
+    d = len(features)
+    xs = [F.coalesce(col(c).cast("double"), F.lit(0.0)) for c in features]
+    # one pass: scaler moments (population std) and class counts
+    st = train_df.agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)],
+                      *[F.stddev_pop(x).alias(f"s{i}") for i, x in enumerate(xs)],
+                      F.count_if(col(label) == 1).alias("pos"), F.count(F.lit(1)).alias("n")).first()
+    mean = np.array([st[f"m{i}"] or 0.0 for i in range(d)])
+    std = np.array([st[f"s{i}"] or 0.0 for i in range(d)])
+    n_pos = max(float(st["pos"]), 1.0)
+    n_neg = max(float(st["n"] - st["pos"]), 1.0)
+    pos_weight = min(max(n_neg / n_pos, 1.0), MAX_POS_WEIGHT)
+
+    replicas = sc.defaultParallelism
+    data = (train_df.select(col(key).cast("string").alias("k"), F.array(*xs).alias("x"), col(label).cast("double").alias("y"))
+            .repartition(replicas, "k").sortWithinPartitions("k").persist(StorageLevel.MEMORY_AND_DISK))
+    val = None
+    if val_df is not None:
+        val = val_df.select(F.array(*xs).alias("x"), col(label).cast("double").alias("y")).persist(StorageLevel.MEMORY_AND_DISK)
+
+    p = init_params(cfg.arch, d, cfg.seed)
+    zeros = {k: np.zeros_like(a) for k, a in p.items()}
+    state = np.concatenate([flatten(p), flatten(zeros), flatten(zeros)])
+    size = state.size // 3
+    t_glob = 0
+    model = NeuralModel(cfg.arch, features, mean, std, p, pos_weight)
+    for epoch in range(cfg.epochs):
+        bc = sc.broadcast((state, t_glob))
+
+        def fn(it, epoch=epoch, bc=bc):
+            vec, t0 = bc.value
+            pp, mm, vv = (unflatten(vec[i * size:(i + 1) * size], p) for i in range(3))
+            pp, mm, vv = ({k: a.copy() for k, a in z.items()} for z in (pp, mm, vv))
+            n = tot = nb = 0
+            t = t0
+            rng = None
+            for pdf in it:   # Arrow batches stream through; the partition is never held whole
+                if len(pdf) == 0:
+                    continue
+                if rng is None:
+                    rng = np.random.default_rng([cfg.seed, epoch, int(pdf["pid"].iloc[0])])
+                x = _standardize(np.stack(pdf["x"].to_numpy()), mean, std)
+                y = pdf["y"].to_numpy(dtype=np.float64)
+                l, b, t = local_epoch(cfg.arch, pp, mm, vv, t, x, y, pos_weight, cfg.lr, cfg.batch_size, rng)
+                n, tot, nb = n + len(y), tot + l, nb + b
+            if n:
+                out = np.concatenate([flatten(pp), flatten(mm), flatten(vv)])
+                yield pd.DataFrame({"n": [n], "loss_sum": [tot], "batches": [nb], "steps": [t - t0], "vec": [out]})
+
+        reps = data.withColumn("pid", F.spark_partition_id()).mapInPandas(
+            fn, "n long, loss_sum double, batches long, steps long, vec array<double>").persist(StorageLevel.MEMORY_AND_DISK)
+        agg = (reps.select("n", F.posexplode("vec").alias("pos", "w")).groupBy("pos")
+               .agg((F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("w")).orderBy("pos"))
+        state = np.array([r["w"] for r in agg.collect()])
+        summ = reps.agg(F.sum("loss_sum").alias("l"), F.sum("batches").alias("b"), F.max("steps").alias("s")).first()
+        reps.unpersist()
+        bc.unpersist()
+        t_glob += int(summ["s"] or 0)
+        model.train_loss.append(round(float(summ["l"]) / max(int(summ["b"]), 1), 4))
+        model.params = unflatten(state[:size], p)
+        if val is not None:
+            model.val_loss.append(round(validation_loss(model, val), 4))
+    data.unpersist()
+    if val is not None:
+        val.unpersist()
+    return model
+
+
+def _logits(model: NeuralModel, x: np.ndarray) -> np.ndarray:
+    fwd, _ = NETS[model.arch]
+    return fwd(model.params, _standardize(x, model.mean, model.std))
+
+
+def validation_loss(model: NeuralModel, val: DataFrame) -> float:
+    """Weighted BCE over the whole validation table (per-batch sums, one aggregate)."""
+    bc = val.sparkSession.sparkContext.broadcast(model)
+
+    def fn(it):
+        m = bc.value
+        for pdf in it:
+            if len(pdf) == 0:
+                continue
+            x = np.stack(pdf["x"].to_numpy())
+            y = pdf["y"].to_numpy(dtype=np.float64)
+            loss, _ = bce_with_logits(_logits(m, x), y, m.pos_weight)
+            yield pd.DataFrame({"s": [loss * len(y)], "n": [len(y)]})
+
+    r = val.mapInPandas(fn, "s double, n long").agg((F.sum("s") / F.sum("n")).alias("l")).first()
+    return float(r["l"] or 0.0)
+
+
+def score(model: NeuralModel, df: DataFrame, out: str = "score") -> DataFrame:
+    """P2 for the neural models: clipped sigmoid of the logit, in Arrow batches, other columns kept."""
+    bc = df.sparkSession.sparkContext.broadcast(model)
+
+    @pandas_udf("double")
+    def prob(xs: pd.Series) -> pd.Series:
+        m = bc.value
+        x = np.stack(xs.to_numpy()) if len(xs) else np.zeros((0, len(m.features)))
+        return pd.Series(np.clip(_sig(_logits(m, x)), PROB_CLIP, 1.0 - PROB_CLIP))
+
+    return df.withColumn(out, prob(F.array(*[F.coalesce(col(c).cast("double"), F.lit(0.0)) for c in model.features])))
