@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millwright.functions.exprs import col, np_round
+from millwright.operators.quantiles import exact_quantiles
 
 # --- fixed values: display names of engineered features ---
 FEATURE_LABELS = {
@@ -127,12 +128,17 @@ def engineer(df: DataFrame, dataset_key: str, raw_cols: list[str], m: Milling =
 
 
 def operating_ranges(df: DataFrame, sensors: list[str], exact: bool = True) -> DataFrame:
-    """per-sensor min/max/median/mean/std/q01/q99 (4 dp) and slider step, one aggregate + unpivot."""
-    ps = F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99))
+    """per-sensor min/max/median/mean/std/q01/q99 (4 dp) and slider step, one aggregate + unpivot.
+
+    Exact percentiles come from range refinement (``quantiles``) and enter as literals."""
+    probs = [0.01, 0.5, 0.99]
+    ps = F.array(*[F.lit(p) for p in probs])
+    qx = exact_quantiles(df, {c: col(c) for c in sensors}, probs)[()] if exact else {}
     aggs = []
     for i, c in enumerate(sensors):
         v = col(c)
-        q = F.percentile(v, ps) if exact else F.percentile_approx(v, ps, 100_000)
+        q = (F.array(*[F.lit(x).cast("double") for x in qx[c]]) if exact
+             else F.percentile_approx(v, ps, 100_000))
         aggs.append(F.struct(
             F.lit(c).alias("sensor"), F.lit(i).alias("position"),
             F.min(v).cast("double").alias("mn"), F.max(v).cast("double").alias("mx"),

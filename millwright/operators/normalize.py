@@ -103,8 +103,12 @@ def synthesize_target(df: DataFrame, quantile: float = 0.94, exact: bool = True)
     if not zs:
         return F.lit(0)
     zmax = F.greatest(*zs) if len(zs) > 1 else zs[0]
-    pct = F.percentile(zmax, F.lit(quantile)) if exact else F.percentile_approx(zmax, F.lit(quantile), 100_000)
-    thr = df.agg(pct.alias("t")).first()["t"]
+    if exact:
+        from millwright.operators.quantiles import exact_quantiles
+
+        thr = exact_quantiles(df, {"z": zmax}, [quantile])[()]["z"][0]
+    else:
+        thr = df.agg(F.percentile_approx(zmax, F.lit(quantile), 100_000).alias("t")).first()["t"]
     if thr is None:
         return F.lit(0)
     return F.coalesce((zmax >= F.lit(thr)).cast("int"), F.lit(0))

@@ -5,9 +5,9 @@ of sensor columns:
 
   0. duplicate count (one grouped count over all columns, map-side combined),
   1. global statistics of the de-duplicated table (missing counts, mean, sample
-     std, median, tier mode) — one row,
-  2. per-tier medians after the tier fill — one row per tier,
-  3. quartiles of the imputed values — one row,
+     std, tier mode) — one row; exact medians by range refinement (``quantiles``),
+  2. per-tier medians after the tier fill — range refinement grouped by tier,
+  3. quartiles of the imputed values — range refinement,
   4. audit counts (Tukey, z) and after-cleaning moments — one row.
 
 Everything fitted is a literal, so ``CleanerModel.transform`` is a single
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millwright.functions.exprs import clip, col, lower_name_rounds_to_int, np_round
+from millwright.operators.quantiles import exact_quantiles
 
 MAX_LITERAL_TIERS = 10_000
 
@@ -85,7 +86,7 @@ class CleanerModel:
                 m = F.create_map(
                     *[x for t, meds in sorted(self.tier_medians.items()) for x in (F.lit(t), F.lit(meds.get(c)).cast("double"))]
                 )
-                tier_med = F.element_at(m, tier)
+                tier_med = F.try_element_at(m, tier)
                 out[c] = F.coalesce(raw, tier_med, F.lit(self.medians[c]))
             elif tier is not None and self.tier_table is not None:
                 out[c] = F.coalesce(raw, F.col(f"`__tm_{c}`"), F.lit(self.medians[c]))
@@ -230,17 +231,21 @@ class Cleaner:
                 F.count_if(v.isNull()).alias(f"m{i}"),
                 F.avg(v).alias(f"a{i}"),
                 F.stddev_samp(v).alias(f"s{i}"),
-                _median(v, ex).alias(f"q{i}"),
-            ]
+            ] + ([F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")] if ex
+                 else [_median(v, ex).alias(f"q{i}")])
         if tier_col:
             aggs += [F.count_if(col(tier_col).isNull()).alias("tier_missing"), F.mode(col(tier_col), True).alias("tier_mode")]
         g = work.agg(*aggs).first()
+        # exact medians by range refinement (no single-task value buffer)
+        qg = exact_quantiles(work, {c: numeric_cast(c) for c in self.sensors}, [0.5],
+                             stats={c: (g[f"n{i}"], g[f"lo{i}"], g[f"hi{i}"]) for i, c in enumerate(self.sensors)})[()] if ex else {}
         before, medians = {}, {}
         for i, c in enumerate(self.sensors):
             mean = g[f"a{i}"]
             before[c] = {"missing": g[f"m{i}"], "mean": mean if mean is not None else 0.0,
                          "std": g[f"s{i}"] if mean is not None else 1.0}
-            medians[c] = float(g[f"q{i}"]) if g[f"q{i}"] is not None else 0.0
+            med = qg[c][0] if ex else g[f"q{i}"]
+            medians[c] = float(med) if med is not None else 0.0
         counts = dict(counts)
         counts["tier_missing"] = int(g["tier_missing"]) if tier_col else 0
         tier_fill = (g["tier_mode"] if (tier_col and g["tier_mode"] is not None) else "M")
@@ -249,19 +254,32 @@ class Cleaner:
 
         # 2. per-tier medians after the tier fill
         if tier_col:
-            tier_tab = work.groupBy(model.tier_expr().alias("tier")).agg(
-                *[_median(numeric_cast(c), ex).alias(c) for c in self.sensors]
-            )
-            n_tiers = tier_tab.count()
-            if n_tiers <= MAX_LITERAL_TIERS:
-                for r in tier_tab.collect():
-                    model.tier_medians[r["tier"]] = {c: r[c] for c in self.sensors}
+            tw = work.withColumn("__tier", model.tier_expr())
+            # exact: tiers come out of the refinement's first pass (a tier with no sensor value
+            # at all has no median either way); too many tiers → per-tier table below
+            qt = (exact_quantiles(tw, {c: numeric_cast(c) for c in self.sensors}, [0.5], groups=["__tier"],
+                                  max_pairs=MAX_LITERAL_TIERS * len(self.sensors)) if ex else None)
+            if qt is not None:
+                for (t,), q in qt.items():
+                    model.tier_medians[t] = {c: q[c][0] for c in self.sensors}
             else:
-                model.tier_table = tier_tab.persist(StorageLevel.MEMORY_AND_DISK)
+                tier_tab = tw.groupBy(F.col("__tier").alias("tier")).agg(
+                    *[_median(numeric_cast(c), ex).alias(c) for c in self.sensors]
+                )
+                n_tiers = tier_tab.count()
+                if n_tiers <= MAX_LITERAL_TIERS:
+                    for r in tier_tab.collect():
+                        model.tier_medians[r["tier"]] = {c: r[c] for c in self.sensors}
+                else:
+                    model.tier_table = tier_tab.persist(StorageLevel.MEMORY_AND_DISK)
 
         # 3. quartiles of the imputed values
         imputed = model.impute(work)
-        qs = imputed.agg(*[_quartiles(col(c), ex).alias(f"q{i}") for i, c in enumerate(self.sensors)]).first()
+        if ex:
+            qx = exact_quantiles(imputed, {c: col(c) for c in self.sensors}, [0.25, 0.75])[()]
+            qs = {f"q{i}": (qx[c] if qx[c][0] is not None else None) for i, c in enumerate(self.sensors)}
+        else:
+            qs = imputed.agg(*[_quartiles(col(c), ex).alias(f"q{i}") for i, c in enumerate(self.sensors)]).first()
         for i, c in enumerate(self.sensors):
             q = qs[f"q{i}"]
             q25, q75 = (float(q[0]), float(q[1])) if q is not None else (float("nan"), float("nan"))

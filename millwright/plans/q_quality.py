@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millwright.functions.exprs import col, np_round
+from millwright.operators.quantiles import exact_quantiles
 from millwright.operators.quality import Cleaner, drop_exact_duplicates, duplicate_counts, missing_profile, numeric_cast
 from millwright.plans.oracles import (
     TWO_PI_OVER_60, audit_select, clean_ctes, oracle, prob_expr, q, risk_ctes,
@@ -136,9 +137,10 @@ def _moments_sql():
 @register("q05_valid_moments", _moments_sql)
 def q05(spark, sf):
     d = drop_exact_duplicates(_raw(spark, sf))
+    med = exact_quantiles(d, {c: col(c) for c in S}, [0.5])[()]
     aggs = [F.struct(F.lit(c).alias("column"), np_round(F.avg(col(c)), 6).alias("mean"),
                      np_round(F.stddev_samp(col(c)), 6).alias("std"),
-                     np_round(F.percentile(col(c), F.lit(0.5)), 6).alias("median")).alias(f"r{i}") for i, c in enumerate(S)]
+                     np_round(F.lit(med[c][0]).cast("double"), 6).alias("median")).alias(f"r{i}") for i, c in enumerate(S)]
     return d.agg(*aggs).select(F.explode(F.array(*[F.col(f"r{i}") for i in range(len(S))])).alias("r")).select("r.*")
 
 
@@ -156,9 +158,11 @@ def q06(spark, sf):
     fill = d.agg(F.coalesce(F.mode("tier", True), F.lit("M")).alias("m"))
     # tier fill is a one-row literal; per-tier medians in one grouped aggregate for all sensors
     t = d.crossJoin(F.broadcast(fill)).withColumn("tier", F.coalesce("tier", "m"))
-    g = t.groupBy("tier").agg(*[F.percentile(col(c), F.lit(0.5)).alias(f"m{i}") for i, c in enumerate(S)])
-    return g.select("tier", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), np_round(F.col(f"m{i}"), 6).alias("median"))
-                                                 for i, c in enumerate(S)])).alias("r")).select("tier", "r.*")
+    # exact per-tier medians by range refinement (no per-tier value buffer in one task)
+    med = exact_quantiles(t, {c: col(c) for c in S}, [0.5], groups=["tier"])
+    rows = [(k[0], c, v[c][0]) for k, v in med.items() for c in S]
+    g = spark.createDataFrame(rows, "tier string, column string, m double")
+    return g.select("tier", "column", np_round(F.col("m"), 6).alias("median"))
 
 
 # ---------------------------------------------------------------- Q7, Q8, Q9/Q10, Q11, Q12, Q13
