@@ -259,9 +259,17 @@ class Cleaner:
             # at all has no median either way); too many tiers → per-tier table below
             qt = (exact_quantiles(tw, {c: numeric_cast(c) for c in self.sensors}, [0.5], groups=["__tier"],
                                   max_pairs=MAX_LITERAL_TIERS * len(self.sensors)) if ex else None)
+            big = None
+            if qt is None and ex:
+                # many tiers: same refinement, result kept as a joined per-tier table
+                big = exact_quantiles(tw, {c: numeric_cast(c) for c in self.sensors}, [0.5], groups=["__tier"])
             if qt is not None:
                 for (t,), q in qt.items():
                     model.tier_medians[t] = {c: q[c][0] for c in self.sensors}
+            elif big is not None:
+                rows = [(t, *[q[c][0] for c in self.sensors]) for (t,), q in big.items()]
+                schema = ", ".join([f"tier {tw.schema['__tier'].dataType.simpleString()}"] + [f"`{c}` double" for c in self.sensors])
+                model.tier_table = work.sparkSession.createDataFrame(rows, schema)
             else:
                 tier_tab = tw.groupBy(F.col("__tier").alias("tier")).agg(
                     *[_median(numeric_cast(c), ex).alias(c) for c in self.sensors]

@@ -77,3 +77,23 @@ def test_winsorized_within_fences_and_idempotent_nulls(spark):
 def test_duplicate_counts(spark):
     r = duplicate_counts(_table(spark)).first()
     assert (r["initial_rows"], r["cleaned_rows"], r["duplicates_removed"]) == (8, 7, 1)
+
+
+def test_many_tier_table_path_equals_literal_path(spark, monkeypatch):
+    """Above the literal-tier bound the per-tier medians are a joined table; results are unchanged."""
+    from pyspark.sql import functions as F
+
+    from millwright.operators import quality as QL
+
+    d = spark.range(3000).select(
+        F.col("id").cast("string").alias("rk"),
+        F.when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.element_at(F.array(F.lit("L"), F.lit("M"), F.lit("H")), (F.col("id") % 3 + 1).cast("int"))).alias("tier"),
+        F.when(F.col("id") % 5 == 0, F.lit(None)).otherwise(F.round(F.rand(3) * 100, 1)).alias("x"),
+        F.when(F.col("id") % 11 == 0, F.lit(None)).otherwise(F.round(F.randn(4) * 10 + 50, 2)).alias("y"))
+    lit_df, m1 = QL.clean(d, ["x", "y"], "tier")
+    monkeypatch.setattr(QL, "MAX_LITERAL_TIERS", 1)
+    tab_df, m2 = QL.clean(d, ["x", "y"], "tier")
+    assert m2.tier_table is not None and m1.tier_table is None
+    a = sorted(tuple(r) for r in lit_df.select("rk", "tier", "x", "y").collect())
+    b = sorted(tuple(r) for r in tab_df.select("rk", "tier", "x", "y").collect())
+    assert a == b
