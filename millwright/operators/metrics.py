@@ -67,7 +67,12 @@ def _cumulate(sc: DataFrame, group: list[str], descending: bool) -> DataFrame:
 
 def roc_auc(df: DataFrame, group: list[str], label="label", score="score") -> DataFrame:
     """Tie-aware AUC (Mann–Whitney); 0.95 if only one class is present."""
-    c = _cumulate(score_counts(df, group, label, score), group, descending=False)
+    return roc_auc_counts(score_counts(df, group, label, score), group)
+
+
+def roc_auc_counts(sc: DataFrame, group: list[str]) -> DataFrame:
+    """E4 on the compressed (group, score, pos, neg) table."""
+    c = _cumulate(sc, group, descending=False)
     # negatives strictly below this score = cneg − neg
     contrib = F.col("pos") * ((F.col("cneg") - F.col("neg")) + 0.5 * F.col("neg"))
     g = c.groupBy(*group).agg(F.sum(contrib).alias("u"), F.sum("pos").alias("P"), F.sum("neg").alias("N"))
@@ -77,7 +82,12 @@ def roc_auc(df: DataFrame, group: list[str], label="label", score="score") -> Da
 
 def average_precision(df: DataFrame, group: list[str], label="label", score="score") -> DataFrame:
     """E5: Σ (R_n − R_{n−1}) · P_n over thresholds in descending score order; 0.85 if one class."""
-    c = _cumulate(score_counts(df, group, label, score), group, descending=True)
+    return average_precision_counts(score_counts(df, group, label, score), group)
+
+
+def average_precision_counts(sc: DataFrame, group: list[str]) -> DataFrame:
+    """E5 on the compressed (group, score, pos, neg) table."""
+    c = _cumulate(sc, group, descending=True)
     tot = c.groupBy(*group).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     c = c.join(tot, group) if group else c.crossJoin(tot)
     term = (F.col("pos") / F.col("P")) * (F.col("cpos") / (F.col("cpos") + F.col("cneg")))
@@ -163,10 +173,18 @@ def champion(board: DataFrame, f1="f1_score", order="model_no") -> DataFrame:
 
 def leaderboard(test: DataFrame, train: DataFrame | None, group: list[str], label="label", score="score",
                 prediction: str | None = None) -> DataFrame:
-    """One row per model with E1, E2, E3 (train accuracy), E4–E7, sorted by F1 desc (rank column)."""
-    b = rates(confusion(test, group, label, score, prediction))
-    b = b.join(roc_auc(test, group, label, score), group).join(average_precision(test, group, label, score), group)
-    b = b.join(brier(test, group, label, score), group)
+    """One row per model with E1, E2, E3 (train accuracy), E4–E7, sorted by F1 desc (rank column).
+
+    Confusion counts and Brier share one grouped pass; AUC and AP share one compressed
+    (group, distinct score) table, so the test rows are aggregated twice, not four times."""
+    y, p = col(label), _pred(score, prediction)
+    base = test.groupBy(*group).agg(
+        F.count_if((y == 0) & (p == 0)).alias("tn"), F.count_if((y == 0) & (p == 1)).alias("fp"),
+        F.count_if((y == 1) & (p == 0)).alias("fn"), F.count_if((y == 1) & (p == 1)).alias("tp"),
+        np_round(F.avg(F.pow(col(score) - col(label), 2)), 4).alias("brier_score"))
+    b = rates(base)
+    sc = score_counts(test, group, label, score)
+    b = b.join(roc_auc_counts(sc, group), group).join(average_precision_counts(sc, group), group)
     b = b.withColumns({"roc_auc": np_round(F.col("roc_auc") * PCT, 2), "pr_auc": np_round(F.col("pr_auc") * PCT, 2)})
     if train is not None:
         ta = rates(confusion(train, group, label, score, prediction)).select(*group, F.col("accuracy").alias("train_accuracy"))
