@@ -13,6 +13,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,7 +35,8 @@ def _small_join(big: DataFrame, small: DataFrame, on, how: str = "inner", limit_
 
 
 def two_level_rank(df: DataFrame, group_cols: list[str], order_key: Column, tie_key: Column,
-                   n_buckets: int = 4096, bucket: Column | None = None, out: str = "rank") -> DataFrame:
+                   n_buckets: int = 4096, bucket: Column | None = None, out: str = "rank",
+                   group_total: str | None = None) -> DataFrame:
     """Exact 1-based rank of ``(order_key, tie_key)`` within ``group_cols`` (ascending).
 
     ``bucket`` must be monotone in ``order_key``; by default the key is an md5 hex
@@ -46,7 +48,13 @@ def two_level_rank(df: DataFrame, group_cols: list[str], order_key: Column, tie_
     d = df.withColumns({"__ok": order_key, "__tk": tie_key, "__b": b})
     counts = d.groupBy(*group_cols, "__b").agg(F.count(F.lit(1)).alias("__c"))
     w = Window.partitionBy(*group_cols).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("__off", F.coalesce(F.sum("__c").over(w), F.lit(0))).drop("__c")
+    offsets = counts.withColumn("__off", F.coalesce(F.sum("__c").over(w), F.lit(0)))
+    if group_total:
+        # group sizes fall out of the same bucket counts — no second pass over the rows
+        offsets = offsets.withColumn(group_total, F.sum("__c").over(Window.partitionBy(*group_cols)))
+    # the offset table (≤ groups × buckets rows) is materialised once: the size check and the
+    # join then reuse it instead of re-aggregating the input
+    offsets = offsets.drop("__c").persist(StorageLevel.MEMORY_AND_DISK)
     j = _small_join(d, offsets, [*group_cols, "__b"])
     wr = Window.partitionBy(*group_cols, "__b").orderBy("__ok", "__tk")
     return j.withColumn(out, F.row_number().over(wr) + F.col("__off")).drop("__ok", "__tk", "__b", "__off")
@@ -74,9 +82,7 @@ def stratified_sample(df: DataFrame, label: str, key: str, max_rows: int) -> Dat
 
 def stratified_split(df: DataFrame, label: str, key: str) -> DataFrame:
     """B2: 70/10/20 train/val/test within each class by md5(key) rank: test if (r−1)/n < .2, val if < .3."""
-    ranked = two_level_rank(df, [label], md5_key(key), col(key))
-    sizes = class_sizes(df, label)
-    j = _small_join(ranked, sizes, [label])
+    j = two_level_rank(df, [label], md5_key(key), col(key), group_total="__n")
     r0 = F.col("rank") - 1
     split = F.when(r0 * 5 < F.col("__n"), "test").when(r0 * 10 < F.col("__n") * 3, "val").otherwise("train")
     return j.withColumn("split", split).drop("__n", "rank")
