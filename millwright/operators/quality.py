@@ -206,18 +206,27 @@ class Cleaner:
         self.dedup = dedup
 
     def fit(self, df: DataFrame) -> CleanerModel:
-        model, work = self.fit_dedup(df)
-        work.unpersist()
+        model, _ = self.fit_dedup(df)
+        self._cached.unpersist()
         return model
 
     def fit_dedup(self, df: DataFrame) -> tuple[CleanerModel, DataFrame]:
         """Fit and also return the de-duplicated input, persisted once and shared by every
-        statistics pass and by the caller's ``transform`` (caller unpersists)."""
+        statistics pass and by the caller's ``transform`` (the cached frame is ``self._cached``)."""
         tier_col = self.tier_col if (self.tier_col and self.tier_col in df.columns) else None
-        # 0. duplicates: the raw count is a pruned scan; the distinct rows are materialised once
-        n = df.count()
-        work = (drop_exact_duplicates(df) if self.dedup else df).persist(StorageLevel.MEMORY_AND_DISK)
-        m = work.count() if self.dedup else n
+        # 0. duplicates: one grouped pass (map-side combined) gives the distinct rows with their
+        #    copy counts; it is materialised once and both counts come from it
+        if self.dedup:
+            g = df.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__copies"))
+            g = g.persist(StorageLevel.MEMORY_AND_DISK)
+            r = g.agg(F.sum("__copies").cast("long").alias("n"), F.count(F.lit(1)).cast("long").alias("m")).first()
+            n, m = int(r["n"] or 0), int(r["m"] or 0)
+            work = g.drop("__copies")
+            self._cached = g
+        else:
+            work = df.persist(StorageLevel.MEMORY_AND_DISK)
+            n = m = work.count()
+            self._cached = work
         counts = {"initial_rows": n, "cleaned_rows": m, "duplicates_removed": n - m}
         return self._fit_on(work, counts, tier_col), work
 
