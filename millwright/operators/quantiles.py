@@ -26,7 +26,6 @@ HIST_BUDGET = 1_000_000      # histogram rows collected per pass (brackets × bu
 MAX_BUCKETS = 4096
 MAX_BRACKETS = 500_000       # broadcast bound for the bracket table
 MAX_PASSES = 24
-_LOG: list[int] = []          # open brackets per refinement pass (diagnostics)
 
 
 def _long(df: DataFrame, values: dict[str, Column], groups: list[str]) -> DataFrame:
@@ -76,7 +75,6 @@ def exact_quantiles(df: DataFrame, values: dict[str, Column], probs: list[float]
     passes = 0
     while brackets:
         passes += 1
-        _LOG.append(len(brackets))
         if passes > MAX_PASSES:
             raise RuntimeError("quantile refinement did not converge")
         blist = list(brackets.items())
