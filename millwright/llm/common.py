@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millwright.session import checkpoint_dir
+from millwright.session import scratch_path
 
 #: The six white-space bytes of the contracts: space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,10 +27,14 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, ASCII_UPPER, ASCII_LOWER)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Lineage cut in the shared folder of ``spark.checkpoint.dir`` (survives lost executors)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Lineage cut as a Parquet table in the shared folder of ``spark.checkpoint.dir``.
+
+    It survives lost executors, and Spark knows its size when it plans the next join.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def uniform(*cols: Column) -> Column:
@@ -58,25 +62,26 @@ def prefix_sum(df: DataFrame, group: Sequence[str], bucket: str, order: Sequence
 def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(node, component) for every node of an edge list (a, b) of longs; component = smallest node.
 
-    Alternating large-star / small-star rounds (Kiveris et al. 2014): each is one grouped
-    minimum and one join, hot nodes lose their edges to their smallest neighbour, and the
-    number of rounds grows with the logarithm of the longest chain. Every round is
-    checkpointed. ``max_rounds`` only guards against a bug: exceeding it raises.
+    Alternating large-star / small-star rounds (Kiveris et al. 2014): each is a grouped
+    minimum and a join; the number of rounds grows with the logarithm of the longest chain.
+    The minima are written before the join, so Spark sees their size: it broadcasts them when
+    small and otherwise splits a hot node's rows over tasks. ``max_rounds`` only guards
+    against a bug: exceeding it raises.
     """
-    cur = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    cur = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
     sig = _edge_signature(cur)
     for _ in range(max_rounds):
         if sig[0] == 0:
             break
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "large")
+        large = written(both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), "star")
+        low = written(large.groupBy("a").agg(F.min("b").alias("m")), "small")
         small = (
             large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
             .unionByName(low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
         )
-        cur = cut(small)
+        cur = written(small, "edges")
         new = _edge_signature(cur)
         if new == sig:
             break
