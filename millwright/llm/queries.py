@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwright.llm import host_reputation, mixing, quality_gam, simhash, toxicity
+from millwright.llm import decontam, host_reputation, mixing, quality_gam, simhash, toxicity
 from millwright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,12 @@ def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
     return fn
 
 
+@_query
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", (F.size("hits") > 0).alias("contaminated"), F.size("hits").alias("n_items"), F.col("hits.item_id").alias("item_ids"), F.array_min("hits.distance").alias("least_distance"))
+
+
 @_query
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _ = mixing.mix(table(spark, sf_dir, "documents"))
