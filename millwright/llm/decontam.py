@@ -23,7 +23,6 @@ benchmark leaves all documents clean; extra columns are ignored (``clean`` keeps
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,20 +31,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millwright.llm.common import ASCII_LOWER, ASCII_UPPER
+
 Q = 10
 SEGMENT = 80
 ERROR = 0.06
 BLOCK_CHARS = 8_000_000
 TEXT_BLOCK = 1 << 20
 _TABLE = 22                                   # bits of the mark table
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_SPACE = re.compile(r"[\x20\x09-\x0D]+")
-_UPPER = {c: c + 32 for c in range(65, 91)}
+_BASE = np.array(0x9E3779B97F4A7C15, np.uint64)
+_LOWER = bytes.maketrans(ASCII_UPPER.encode(), ASCII_LOWER.encode())
 HIT = "array<struct<item_id:bigint,first:int,last:int,distance:int>>"
 
 
 def normalise(text: str | None) -> str:
-    return _SPACE.sub(" ", (text or "").translate(_UPPER)).strip(" ")
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    return b" ".join(words).decode("utf-8", "surrogatepass")
 
 
 def _codes(text: str) -> np.ndarray:
@@ -53,12 +54,20 @@ def _codes(text: str) -> np.ndarray:
 
 
 def _grams(codes: np.ndarray, q: int) -> np.ndarray:
-    """Polynomial hash of every q-gram."""
+    """Polynomial hash of every q-gram, put together from grams of 1, 2, 4 ... characters."""
     n = len(codes) - q + 1
-    h = np.zeros(max(0, n), np.uint64)
-    for j in range(q if n > 0 else 0):
-        h = h * _BASE + codes[j:j + n] + np.uint64(1)
-    return h ^ (h >> np.uint64(29))
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    h, size, power, at = np.zeros(n, np.uint64), 1, _BASE, 0
+    part = codes + np.uint64(1)
+    while True:
+        if q & size:
+            h = h * power + part[at:at + n]
+            at += size
+        if 2 * size > q:
+            return h ^ (h >> np.uint64(29))
+        part = part[:-size] * power + part[size:]
+        size, power = 2 * size, power * power
 
 
 def _banded(a: str, b: str, budget: int) -> tuple[int, int, int] | None:

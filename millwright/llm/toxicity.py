@@ -46,36 +46,41 @@ _FOLD[97:123] = np.arange(1, 27)
 _FOLD[65:91] = np.arange(1, 27)
 _FOLD[128:] = 27
 _FOLD[48:58] = 28
-_LEET = re.escape("".join(LOOKALIKES))
-_DISGUISED = re.compile(
-    rf"(?<!\S)(?=[^\s]*[^\W\d_])[^\s]*[{_LEET}][^\s]*"                        # letters and look-alikes
-    r"|(?<!\S)(?:[^\W\d_][ .\-_*]){2,}[^\W\d_](?!\S)"                          # s p a c e d
-    r"|(?<!\S)[^\s]*([^\W\d_])\1\1[^\s]*"                                      # repeeeated
-    r"|(?<!\S)[^\W\d_]+(?:[.\-_*][^\W\d_]+)+(?!\S)")                           # in-ser.ted
+_TRIPLE = re.compile(r"([^\W\d_])\1\1")
 _EDGE = "".join(set("\"'.,;:?!()[]{}<>#%&*$|=~^+-_/\\@"))
-_BLANK = {ord(c): " " for c in "\"'.,;:?!()[]{}<>#%&*$|=~^+-_/\\@\t\n\r\v\f0123456789"}
+_LEADS = frozenset("@$!|+(")                  # signs that may stand for a word's first letter
+_BLANK = bytes(32 if chr(b) in "\"'.,;:?!()[]{}<>#%&*$|=~^+-_/\\@\t\n\r\v\f0123456789" else b for b in range(256))
 
 
 # ---- language model -------------------------------------------------------------------------
 
 def _grams(text: str) -> np.ndarray:
-    s = _FOLD[np.frombuffer((" " * (ORDER - 1) + text + " ").encode("utf-8", "surrogatepass"), np.uint8)].astype(np.int32)
+    s = _FOLD[np.frombuffer((" " * (ORDER - 1) + text + "    ").encode("utf-8", "surrogatepass"), np.uint8)].astype(np.int32)
     return ((s[:-3] * SIGNS + s[1:-2]) * SIGNS + s[2:-1]) * SIGNS + s[3:]
 
 
+def _gram_table(texts: list[str]) -> np.ndarray:
+    """4-gram counts of a list of texts, in slices of bounded size; grams never span two texts."""
+    joined, total = (" " * (ORDER - 1)).join(texts), np.zeros(SIGNS**ORDER, np.int64)
+    step = 1 << 22
+    for at in range(0, len(joined), step):
+        total += np.bincount(_grams(joined[at:at + step]), minlength=len(total))
+    return total
+
+
 def gram_counts(docs: DataFrame) -> DataFrame:
     """(gram, n): 4-gram counts over all documents; at most 32^4 rows whatever the input."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(SIGNS**ORDER, np.int64)
+        total, held, size = np.zeros(SIGNS**ORDER, np.int64), [], 0
         for pdf in batches:
             for text in pdf["text"]:
-                for at in range(0, len(text), 1 << 20):
-                    grams = _grams(text[at:at + (1 << 20)])
-                    if len(grams) > 4096:
-                        total += np.bincount(grams, minlength=len(total))
-                    else:
-                        np.add.at(total, grams, 1)
+                held.append(text)
+                size += len(text)
+                if size > 1 << 20:
+                    total += _gram_table(held)
+                    held, size = [], 0
+        total += _gram_table(held)
         seen = np.flatnonzero(total)
         yield pd.DataFrame({"gram": seen.astype(np.int32), "n": total[seen]})
 
@@ -138,23 +143,44 @@ class Restorer:
     def __init__(self, model: np.ndarray, most: int = 100_000):
         self.model, self.most, self.known = model, most, {}
 
-    def _token(self, match: re.Match) -> str:
-        token = match[0]
-        bare = token.strip(_EDGE)
-        start = token.find(bare)
-        if start and token[start - 1] in "@$!|+(":          # a look-alike may begin a word
-            bare, start = token[start - 1] + bare, start - 1
-        letters = sum(c.isalpha() for c in bare)
-        if len(bare) > LONGEST or letters < 2 or letters == len(bare) and not re.search(r"(.)\1\1", bare) or sum(c.isdigit() for c in bare) > letters + 1:
-            return token
+    def _read(self, bare: str) -> str:
         if bare not in self.known:
             if len(self.known) >= self.most:
                 self.known.clear()
             self.known[bare] = decode(bare, self.model)
-        return f"{token[:start]} {self.known[bare]} {token[start + len(bare):]}"
+        return self.known[bare]
+
+    def _word(self, word: str) -> str:
+        """A word with look-alikes or separators inside: its likeliest reading."""
+        bare = word.strip(_EDGE)
+        if word[0] in _LEADS and word[1:2].isalpha():
+            bare = word.rstrip(_EDGE)
+        elif bare.isalpha() or not bare:
+            return word
+        letters = len([c for c in bare if c.isalpha()])
+        if letters < 2 or len(bare) > LONGEST or len([c for c in bare if c.isdigit()]) > letters + 1:
+            return word
+        return self._read(bare)
 
     def __call__(self, text: str | None) -> str:
-        return f" {_DISGUISED.sub(self._token, (text or '').lower()).translate(_BLANK)} "
+        low = (text or "").lower()
+        words = low.split()
+        for i in [i for i, w in enumerate(words) if not w.isalpha()]:
+            words[i] = self._word(words[i])
+        raw = np.frombuffer(low.encode("utf-8", "surrogatepass"), np.uint8)
+        if ((raw[2:] == raw[1:-1]) & (raw[1:-1] == raw[:-2]) & (raw[2:] >= 97) & (raw[2:] <= 122)).any():
+            for i in [i for i, w in enumerate(words) if _TRIPLE.search(w)]:
+                bare = words[i].strip(_EDGE)                     # r e p e e e ated letters
+                words[i] = self._read(bare) if len(bare) <= LONGEST else words[i]
+        single = [i for i, w in enumerate(words) if len(w) == 1]
+        if len(single) > 2:                                      # s p a c e d letters
+            for run in np.split(single, np.flatnonzero(np.diff(single) > 1) + 1):
+                if 3 <= len(run) <= LONGEST and all("a" <= words[i] <= "z" for i in run):
+                    words[run[0]] = self._read(" ".join(words[i] for i in run))
+                    for i in run[1:]:
+                        words[i] = ""
+        restored = f" {' '.join(words)} "
+        return restored.encode("utf-8", "surrogatepass").translate(_BLANK).decode("utf-8", "surrogatepass")
 
 
 # ---- patterns and weights -------------------------------------------------------------------
