@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwright.llm import decontam, host_reputation, mixing, quality_gam, simhash, toxicity
+from millwright.llm import decontam, host_reputation, mixing, quality_gam, simhash, template_html, toxicity
 from millwright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,9 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = template_html.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
