@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwright.llm import decontam, host_reputation, mixing, quality_gam, simhash, template_html, toxicity
+from millwright.llm import decontam, host_reputation, mixing, quality_gam, simhash, template_html, toxicity, winnow
 from millwright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", "n_labelled", "n_bad")
 
 
+@_query
+def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnow.compare(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", "edited_sha256", winnow.digest(F.col("chosen")).alias("fingerprint"), winnow.digest(F.col("edited_chosen")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 @_query
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.groups(table(spark, sf_dir, "documents"))
