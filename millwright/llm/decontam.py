@@ -39,7 +39,7 @@ ERROR = 0.06
 BLOCK_CHARS = 8_000_000
 TEXT_BLOCK = 1 << 20
 _TABLE = 22                                   # bits of the mark table
-_BASE = np.array(0x9E3779B97F4A7C15, np.uint64)
+_BASE = 0x9E3779B97F4A7C15
 _LOWER = bytes.maketrans(ASCII_UPPER.encode(), ASCII_LOWER.encode())
 HIT = "array<struct<item_id:bigint,first:int,last:int,distance:int>>"
 
@@ -62,12 +62,12 @@ def _grams(codes: np.ndarray, q: int) -> np.ndarray:
     part = codes + np.uint64(1)
     while True:
         if q & size:
-            h = h * power + part[at:at + n]
+            h = h * np.uint64(power) + part[at:at + n]
             at += size
         if 2 * size > q:
             return h ^ (h >> np.uint64(29))
-        part = part[:-size] * power + part[size:]
-        size, power = 2 * size, power * power
+        part = part[:-size] * np.uint64(power) + part[size:]
+        size, power = 2 * size, power * power % (1 << 64)
 
 
 def _banded(a: str, b: str, budget: int) -> tuple[int, int, int] | None:
