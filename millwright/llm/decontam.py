@@ -226,5 +226,5 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     columns = docs.columns
     found = [hits(F.col("text"), items) for items in blocks(benchmark)]
     for k, h in enumerate(found):
-        docs = docs.withColumn(f"_hits{k}", F.size(h)).filter(F.col(f"_hits{k}") == 0)
+        docs = docs.withColumn(f"__hits{k}", F.size(h)).filter(F.col(f"__hits{k}") == 0)
     return docs.select(*columns)

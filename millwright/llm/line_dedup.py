@@ -155,10 +155,10 @@ def summary(docs: DataFrame, jaccard: float = JACCARD) -> DataFrame:
 def remove(docs: DataFrame, jaccard: float = JACCARD) -> DataFrame:
     """The input rows without the removed lines; ``n_chars``, where there is one, follows the text."""
     columns = docs.columns
-    gone = _per_document(find(docs, jaccard)).select("of", F.col("lines").alias("_gone"))
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_gone", i)), "\n")
-    rows = docs.withColumn("_row", _row(docs)).join(gone, F.col("_row") == F.col("of"), "left")
-    rows = rows.withColumn("text", F.when(F.col("_gone").isNotNull(), kept).otherwise(F.col("text")))
+    gone = _per_document(find(docs, jaccard)).select(F.col("of").alias("__of"), F.col("lines").alias("__gone"))
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("__gone", i)), "\n")
+    rows = docs.withColumn("__row", _row(docs)).join(gone, F.col("__row") == F.col("__of"), "left")
+    rows = rows.withColumn("text", F.when(F.col("__gone").isNotNull(), kept).otherwise(F.col("text")))
     if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_gone").isNotNull(), F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
+        rows = rows.withColumn("n_chars", F.when(F.col("__gone").isNotNull(), F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
     return rows.select(*columns)

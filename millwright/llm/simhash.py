@@ -134,12 +134,13 @@ def _compare(distance: int):
                     near = np.bitwise_count(homes[None, :] ^ guests[:, None]) <= distance
                     own = homes[None, :] == guests[:, None]
                     for v in np.flatnonzero((near & ~own).any(axis=1)).tolist():
-                        found = np.unique(label[near[v]])
+                        close = np.flatnonzero(near[v])
+                        found, one = np.unique(label[close], return_index=True)
                         mine = label[own[v]]
-                        for c in found.tolist():
+                        for c, k in zip(found.tolist(), close[one].tolist(), strict=True):
                             if not len(mine) or c != mine[0]:
                                 a.append(guests[v])
-                                b.append(homes[c])
+                                b.append(homes[k])
                         if len(found) > 1:
                             label[np.isin(label, found)] = found[0]
             yield pd.DataFrame({"a": np.array(a, dtype=np.uint64).view(np.int64), "b": np.array(b, dtype=np.uint64).view(np.int64)})
@@ -181,9 +182,9 @@ def deduplicate(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANC
     found = written(groups(docs, shingle, distance), "groups")
     chosen = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component", "doc_id", "fp").agg(F.count("*").alias("copies"))
     keep = chosen.groupBy("component").agg(F.min(F.struct("fp", "doc_id", "copies")).alias("k"))
-    keep = written(keep.select(F.col("k.doc_id").alias("_id"), F.col("k.fp").alias("_of"), F.col("k.copies").alias("_copies")), "kept")
+    keep = written(keep.select(F.col("k.doc_id").alias("__id"), F.col("k.fp").alias("__of"), F.col("k.copies").alias("__copies")), "kept")
     columns = docs.columns
-    rows = docs.withColumn("_fp", fingerprint(F.col("text"), shingle))
-    kept = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_of")))
-    once = kept.filter("_copies = 1").select(*columns)
-    return once.unionByName(kept.filter("_copies > 1").dropDuplicates(["_id", "_of"]).select(*columns))
+    rows = docs.withColumn("__fp", fingerprint(F.col("text"), shingle))
+    kept = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__of")))
+    once = kept.filter("__copies = 1").select(*columns)
+    return once.unionByName(kept.filter("__copies > 1").dropDuplicates(["__id", "__of"]).select(*columns))

@@ -6,7 +6,7 @@ kept as a sum of per-page hashes weighted by count, so it is aggregated by Spark
 sum and no host is ever gathered in one task. Tokens of one host with equal vectors form an
 equivalence class; classes that stand on most pages of the host, a fixed number of times and
 inside one another (by path), nest into the host's template. The same is done for text
-strings: a string that stands on most pages, outside the article, is template text.
+strings: on pages without a content slot, a string that stands on most pages is template text.
 
 What lies between template tokens are the slots. Slots inside menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments are dropped; the
@@ -176,7 +176,7 @@ def tokens(pages: DataFrame) -> DataFrame:
                 for text, count in outside.items():
                     add((host, 1, f"{_hash(text):016x}"), seen, count, 0)
             keys = list(total)
-            yield pd.DataFrame({"host": [k[0] for k in keys], "kind": [k[1] for k in keys], "token": [k[2] for k in keys],
+            yield pd.DataFrame({"host": pd.Series([k[0] for k in keys], dtype=object), "kind": [k[1] for k in keys], "token": pd.Series([k[2] for k in keys], dtype=object),
                                 **{n: [total[k][i] for k in keys] for i, n in enumerate(("pages", "count", "vector", "chars"))}})
 
     found = pages.mapInPandas(read, "host string, kind int, token string, pages long, count long, vector long, chars long")
@@ -221,9 +221,9 @@ def main_text(html: str | None, content: str | None, constant: frozenset[str]) -
     elif content:
         slot = content.split("/")
         inside = [t for t in kept if list(t[0][:len(slot)]) == slot] or None
-    found = _blocks(inside if inside is not None else kept)
-    return "\n".join(text for path, text in found
-                     if not constant or any(p.split(".")[0] in _MAIN for p in path) or f"{_hash('/'.join(path) + chr(31) + text[:4096]):016x}" not in constant)
+    if inside is not None:
+        return "\n".join(text for _, text in _blocks(inside))
+    return "\n".join(text for path, text in _blocks(kept) if not constant or f"{_hash('/'.join(path) + chr(31) + text[:4096]):016x}" not in constant)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -208,7 +208,7 @@ def toxic_patterns(sample: DataFrame, model: np.ndarray) -> list[str]:
                 for text, label in zip(pdf["text"][at:at + 500], pdf["label"][at:at + 500], strict=True):
                     for p in patterns_of(restore(text)):
                         seen.setdefault(p, [0, 0])[int(label)] += 1
-                yield pd.DataFrame({"pattern": list(seen), "clean": [v[0] for v in seen.values()], "toxic": [v[1] for v in seen.values()]})
+                yield pd.DataFrame({"pattern": pd.Series(list(seen), dtype=object), "clean": [v[0] for v in seen.values()], "toxic": [v[1] for v in seen.values()]})
 
     totals = sample.groupBy("label").agg(F.count("*").alias("n")).toPandas().set_index("label")["n"]
     clean, toxic = float(totals.get(0, 0)), float(totals.get(1, 0))
