@@ -3,8 +3,8 @@
 Input: a long table ``(model, label, score[, prediction])`` with one row per
 (scored row, model), so every model is evaluated in the same grouped jobs.
 Curve metrics first compress to distinct ``(model, score)`` with counts (a
-partial aggregate), then prefix-sum the compressed table — the raw rows are
-never ordered.
+partial aggregate), then prefix-sum the compressed table in score ranges — the
+raw rows are never ordered, and a continuous score is not one task per model.
 """
 
 from __future__ import annotations
@@ -57,12 +57,47 @@ def score_counts(df: DataFrame, group: list[str], label="label", score="score")
         F.count_if(col(label) == 1).alias("pos"), F.count_if(col(label) != 1).alias("neg"))
 
 
-def _cumulate(sc: DataFrame, group: list[str], descending: bool) -> DataFrame:
-    """Running sums of pos/neg over distinct scores (the compressed table is ≤ distinct scores per group)."""
-    o = F.col("s").desc() if descending else F.col("s").asc()
-    w = Window.partitionBy(*group).orderBy(o).rowsBetween(Window.unboundedPreceding, 0)
-    return sc.withColumns({"cpos": F.sum("pos").over(w), "cneg": F.sum("neg").over(w),
-                           "idx": F.row_number().over(Window.partitionBy(*group).orderBy(o))})
+CUTS = 256   # score ranges a group is dealt into
+
+
+def _ranges(sc: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``__b``, the score range of a row: at most CUTS per group, cut at approximate quantiles, increasing with the score."""
+    probs = F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)])
+    cuts = sc.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("s", probs, F.lit(10_000))).alias("__cuts"))
+    return sc.join(cuts, keys).withColumn("__b", F.size(F.filter("__cuts", lambda c: c < F.col("s")))).drop("__cuts")
+
+
+def _running(df: DataFrame, keys: list[str], descending: bool, sums: dict[str, str], following: list[str] = ()) -> DataFrame:
+    """Inclusive running sums (out → in) along the score, and the next row's values (``next_<c>``).
+
+    Range totals first (CUTS rows a group), then a window inside each range: no task holds a
+    group. A range's last row takes what follows from the first row of the next one.
+    """
+    down = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
+    first = (F.max if descending else F.min)(F.struct("s", *following)) if following else F.lit(None)
+    parts = df.groupBy(*keys, "__b").agg(*[F.sum(v).alias(f"__t_{o}") for o, v in sums.items()], first.alias("__first"))
+    wt = Window.partitionBy(*keys).orderBy(down("__b"))
+    before = wt.rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*keys, "__b", *[F.coalesce(F.sum(f"__t_{o}").over(before), F.lit(0)).alias(f"__o_{o}") for o in sums],
+                         F.lead("__first").over(wt).alias("__after"))
+    w = Window.partitionBy(*keys, "__b").orderBy(down("s"))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.withColumns({**{f"__r_{o}": F.sum(v).over(upto) for o, v in sums.items()}, **{f"__n_{c}": F.lead(c).over(w) for c in following}})
+    out = rows.join(parts, [*keys, "__b"]).withColumns({
+        **{o: F.col(f"__o_{o}") + F.col(f"__r_{o}") for o in sums},
+        **{f"next_{c}": F.coalesce(F.col(f"__n_{c}"), F.col(f"__after.{c}")) for c in following}})
+    return out.drop("__after", *[f"__{x}_{o}" for o in sums for x in "or"], *[f"__n_{c}" for c in following])
+
+
+def _keyed(sc: DataFrame, group: list[str]) -> tuple[DataFrame, list[str]]:
+    return (sc, list(group)) if group else (sc.withColumn("__g", F.lit(0)), ["__g"])
+
+
+def _cumulate(sc: DataFrame, group: list[str], descending: bool) -> tuple[DataFrame, list[str]]:
+    """(rows with cpos, cneg, idx (1-based) and the next row's pos / neg, keys) over distinct scores."""
+    sc, keys = _keyed(sc, group)
+    c = _ranges(sc, keys).withColumn("__one", F.lit(1))
+    return _running(c, keys, descending, {"cpos": "pos", "cneg": "neg", "idx": "__one"}, ["pos", "neg"]).drop("__one"), keys
 
 
 def roc_auc(df: DataFrame, group: list[str], label="label", score="score") -> DataFrame:
@@ -72,7 +107,7 @@ def roc_auc(df: DataFrame, group: list[str], label="label", score="score") -> Da
 
 def roc_auc_counts(sc: DataFrame, group: list[str]) -> DataFrame:
     """E4 on the compressed (group, score, pos, neg) table."""
-    c = _cumulate(sc, group, descending=False)
+    c, _ = _cumulate(sc, group, descending=False)
     # negatives strictly below this score = cneg − neg
     contrib = F.col("pos") * ((F.col("cneg") - F.col("neg")) + 0.5 * F.col("neg"))
     g = c.groupBy(*group).agg(F.sum(contrib).alias("u"), F.sum("pos").alias("P"), F.sum("neg").alias("N"))
@@ -87,62 +122,55 @@ def average_precision(df: DataFrame, group: list[str], label="label", score="sco
 
 def average_precision_counts(sc: DataFrame, group: list[str]) -> DataFrame:
     """E5 on the compressed (group, score, pos, neg) table."""
-    c = _cumulate(sc, group, descending=True)
-    tot = c.groupBy(*group).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    c = c.join(tot, group) if group else c.crossJoin(tot)
+    c, keys = _cumulate(sc, group, descending=True)
+    c = c.join(c.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")), keys)
     term = (F.col("pos") / F.col("P")) * (F.col("cpos") / (F.col("cpos") + F.col("cneg")))
     g = c.groupBy(*group).agg(F.sum(term).alias("ap"), F.first("P").alias("P"), F.first("N").alias("N"))
     ap = F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("ap")).otherwise(F.lit(0.85))
     return g.select(*group, ap.alias("pr_auc"))
 
 
-def _pick_points(df: DataFrame, group: list[str], n_col: str, idx_col: str, m: int = 35) -> DataFrame:
-    """Keep points at numpy ``linspace(0, n−1, min(m, n)).astype(int)`` indexes (0-based ``idx_col``)."""
-    n = F.col(n_col)
-    k = F.least(n, F.lit(m))
+def _thinned(points: DataFrame, keys: list[str], sizes: DataFrame, most: int | None) -> DataFrame:
+    """All points (numbered ``k`` from 0), or those at numpy ``linspace(0, n - 1, min(most, n)).astype(int)``.
+
+    ``sizes``: one row per group with its number of points ``n_pts``; the wanted indexes are joined.
+    """
+    if most is None:
+        return points.withColumn("point_no", F.col("k").cast("int"))
+    n, k = F.col("n_pts"), F.least(F.col("n_pts"), F.lit(most))
     step = (n - 1).cast("double") / (k - 1).cast("double")
-    # index i of the output maps to floor(i*step); invert: keep rows whose idx equals floor(i*step) for some i
-    seq = F.sequence(F.lit(0), (k - 1).cast("int"))
-    picks = F.transform(seq, lambda i: F.when(i == k - 1, n - 1).otherwise(F.floor(i.cast("double") * step)).cast("long"))
-    d = df.withColumn("__picks", F.when(k <= 1, F.array(F.lit(0).cast("long"))).otherwise(picks))
-    d = d.select("*", F.posexplode("__picks").alias("point_no", "__pi")).filter(F.col("__pi") == F.col(idx_col))
-    return d.drop("__picks", "__pi")
-
-
-def roc_curve(df: DataFrame, group: list[str], label="label", score="score", max_points: int = 35) -> DataFrame:
-    """ROC points (fpr, tpr, 4 dp): distinct thresholds, collinear points dropped (ends kept),
-    then (0, 0) prepended; ≤ 35 evenly indexed points."""
-    c = _cumulate(score_counts(df, group, label, score), group, descending=True)
-    w = Window.partitionBy(*group).orderBy("idx")
-    c = c.withColumns({
-        "d2p": F.col("cpos") - 2 * F.lag("cpos").over(w) + F.lead("cpos").over(w),
-        "d2n": F.col("cneg") - 2 * F.lag("cneg").over(w) + F.lead("cneg").over(w),
-    })
-    kept = c.filter((F.col("d2p") != 0) | (F.col("d2n") != 0) | F.col("d2p").isNull() | F.col("d2n").isNull())
-    tot = c.groupBy(*group).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    zero = tot.select(*group).withColumns({"idx": F.lit(0), "cpos": F.lit(0).cast("long"), "cneg": F.lit(0).cast("long")})
-    pts = kept.select(*group, "idx", "cpos", "cneg").unionByName(zero)
-    pts = pts.withColumn("k", F.row_number().over(Window.partitionBy(*group).orderBy("idx")) - 1)
-    pts = pts.withColumn("n_pts", F.count(F.lit(1)).over(Window.partitionBy(*group)))
-    pts = pts.join(tot, group) if group else pts.crossJoin(tot)
-    sel = _pick_points(pts, group, "n_pts", "k", max_points)
+    at = F.transform(F.sequence(F.lit(0), (k - 1).cast("int")), lambda i: F.when(i == k - 1, n - 1).otherwise(F.floor(i.cast("double") * step)).cast("long"))
+    wanted = sizes.select(*keys, F.posexplode(at).alias("point_no", "k"))
+    return points.join(wanted, [*keys, "k"])
+
+
+def roc_curve(df: DataFrame, group: list[str], label="label", score="score", max_points: int | None = None) -> DataFrame:
+    """ROC points (fpr, tpr, 4 dp): distinct thresholds without the inner points of straight
+    stretches, after (0, 0). ``max_points`` thins the curve to evenly indexed points."""
+    c, keys = _cumulate(score_counts(df, group, label, score), group, descending=True)
+    tot = c.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    bends = (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
+    kept = c.filter((F.col("idx") == 1) | F.col("next_pos").isNull() | bends).drop("next_pos", "next_neg", "idx").withColumn("__one", F.lit(1))
+    kept = _running(kept, keys, True, {"k": "__one"})
+    sizes = kept.groupBy(*keys).agg((F.count(F.lit(1)) + 1).alias("n_pts"))
+    zero = tot.select(*keys, F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("cpos"), F.lit(0).cast("long").alias("cneg"))
+    pts = _thinned(kept.select(*keys, F.col("k").cast("long").alias("k"), "cpos", "cneg").unionByName(zero), keys, sizes, max_points).join(tot, keys)
     fpr = F.when(F.col("N") > 0, F.col("cneg") / F.col("N")).otherwise(F.lit(float("nan")))
     tpr = F.when(F.col("P") > 0, F.col("cpos") / F.col("P")).otherwise(F.lit(float("nan")))
-    return sel.select(*group, "point_no", np_round(fpr, 4).alias("fpr"), np_round(tpr, 4).alias("tpr"))
+    return pts.select(*group, "point_no", np_round(fpr, 4).alias("fpr"), np_round(tpr, 4).alias("tpr"))
 
 
-def pr_curve(df: DataFrame, group: list[str], label="label", score="score", max_points: int = 35) -> DataFrame:
-    """precision–recall points over every distinct score, ascending score, then (R=0, P=1); ≤ 35 points."""
-    c = _cumulate(score_counts(df, group, label, score), group, descending=True)
-    tot = c.groupBy(*group).agg(F.sum("pos").alias("P"), F.count(F.lit(1)).alias("D"))
-    c = c.join(tot, group) if group else c.crossJoin(tot)
+def pr_curve(df: DataFrame, group: list[str], label="label", score="score", max_points: int | None = None) -> DataFrame:
+    """precision–recall points over every distinct score, ascending score, then (R=0, P=1); thinned by ``max_points``."""
+    c, keys = _cumulate(score_counts(df, group, label, score), group, descending=True)
+    tot = c.groupBy(*keys).agg(F.sum("pos").alias("P"), F.count(F.lit(1)).alias("D"))
+    c = c.join(tot, keys)
     prec = F.when(F.col("cpos") + F.col("cneg") > 0, F.col("cpos") / (F.col("cpos") + F.col("cneg"))).otherwise(F.lit(0.0))
     rec = F.when(F.col("P") > 0, F.col("cpos") / F.col("P")).otherwise(F.lit(1.0))
     # ascending-score position: k = D − idx (idx is 1-based in descending order)
-    pts = c.select(*group, (F.col("D") - F.col("idx")).alias("k"), prec.alias("precision"), rec.alias("recall"), "D")
-    end = tot.select(*group, F.col("D").alias("k"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"), "D")
-    pts = pts.unionByName(end).withColumn("n_pts", F.col("D") + 1)
-    sel = _pick_points(pts, group, "n_pts", "k", max_points)
+    pts = c.select(*keys, (F.col("D") - F.col("idx")).alias("k"), prec.alias("precision"), rec.alias("recall"))
+    end = tot.select(*keys, F.col("D").alias("k"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
+    sel = _thinned(pts.unionByName(end), keys, tot.select(*keys, (F.col("D") + 1).alias("n_pts")), max_points)
     return sel.select(*group, "point_no", np_round(F.col("recall"), 4).alias("recall"), np_round(F.col("precision"), 4).alias("precision"))
 
 

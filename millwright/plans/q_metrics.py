@@ -86,24 +86,16 @@ def e04(spark, sf):
     return d.select(*G, np_round(F.col("roc_auc"), 9).alias("roc_auc"), np_round(F.col("pr_auc"), 9).alias("pr_auc"), "brier_score")
 
 
-def _pick_sql(n, k_col):
-    """Index list numpy-linspace style for n points: floor(i*((n-1)/(k-1))), last = n-1."""
-    return n, k_col
-
-
 ROC_SQL = (
     "with cu as (select *, sum(pos) over w cpos, sum(neg) over w cneg, row_number() over (partition by model_no order by s desc) idx from "
     "(select model_no, model, score s, count_if(label=1) pos, count_if(label<>1) neg from sc group by model_no, model, score) a "
     "window w as (partition by model_no order by s desc rows between unbounded preceding and current row)), "
-    "d2 as (select *, cpos - 2*lag(cpos) over o + lead(cpos) over o d2p, cneg - 2*lag(cneg) over o + lead(cneg) over o d2n from cu window o as (partition by model_no order by idx)), "
+    "d2 as (select *, lag(cpos) over o - 2*cpos + lead(cpos) over o d2p, lag(cneg) over o - 2*cneg + lead(cneg) over o d2n from cu window o as (partition by model_no order by idx)), "
     "tot as (select model_no, model, sum(pos) P, sum(neg) N from cu group by model_no, model), "
     "pts as (select model_no, model, idx, cpos, cneg from d2 where d2p <> 0 or d2n <> 0 or d2p is null or d2n is null "
     "union all select model_no, model, 0, 0, 0 from tot), "
-    "kp as (select *, row_number() over (partition by model_no order by idx) - 1 k, count(*) over (partition by model_no) n_pts from pts), "
-    "pk as (select model_no, unnest(case when least(n_pts, 35) <= 1 then [0::bigint] else list_transform(generate_series(0, least(n_pts, 35) - 1), "
-    "lambda i: case when i = least(n_pts, 35) - 1 then n_pts - 1 else cast(floor(i * (cast(n_pts - 1 as double)/cast(least(n_pts, 35) - 1 as double))) as bigint) end) end) pi, "
-    "unnest(generate_series(0, greatest(least(n_pts, 35), 1) - 1)) point_no from (select distinct model_no, n_pts from kp) z) "
-    "select kp.model_no, kp.model, pk.point_no, round_even(cneg/N, 4) fpr, round_even(cpos/P, 4) tpr from kp join pk on kp.model_no = pk.model_no and kp.k = pk.pi "
+    "kp as (select *, row_number() over (partition by model_no order by idx) - 1 k from pts) "
+    "select kp.model_no, kp.model, cast(k as integer) point_no, round_even(cneg/N, 4) fpr, round_even(cpos/P, 4) tpr from kp "
     "join tot on tot.model_no = kp.model_no"
 )
 
@@ -120,12 +112,8 @@ PR_SQL = (
     "window w as (partition by model_no order by s desc rows between unbounded preceding and current row)), "
     "pts as (select model_no, model, D - idx k, case when cpos+cneg>0 then cpos/(cpos+cneg) else 0.0 end \"precision\", "
     "case when P>0 then cpos/P else 1.0 end recall, D + 1 n_pts from cu "
-    "union all select distinct model_no, model, D k, 1.0, 0.0, D + 1 from cu), "
-    "pk as (select model_no, unnest(list_transform(generate_series(0, least(n_pts, 35) - 1), "
-    "lambda i: case when i = least(n_pts, 35) - 1 then n_pts - 1 else cast(floor(i * (cast(n_pts - 1 as double)/cast(least(n_pts, 35) - 1 as double))) as bigint) end)) pi, "
-    "unnest(generate_series(0, least(n_pts, 35) - 1)) point_no from (select distinct model_no, n_pts from pts) z) "
-    "select pts.model_no, pts.model, pk.point_no, round_even(recall, 4) recall, round_even(\"precision\", 4) \"precision\" "
-    "from pts join pk on pts.model_no = pk.model_no and pts.k = pk.pi"
+    "union all select distinct model_no, model, D k, 1.0, 0.0, D + 1 from cu) "
+    "select model_no, model, cast(k as integer) point_no, round_even(recall, 4) recall, round_even(\"precision\", 4) \"precision\" from pts"
 )
 
 

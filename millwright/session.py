@@ -35,11 +35,13 @@ def get_spark(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "mi
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and intermediate tables.
 
-    Uses ``spark.checkpoint.dir`` when the cluster names one; only when it is
-    unset (local tests) a fresh scratch folder is created and registered.
+    Uses ``spark.checkpoint.dir`` when the cluster names one. Where it is unset, a local master
+    (tests) gets a fresh scratch folder; on a cluster that would not be shared, so it is an error.
     """
     cur = spark.conf.get("spark.checkpoint.dir", None)
     if not cur:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         cur = tempfile.mkdtemp(prefix="millwright-ckpt-")
         spark.conf.set("spark.checkpoint.dir", cur)
     spark.sparkContext.setCheckpointDir(cur)

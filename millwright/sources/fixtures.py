@@ -106,18 +106,34 @@ select vec_id, embedding, case when label=0 then 1 else 0 end minority from {emb
 """
 
 
+#: Fractions in about [0, 1] of the given columns that tel_clean carries: quantity, discount, tax,
+#: part/supplier key, price and the two row keys.
+FRACTIONS = [
+    "(torque-25.5)/24.5",
+    "(air-295.0)/10.0",
+    "(proc-air-7.5)/5.0",
+    "wear/225.0",
+    "(rpm-1250.0)/730.0",
+    "cast(h%1000 as double)/999.0",
+    "cast(h%463 as double)/462.0",
+]
+SPREAD = 2.2   # a sensor's values reach so many of its standard deviations to either side
+
+
 def _spec_sensor_sql(sensors, dialect: str) -> str:
+    """Each sensor is an affine image of a given column, clamped to the sensor's range, two decimals."""
     q = (lambda n: f"`{n}`") if dialect == "spark" else (lambda n: f'"{n}"')
     parts = []
-    for name, mean, std, lo, hi in sensors:
-        z = hash_normal_sql("rk", name, dialect)
-        parts.append(f"round(least(greatest({mean} + {std}*{z}, {lo}), {hi}), 2) {q(name)}")
+    for i, (name, mean, std, lo, hi) in enumerate(sensors):
+        num = lambda v: f"cast({v} as double)"
+        v = f"{num(mean)}+{num(std)}*({num(2 * SPREAD)}*({FRACTIONS[i % len(FRACTIONS)]})-{num(SPREAD)})"
+        parts.append(f"cast(floor(least(greatest({v}, {num(lo)}), {num(hi)})*100+0.5) as double)/100 {q(name)}")
     return ",\n  ".join(parts)
 
 
 def domain_sql(key: str, dialect: str) -> str:
     sensors = PLANT_SENSORS if key == "plant" else DOMAIN_SPECS[key]["sensors"]
-    return f"select rk, h, tier,\n  {_spec_sensor_sql(sensors, dialect)}\nfrom {{tel_clean}} where h%10=0"
+    return f"select rk, h, tier,\n  {_spec_sensor_sql(sensors, dialect)}\nfrom {{tel_clean}}"
 
 
 DEPENDS = {
