@@ -133,7 +133,7 @@ def operating_ranges(df: DataFrame, sensors: list[str], exact: bool = True) -> D
     Exact percentiles come from range refinement (``quantiles``) and enter as literals."""
     probs = [0.01, 0.5, 0.99]
     ps = F.array(*[F.lit(p) for p in probs])
-    qx = exact_quantiles(df, {c: col(c) for c in sensors}, probs)[()] if exact else {}
+    qx = exact_quantiles(df, {c: col(c) for c in sensors}, probs) if exact else {}
     aggs = []
     for i, c in enumerate(sensors):
         v = col(c)

@@ -106,7 +106,7 @@ def synthesize_target(df: DataFrame, quantile: float = 0.94, exact: bool = True)
     if exact:
         from millwright.operators.quantiles import exact_quantiles
 
-        thr = exact_quantiles(df, {"z": zmax}, [quantile])[()]["z"][0]
+        thr = exact_quantiles(df, {"z": zmax}, [quantile])["z"][0]
     else:
         thr = df.agg(F.percentile_approx(zmax, F.lit(quantile), 100_000).alias("t")).first()["t"]
     if thr is None:

@@ -5,15 +5,14 @@ of sensor columns:
 
   0. duplicate count (one grouped count over all columns, map-side combined),
   1. global statistics of the de-duplicated table (missing counts, mean, sample
-     std, tier mode) — one row; exact medians by range refinement (``quantiles``),
-  2. per-tier medians after the tier fill — range refinement grouped by tier,
-  3. quartiles of the imputed values — range refinement,
+     std) — one row; the tier mode; exact medians by value ranges (``quantiles``),
+  2. per-tier medians after the tier fill, as a written table,
+  3. quartiles of the imputed values,
   4. audit counts (Tukey, z) and after-cleaning moments — one row.
 
-Everything fitted is a literal, so ``CleanerModel.transform`` is a single
-projection (``coalesce`` / ``least`` / ``greatest`` / ``rint``) that also runs
-on a stream.  Per-tier medians are applied as a literal map when the tier count
-is small (checked), otherwise through a join on the tier column.
+``CleanerModel.transform`` is a projection (``coalesce`` / ``least`` / ``greatest`` /
+``rint``) over a join with the table of tier medians, whose size Spark knows; it also
+runs on a stream.
 """
 
 from __future__ import annotations
@@ -26,23 +25,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millwright.functions.exprs import clip, col, lower_name_rounds_to_int, np_round
-from millwright.operators.quantiles import exact_quantiles
+from millwright.operators.quantiles import exact_quantiles, quantile_table, wide
+from millwright.session import materialize
 
-MAX_LITERAL_TIERS = 10_000
 
-
-def _median(c: Column, exact: bool) -> Column:
-    return F.percentile(c, F.lit(0.5)) if exact else F.percentile_approx(c, F.lit(0.5), 100_000)
-
-
-def _quartiles(c: Column, exact: bool) -> Column:
-    ps = F.array(F.lit(0.25), F.lit(0.75))
-    return F.percentile(c, ps) if exact else F.percentile_approx(c, ps, 100_000)
+def _quantiles(df: DataFrame, values: dict[str, Column], probs: list[float], exact: bool) -> dict[str, list[float | None]]:
+    """{column: quantiles} of the whole table, exact or by ``percentile_approx``."""
+    if exact:
+        return exact_quantiles(df, values, probs)
+    r = df.agg(*[F.percentile_approx(v, F.array(*map(F.lit, probs)), 100_000).alias(f"q{i}") for i, v in enumerate(values.values())]).first()
+    return {c: list(r[f"q{i}"]) if r[f"q{i}"] is not None else [None] * len(probs) for i, c in enumerate(values)}
 
 
 def numeric_cast(c: str) -> Column:
-    """Q4: numeric coercion, bad text → null (``pd.to_numeric(errors='coerce')``)."""
-    return F.expr(f"try_cast(`{c}` as double)")
+    """Q4: numeric coercion, bad text and NaN → null (``pd.to_numeric(errors='coerce')``; NaN is missing)."""
+    return F.expr(f"nanvl(try_cast(`{c}` as double), null)")
 
 
 def duplicate_counts(df: DataFrame) -> DataFrame:
@@ -68,13 +65,12 @@ class CleanerModel:
     tier_col: str | None
     tier_fill: str
     medians: dict[str, float]
-    tier_medians: dict[str, dict[str, float | None]]
     fences: dict[str, tuple[float, float]]
     tukey: dict[str, tuple[float, float]]
     before: dict[str, dict] = field(default_factory=dict)
     after: dict[str, dict] = field(default_factory=dict)
     counts: dict = field(default_factory=dict)
-    tier_table: DataFrame | None = None  # join path when the tier count is large
+    tier_table: DataFrame | None = None  # one row per tier: its medians, joined by the tier
 
     # ---- transform (Q2, Q4, Q6, Q9, Q10 as one projection) ----
     def impute_exprs(self) -> dict[str, Column]:
@@ -82,13 +78,7 @@ class CleanerModel:
         tier = self.tier_expr()
         for c in self.sensors:
             raw = numeric_cast(c)
-            if tier is not None and self.tier_table is None and self.tier_medians:
-                m = F.create_map(
-                    *[x for t, meds in sorted(self.tier_medians.items()) for x in (F.lit(t), F.lit(meds.get(c)).cast("double"))]
-                )
-                tier_med = F.try_element_at(m, tier)
-                out[c] = F.coalesce(raw, tier_med, F.lit(self.medians[c]))
-            elif tier is not None and self.tier_table is not None:
+            if tier is not None and self.tier_table is not None:
                 out[c] = F.coalesce(raw, F.col(f"`__tm_{c}`"), F.lit(self.medians[c]))
             else:
                 out[c] = F.coalesce(raw, F.lit(self.medians[c]))
@@ -240,66 +230,44 @@ class Cleaner:
                 F.count_if(v.isNull()).alias(f"m{i}"),
                 F.avg(v).alias(f"a{i}"),
                 F.stddev_samp(v).alias(f"s{i}"),
-            ] + ([F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")] if ex
-                 else [_median(v, ex).alias(f"q{i}")])
+            ]
         if tier_col:
-            aggs += [F.count_if(col(tier_col).isNull()).alias("tier_missing"), F.mode(col(tier_col), True).alias("tier_mode")]
+            aggs += [F.count_if(col(tier_col).isNull()).alias("tier_missing")]
         g = work.agg(*aggs).first()
-        # exact medians by range refinement (no single-task value buffer)
-        qg = exact_quantiles(work, {c: numeric_cast(c) for c in self.sensors}, [0.5],
-                             stats={c: (g[f"n{i}"], g[f"lo{i}"], g[f"hi{i}"]) for i, c in enumerate(self.sensors)})[()] if ex else {}
+        mode = None
+        if tier_col:
+            tiers = work.filter(col(tier_col).isNotNull()).groupBy(col(tier_col).alias("t")).agg(F.count(F.lit(1)).alias("n"))
+            mode = tiers.orderBy(F.desc("n"), "t").first()
+        # medians without a single-task value buffer
+        qg = _quantiles(work, {c: numeric_cast(c) for c in self.sensors}, [0.5], ex)
         before, medians = {}, {}
         for i, c in enumerate(self.sensors):
             mean = g[f"a{i}"]
             before[c] = {"missing": g[f"m{i}"], "mean": mean if mean is not None else 0.0,
                          "std": g[f"s{i}"] if mean is not None else 1.0}
-            med = qg[c][0] if ex else g[f"q{i}"]
+            med = qg[c][0]
             medians[c] = float(med) if med is not None else 0.0
         counts = dict(counts)
         counts["tier_missing"] = int(g["tier_missing"]) if tier_col else 0
-        tier_fill = (g["tier_mode"] if (tier_col and g["tier_mode"] is not None) else "M")
+        tier_fill = mode["t"] if mode is not None else "M"
 
-        model = CleanerModel(self.sensors, tier_col, tier_fill, medians, {}, {}, {}, before, {}, counts)
+        model = CleanerModel(self.sensors, tier_col, tier_fill, medians, {}, {}, before, {}, counts)
 
         # 2. per-tier medians after the tier fill
         if tier_col:
             tw = work.withColumn("__tier", model.tier_expr())
-            # exact: tiers come out of the refinement's first pass (a tier with no sensor value
-            # at all has no median either way); too many tiers → per-tier table below
-            qt = (exact_quantiles(tw, {c: numeric_cast(c) for c in self.sensors}, [0.5], groups=["__tier"],
-                                  max_pairs=MAX_LITERAL_TIERS * len(self.sensors)) if ex else None)
-            big = None
-            if qt is None and ex:
-                # many tiers: same refinement, result kept as a joined per-tier table
-                big = exact_quantiles(tw, {c: numeric_cast(c) for c in self.sensors}, [0.5], groups=["__tier"])
-            if qt is not None:
-                for (t,), q in qt.items():
-                    model.tier_medians[t] = {c: q[c][0] for c in self.sensors}
-            elif big is not None:
-                rows = [(t, *[q[c][0] for c in self.sensors]) for (t,), q in big.items()]
-                schema = ", ".join([f"tier {tw.schema['__tier'].dataType.simpleString()}"] + [f"`{c}` double" for c in self.sensors])
-                model.tier_table = work.sparkSession.createDataFrame(rows, schema)
+            vals = {c: numeric_cast(c) for c in self.sensors}
+            if ex:
+                tab = wide(quantile_table(tw, vals, [0.5], ["__tier"]), self.sensors, ["__tier"])
             else:
-                tier_tab = tw.groupBy(F.col("__tier").alias("tier")).agg(
-                    *[_median(numeric_cast(c), ex).alias(c) for c in self.sensors]
-                )
-                n_tiers = tier_tab.count()
-                if n_tiers <= MAX_LITERAL_TIERS:
-                    for r in tier_tab.collect():
-                        model.tier_medians[r["tier"]] = {c: r[c] for c in self.sensors}
-                else:
-                    model.tier_table = tier_tab.persist(StorageLevel.MEMORY_AND_DISK)
+                tab = tw.groupBy("__tier").agg(*[F.percentile_approx(v, F.lit(0.5), 100_000).alias(c) for c, v in vals.items()])
+            model.tier_table = materialize(tab.withColumnRenamed("__tier", "tier"), "tier-medians")
 
         # 3. quartiles of the imputed values
         imputed = model.impute(work)
-        if ex:
-            qx = exact_quantiles(imputed, {c: col(c) for c in self.sensors}, [0.25, 0.75])[()]
-            qs = {f"q{i}": (qx[c] if qx[c][0] is not None else None) for i, c in enumerate(self.sensors)}
-        else:
-            qs = imputed.agg(*[_quartiles(col(c), ex).alias(f"q{i}") for i, c in enumerate(self.sensors)]).first()
-        for i, c in enumerate(self.sensors):
-            q = qs[f"q{i}"]
-            q25, q75 = (float(q[0]), float(q[1])) if q is not None else (float("nan"), float("nan"))
+        qs = _quantiles(imputed, {c: col(c) for c in self.sensors}, [0.25, 0.75], ex)
+        for c in self.sensors:
+            q25, q75 = (float(x) if x is not None else float("nan") for x in qs[c])
             iqr = max(q75 - q25, 1e-6)
             model.tukey[c] = (q25 - 1.5 * iqr, q75 + 1.5 * iqr)
             model.fences[c] = (q25 - self.k * iqr, q75 + self.k * iqr)

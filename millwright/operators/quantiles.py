@@ -1,123 +1,81 @@
 """Exact quantiles without a single-task buffer (used by Q5/Q6/Q7, F7, N4).
 
 Spark's exact ``percentile`` keeps a value→count map of the whole group in one task
-(for a global aggregate: every distinct value of the table in one reducer).  Here each
-requested order statistic is found by range refinement instead:
-
-  1. one aggregate gives count / min / max per (group, column);
-  2. every pass splits each open bracket [lo, hi] into equal-width buckets and counts
-     rows per (group, column, bracket, bucket) — a map-side-combined ``groupBy`` whose
-     output is bounded by brackets × buckets, never by rows; the bucket holding the
-     target rank becomes the next bracket (its own min/max, so it always shrinks);
-  3. a bracket is closed when its min equals its max.
-
-The result is interpolated exactly as Spark's ``percentile`` does (position (n−1)·p
-between the floor and ceil order statistics), so values equal the built-in aggregate.
+(for a global aggregate: every distinct value of the table in one reducer).  Here:
+
+  1. rows are counted per (group, column, value), combined map-side, and written once;
+  2. per (group, column), ``percentile_approx`` over the distinct values gives splitters
+     (at most ``RANGES``); a value's range is found by comparison, so width, infinities and
+     heavy ties do not matter;
+  3. range totals give the offset of each range; only ranges that hold a wanted rank are
+     summed up inside, one window per range.
+
+NaN and null are missing.  The result is interpolated as Spark's ``percentile`` does
+(position (n−1)·p between the floor and ceil order statistics), so values equal the
+built-in aggregate.  The number of jobs is fixed.
 """
 
 from __future__ import annotations
 
-import math
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HIST_BUDGET = 1_000_000      # histogram rows collected per pass (brackets × buckets)
-MAX_BUCKETS = 4096
-MAX_BRACKETS = 500_000       # broadcast bound for the bracket table
-MAX_PASSES = 24
+from millwright.session import materialize
 
+RANGES = 64
 
-def _long(df: DataFrame, values: dict[str, Column], groups: list[str]) -> DataFrame:
-    items = [F.struct(F.lit(i).alias("cid"), v.cast("double").alias("v")) for i, v in enumerate(values.values())]
-    return (df.select(*[F.col(g) for g in groups], F.explode(F.array(*items)).alias("__e"))
-            .select(*groups, F.col("__e.cid").alias("cid"), F.col("__e.v").alias("v"))
-            .filter(F.col("v").isNotNull()))
 
+def _same(left: list[str], right: list[str]) -> Column:
+    return reduce(and_, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right, strict=True)])
 
-def exact_quantiles(df: DataFrame, values: dict[str, Column], probs: list[float],
-                    groups: list[str] | None = None, stats: dict[str, tuple] | None = None,
-                    max_pairs: int = MAX_BRACKETS) -> dict[tuple, dict[str, list[float | None]]] | None:
-    """{group tuple: {name: [q(p) for p in probs]}} — exact, equal to ``percentile(v, p)``.
 
-    ``stats`` (ungrouped only): {name: (non-null count, min, max)} already computed by the
-    caller's own aggregate, which saves the first pass.  Returns ``None`` when there are more
-    than ``max_pairs`` (group, column) pairs — the caller then keeps a per-group table."""
+def _renamed(df: DataFrame, keys: list[str], tag: str) -> tuple[DataFrame, list[str]]:
+    names = {k: f"{tag}{k}" for k in keys}
+    return df.withColumnsRenamed(names), list(names.values())
+
+
+def quantile_table(df: DataFrame, values: dict[str, Column], probs: list[float], groups: list[str] | None = None) -> DataFrame:
+    """(groups…, cid, q): the quantiles of each value column (cid: its number) per group; absent where all are missing."""
     groups = list(groups or [])
-    names = list(values)
-    spark = df.sparkSession
-    long = _long(df, values, groups)
-    if stats is not None and not groups:
-        srows = [{"cid": i, "n": stats[nm][0], "mn": stats[nm][1], "mx": stats[nm][2]}
-                 for i, nm in enumerate(names) if stats[nm][0]]
-    else:
-        st = long.groupBy(*groups, "cid").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"))
-        srows = [r.asDict() for r in st.limit(max_pairs + 1).collect()]
-        if len(srows) > max_pairs:
-            return None
-    # open brackets: key → [lo, hi, offset(rows below lo), {rank: None}]
-    targets: dict[tuple, dict[int, float | None]] = {}
-    counts: dict[tuple, int] = {}
-    brackets: dict[tuple, list] = {}
-    for r in srows:
-        g = tuple(r[x] for x in groups)
-        key = (g, r["cid"])
-        n = r["n"]
-        counts[key] = n
-        ranks = set()
-        for p in probs:
-            pos = (n - 1) * p
-            ranks.update({int(math.floor(pos)), int(math.ceil(pos))})
-        targets[key] = {k: (r["mn"] if r["mn"] == r["mx"] else None) for k in ranks}
-        if r["mn"] != r["mx"]:
-            for k in ranks:
-                brackets.setdefault((key, r["mn"], r["mx"], 0), []).append(k)
-    passes = 0
-    while brackets:
-        passes += 1
-        if passes > MAX_PASSES:
-            raise RuntimeError("quantile refinement did not converge")
-        blist = list(brackets.items())
-        nb = max(2, min(MAX_BUCKETS, HIST_BUDGET // max(len(blist), 1)))
-        rows = [(*key[0], key[1], bid, float(lo), float(hi)) for bid, ((key, lo, hi, _), _) in enumerate(blist)]
-        schema = ", ".join([f"`{g}` {df.schema[g].dataType.simpleString()}" if g in df.columns else f"`{g}` string" for g in groups]
-                           + ["cid int", "bid int", "lo double", "hi double"])
-        btab = spark.createDataFrame(rows, schema)
-        cond = [long[g].eqNullSafe(btab[g]) for g in groups] + [long["cid"] == btab["cid"]]
-        j = long.join(F.broadcast(btab), cond).filter((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
-        bucket = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.lit(nb)), F.lit(nb - 1)).cast("int")
-        hist = (j.groupBy("bid", bucket.alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("mn"), F.max("v").alias("mx"))
-                .collect())
-        by: dict[int, list] = {}
-        for h in hist:
-            by.setdefault(h["bid"], []).append((h["b"], h["c"], h["mn"], h["mx"]))
-        nxt: dict[tuple, list] = {}
-        for bid, ((key, lo, hi, off), ranks) in enumerate(blist):
-            cells = sorted(by.get(bid, []))
-            for k in ranks:
-                local = k - off
-                acc = 0
-                for _, c, mn, mx in cells:
-                    if local < acc + c:
-                        if mn == mx:
-                            targets[key][k] = mn
-                        else:
-                            nxt.setdefault((key, mn, mx, off + acc), []).append(k)
-                        break
-                    acc += c
-        brackets = nxt
-    out: dict[tuple, dict[str, list[float | None]]] = {}
-    for (g, cid), n in counts.items():
-        vals = []
-        for p in probs:
-            pos = (n - 1) * p
-            lo_i, hi_i = int(math.floor(pos)), int(math.ceil(pos))
-            a, b = targets[(g, cid)][lo_i], targets[(g, cid)][hi_i]
-            vals.append(a if lo_i == hi_i else (hi_i - pos) * a + (pos - lo_i) * b)
-        out.setdefault(g, {})[names[cid]] = vals
-    for g in out:
-        for nm in names:
-            out[g].setdefault(nm, [None] * len(probs))
-    if not groups and () not in out:
-        out[()] = {nm: [None] * len(probs) for nm in names}
-    return out
+    keys = [*groups, "cid"]
+    items = [F.struct(F.lit(i).alias("cid"), v.cast("double").alias("v")) for i, v in enumerate(values.values())]
+    long = df.select(*groups, F.explode(F.array(*items)).alias("e")).select(*groups, "e.cid", "e.v")
+    counts = long.filter(F.col("v").isNotNull() & ~F.isnan("v")).groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"))
+    counts = materialize(counts, "value-counts")
+    grid = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+    stats = counts.groupBy(*keys).agg(F.sum("c").alias("n"), F.array_distinct(F.percentile_approx("v", grid, F.lit(10_000))).alias("cuts"))
+    stats, skeys = _renamed(materialize(stats, "value-ranges"), keys, "s_")
+    rows = counts.join(stats.drop("n"), _same(keys, skeys)).withColumn("b", F.size(F.filter("cuts", lambda c: c < F.col("v")))).drop("cuts", *skeys)
+    upto = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    totals = rows.groupBy(*keys, "b").agg(F.sum("c").alias("t")).withColumn("end", F.sum("t").over(upto)).withColumn("start", F.col("end") - F.col("t"))
+    at = lambda p: (F.col("n") - 1) * F.lit(p)
+    ranks = F.array_distinct(F.array(*[f(at(p)).cast("long") for p in probs for f in (F.floor, F.ceil)]))
+    wanted = stats.select(*skeys, F.explode(ranks).alias("rank"))
+    held, hkeys = _renamed(wanted.join(totals, _same(skeys, keys) & (F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("end"))).select(*keys, "b", "rank", "start"), [*keys, "b"], "h_")
+    inside = Window.partitionBy(*keys, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranges, rkeys = _renamed(held.select(*hkeys).distinct(), hkeys, "r_")
+    near = rows.join(ranges, _same([*keys, "b"], rkeys), "left_semi").withColumn("upto", F.sum("c").over(inside))
+    got = near.join(held, _same([*keys, "b"], hkeys)).filter((F.col("rank") < F.col("start") + F.col("upto")) & (F.col("rank") >= F.col("start") + F.col("upto") - F.col("c")))
+    picks, pkeys = _renamed(got.groupBy(*keys).agg(F.map_from_entries(F.collect_set(F.struct("rank", "v"))).alias("at")), keys, "p_")
+    out = stats.join(picks, _same(skeys, pkeys))
+
+    def quantile(p: float) -> Column:
+        pos = at(p)
+        a, b = F.element_at("at", F.floor(pos).cast("long")), F.element_at("at", F.ceil(pos).cast("long"))
+        return F.when((F.floor(pos) == F.ceil(pos)) | (a == b), a).otherwise((F.ceil(pos) - pos) * a + (pos - F.floor(pos)) * b)
+
+    return out.select(*[F.col(f"s_{k}").alias(k) for k in keys], F.array(*[quantile(p) for p in probs]).alias("q"))
+
+
+def wide(table: DataFrame, names: list[str], groups: list[str], i: int = 0) -> DataFrame:
+    """One row per group: the i-th quantile of each value column, under the column's name."""
+    return table.groupBy(*groups).agg(*[F.max(F.when(F.col("cid") == c, F.col("q")[i])).alias(n) for c, n in enumerate(names)])
+
+
+def exact_quantiles(df: DataFrame, values: dict[str, Column], probs: list[float]) -> dict[str, list[float | None]]:
+    """{name: [q(p) for p in probs]} of the whole table: one row per column comes to the driver."""
+    found = {r["cid"]: list(r["q"]) for r in quantile_table(df, values, probs).collect()}
+    return {n: found.get(i, [None] * len(probs)) for i, n in enumerate(values)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millwright.functions.exprs import col, np_round
-from millwright.operators.quantiles import exact_quantiles
+from millwright.operators.quantiles import exact_quantiles, quantile_table
 from millwright.operators.quality import Cleaner, drop_exact_duplicates, duplicate_counts, missing_profile, numeric_cast
 from millwright.plans.oracles import (
     TWO_PI_OVER_60, audit_select, clean_ctes, oracle, prob_expr, q, risk_ctes,
@@ -137,7 +137,7 @@ def _moments_sql():
 @register("q05_valid_moments", _moments_sql)
 def q05(spark, sf):
     d = drop_exact_duplicates(_raw(spark, sf))
-    med = exact_quantiles(d, {c: col(c) for c in S}, [0.5])[()]
+    med = exact_quantiles(d, {c: col(c) for c in S}, [0.5])
     aggs = [F.struct(F.lit(c).alias("column"), np_round(F.avg(col(c)), 6).alias("mean"),
                      np_round(F.stddev_samp(col(c)), 6).alias("std"),
                      np_round(F.lit(med[c][0]).cast("double"), 6).alias("median")).alias(f"r{i}") for i, c in enumerate(S)]
@@ -155,14 +155,10 @@ def _tier_median_sql():
 def q06(spark, sf):
     raw = _raw(spark, sf)
     d = drop_exact_duplicates(raw)
-    fill = d.agg(F.coalesce(F.mode("tier", True), F.lit("M")).alias("m"))
-    # tier fill is a one-row literal; per-tier medians in one grouped aggregate for all sensors
-    t = d.crossJoin(F.broadcast(fill)).withColumn("tier", F.coalesce("tier", "m"))
-    # exact per-tier medians by range refinement (no per-tier value buffer in one task)
-    med = exact_quantiles(t, {c: col(c) for c in S}, [0.5], groups=["tier"])
-    rows = [(k[0], c, v[c][0]) for k, v in med.items() for c in S]
-    g = spark.createDataFrame(rows, "tier string, column string, m double")
-    return g.select("tier", "column", np_round(F.col("m"), 6).alias("median"))
+    mode = d.filter("tier is not null").groupBy("tier").count().orderBy(F.desc("count"), "tier").first()
+    t = d.withColumn("tier", F.coalesce("tier", F.lit(mode["tier"] if mode else "M")))
+    med = quantile_table(t, {c: col(c) for c in S}, [0.5], ["tier"])
+    return med.select("tier", F.element_at(F.array(*[F.lit(c) for c in S]), F.col("cid") + 1).alias("column"), np_round(F.col("q")[0], 6).alias("median"))
 
 
 # ---------------------------------------------------------------- Q7, Q8, Q9/Q10, Q11, Q12, Q13

@@ -79,21 +79,16 @@ def test_duplicate_counts(spark):
     assert (r["initial_rows"], r["cleaned_rows"], r["duplicates_removed"]) == (8, 7, 1)
 
 
-def test_many_tier_table_path_equals_literal_path(spark, monkeypatch):
-    """Above the literal-tier bound the per-tier medians are a joined table; results are unchanged."""
-    from pyspark.sql import functions as F
-
-    from millwright.operators import quality as QL
-
-    d = spark.range(3000).select(
-        F.col("id").cast("string").alias("rk"),
-        F.when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.element_at(F.array(F.lit("L"), F.lit("M"), F.lit("H")), (F.col("id") % 3 + 1).cast("int"))).alias("tier"),
-        F.when(F.col("id") % 5 == 0, F.lit(None)).otherwise(F.round(F.rand(3) * 100, 1)).alias("x"),
-        F.when(F.col("id") % 11 == 0, F.lit(None)).otherwise(F.round(F.randn(4) * 10 + 50, 2)).alias("y"))
-    lit_df, m1 = QL.clean(d, ["x", "y"], "tier")
-    monkeypatch.setattr(QL, "MAX_LITERAL_TIERS", 1)
-    tab_df, m2 = QL.clean(d, ["x", "y"], "tier")
-    assert m2.tier_table is not None and m1.tier_table is None
-    a = sorted(tuple(r) for r in lit_df.select("rk", "tier", "x", "y").collect())
-    b = sorted(tuple(r) for r in tab_df.select("rk", "tier", "x", "y").collect())
-    assert a == b
+def test_nan_is_missing_and_text_or_infinity_does_not_raise(spark):
+    from millwright.operators.quality import clean, missing_profile
+
+    inf, nan = float("inf"), float("nan")
+    rows = [(str(i), "LMH"[i % 3], float(i % 9), "nan" if i % 5 == 0 else str(i % 7), inf if i == 3 else -inf if i == 4 else float(i), None) for i in range(30)]
+    rows[7] = ("7", "M", nan, "bad", 1e308, None)
+    d = spark.createDataFrame(rows, "k string, tier string, x double, t string, y double, empty double")
+    miss = {r["column"]: r["missing"] for r in missing_profile(d, ["x", "t", "y", "empty"]).collect()}
+    assert miss == {"x": 1, "t": 7, "y": 0, "empty": 30}
+    out, m = clean(d, ["x", "t", "y", "empty"], "tier")
+    got = out.filter("k = '7'").first()
+    assert got["x"] == np.median([i % 9 for i in range(30) if i % 3 == 1 and i != 7])
+    assert m.before["x"]["missing"] == 1 and out.count() == 30 and out.filter("isnan(x) or x is null or t is null").count() == 0

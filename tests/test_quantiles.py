@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from millwright.operators.quantiles import exact_quantiles
+from millwright.operators.quantiles import exact_quantiles, quantile_table
 
 PROBS = [0.0, 0.01, 0.25, 0.5, 0.75, 0.94, 0.99, 1.0]
 
@@ -19,7 +19,7 @@ def _frame(spark):
 
 def test_global_matches_percentile(spark):
     d = _frame(spark)
-    got = exact_quantiles(d, {"a": F.col("a"), "b": F.col("b"), "c": F.col("c")}, PROBS)[()]
+    got = exact_quantiles(d, {"a": F.col("a"), "b": F.col("b"), "c": F.col("c")}, PROBS)
     ref = d.agg(*[F.percentile(c, F.array(*[F.lit(p) for p in PROBS])).alias(c) for c in "abc"]).first()
     for c in "abc":
         assert got[c] == list(ref[c]), c
@@ -27,15 +27,26 @@ def test_global_matches_percentile(spark):
 
 def test_grouped_matches_percentile(spark):
     d = _frame(spark)
-    got = exact_quantiles(d, {"a": F.col("a"), "b": F.col("b")}, [0.25, 0.5, 0.75], groups=["g"])
+    d = d.withColumn("g", F.when(F.col("g") != "2", F.col("g")))      # a null group counts as a group
+    got = {(r["g"], "ab"[r["cid"]]): list(r["q"]) for r in quantile_table(d, {"a": F.col("a"), "b": F.col("b")}, [0.25, 0.5, 0.75], ["g"]).collect()}
     ref = d.groupBy("g").agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in "ab"]).collect()
-    assert len(got) == 3
+    assert len(got) == 6
     for r in ref:
         for c in "ab":
-            assert got[(r["g"],)][c] == list(r[c])
+            assert got[r["g"], c] == list(r[c])
 
 
 def test_all_null_and_single_value(spark):
     d = spark.range(10).select(F.lit(None).cast("double").alias("x"), F.lit(2.5).alias("y"))
-    got = exact_quantiles(d, {"x": F.col("x"), "y": F.col("y")}, [0.5])[()]
+    got = exact_quantiles(d, {"x": F.col("x"), "y": F.col("y")}, [0.5])
     assert got == {"x": [None], "y": [2.5]}
+
+
+def test_nan_infinity_and_width(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [(1.0, 1e308, nan), (2.0, -1e308, inf), (nan, 0.0, 1.0), (None, 1.0, None), (3.0, 2.0, -inf), (2.0, 3.0, 2.0)] * 5
+    d = spark.createDataFrame(rows, "a double, b double, c double")
+    got = exact_quantiles(d, {c: F.col(c) for c in "abc"}, [0.0, 0.5, 1.0])
+    for c in "abc":
+        clean = d.filter(~F.isnan(c))
+        assert got[c] == list(clean.agg(F.percentile(c, F.array(F.lit(0.0), F.lit(0.5), F.lit(1.0)))).first()[0]), c
