@@ -60,9 +60,9 @@ def t01(spark, sf):
     order = [r["mode"] for r in failure_mode_distribution(dom).orderBy(F.col("count").desc(), "mode").collect()]
     outs = []
     for name, d, flags in (("telemetry", tf, {"twf", "hdf", "pwf", "osf", "rnf"}), ("domain", dom, set())):
-        for s in SCEN:
-            rows = T.scenario_rows(d, s, order, flags)
-            outs.append(rows.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("source"), F.lit(s).alias("scenario"), "n_rows"))
+        counts = d.agg(*[F.count_if(T.scenario(s, order, flags)).alias(s) for s in SCEN])       # one pass per table
+        outs.append(counts.select(F.explode(F.array(*[F.struct(F.lit(s).alias("scenario"), F.col(s).alias("n_rows")) for s in SCEN])).alias("r"))
+                    .select(F.lit(name).alias("source"), "r.scenario", "r.n_rows"))
     return reduce(lambda a, b: a.unionByName(b), outs)
 
 
@@ -91,7 +91,7 @@ def t02(spark, sf):
 # ------------------------------------------------------------------ streams
 def _stream_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 64).parquet(sf)
 
 
 def _run_to_parquet(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:
@@ -105,14 +105,12 @@ def _run_to_parquet(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:
 def _t03_sql():
     full = _flagship_sql()
     # streaming applies the fitted cleaner to every arriving row (no de-duplication state)
-    cl2 = clean_ctes("tel_raw", MILLING_SHORT, ["rk", "h"])
     sel = []
     for i, c in enumerate(MILLING_SHORT):
         e = f"least(greatest(coalesce(r.{c}, tm.tm{i}, st.q{i}, 0.0), fe.wl{i}), fe.wh{i})"
         sel.append(f"round_even({e}, {0 if c in ('rpm', 'wear') else 3}) {c}")
     cl_all = (f"select r.rk, r.h, coalesce(r.tier, st.tier_mode) tier, {', '.join(sel)} from tel_raw r cross join st cross join fe "
               f"left join tm on tm.tier = coalesce(r.tier, st.tier_mode)")
-    del cl2
     return full.replace("ft as (", f"cl_all as ({cl_all}),\nft as (", 1).replace(" from cl)", " from cl_all)", 1)
 
 

@@ -5,16 +5,14 @@
 * T3 continuous scoring: ``readStream`` (file source) → fitted cleaner literals →
   features → closed-form risk → severity → sink.  No shuffle, no state.
 * T4 / T5 keep, per unit, the last 32 scored points and the last 15 alerts.  On a
-  stream this is ``applyInPandasWithState`` with bounded state (32 + 15 small
-  tuples per key); the batch equivalent is a per-unit ``row_number`` limit, which
+  stream this is ``applyInPandasWithState`` with bounded, typed state (32 + 15 + 1
+  points per key) kept in event order, so rows may come late by any time; the batch equivalent is a per-unit ``row_number`` limit, which
   Spark plans as a map-side group limit before the shuffle, so a hot unit never
   ships more than 32 rows per input partition.
 """
 
 from __future__ import annotations
 
-import json
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,18 +28,21 @@ SLOTS = {"TWF": 0, "HDF": 1, "PWF": 2, "OSF": 3, "RNF": 4}
 
 
 # ----------------------------------------------------------------------------- T1
-def scenario_rows(df: DataFrame, scenario: str, mode_order: list[str], flag_cols: set[str],
-                  label: str = "machine_failure", mode: str = "failure_mode") -> DataFrame:
-    """Rows a scenario draws from: a named fault flag; else the mode at the slot index (D1 order);
+def scenario(name: str, mode_order: list[str], flag_cols: set[str], label: str = "machine_failure", mode: str = "failure_mode") -> Column:
+    """The rows a scenario draws from: a named fault flag; else the mode at the slot index (D1 order);
     else any failure; 'normal' = healthy rows.  ``mode_order`` is D1's non-healthy modes (small)."""
-    s = scenario.upper()
-    if scenario == "normal":
-        return df.filter(col(label) == 0)
+    s = name.upper()
+    if name == "normal":
+        return col(label) == 0
     if s in SLOTS and s.lower() in flag_cols:
-        return df.filter(col(s.lower()) == 1)
+        return col(s.lower()) == 1
     if s in SLOTS and mode_order:
-        return df.filter(col(mode) == F.lit(mode_order[SLOTS[s] % len(mode_order)]))
-    return df.filter(col(label) == 1)
+        return col(mode) == F.lit(mode_order[SLOTS[s] % len(mode_order)])
+    return col(label) == 1
+
+
+def scenario_rows(df: DataFrame, name: str, mode_order: list[str], flag_cols: set[str], label: str = "machine_failure", mode: str = "failure_mode") -> DataFrame:
+    return df.filter(scenario(name, mode_order, flag_cols, label, mode))
 
 
 # ----------------------------------------------------------------------------- T2
@@ -100,8 +101,9 @@ def alert_feed(scored: DataFrame, unit: str = "user_id", n: int = ALERTS) -> Dat
 
 
 # ----------------------------------------------------------------------------- T4 / T5 stream
-STATE_SCHEMA = T.StructType([T.StructField("hist", T.StringType()), T.StructField("alerts", T.StringType()),
-                             T.StructField("seen", T.BooleanType())])
+_POINT = "struct<ts_us:bigint,event_id:bigint,severity:string,fail_prob:double,health:double,rul:double>"
+#: last points, last non-OPTIMAL points and the first point, all in event order; version counts the unit's batches
+STATE_SCHEMA = f"hist array<{_POINT}>, alerts array<{_POINT}>, first array<{_POINT}>, version bigint"
 OUT_SCHEMA = T.StructType([
     T.StructField("user_id", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("pos", T.IntegerType()),
     T.StructField("event_id", T.LongType()), T.StructField("severity", T.StringType()),
@@ -111,27 +113,18 @@ OUT_SCHEMA = T.StructType([
 
 
 def _update_buffers(key, pdfs, state):
-    """Per unit: append new points in (ts, event_id) order to bounded buffers; emit the buffers."""
-    if state.exists:
-        hist_s, alerts_s, seen = state.get
-        hist, alerts = json.loads(hist_s), json.loads(alerts_s)
-    else:
-        hist, alerts, seen = [], [], False
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts_us", "event_id"])
-    for r in pdf.itertuples(index=False):
-        pt = [int(r.ts_us), int(r.event_id), r.severity, float(r.fail_prob), float(r.health), float(r.rul)]
-        hist.append(pt)
-        if len(hist) > HISTORY:
-            hist = hist[-HISTORY:]
-        if r.severity != "OPTIMAL" or not seen:
-            alerts.append(pt)
-            alerts = alerts[-ALERTS:]
-        seen = True
-    state.update((json.dumps(hist), json.dumps(alerts), seen))
-    version = max(p[0] for p in hist)
+    """Per unit: merge new points into bounded buffers in (ts, event_id) order, however late they come; emit the buffers."""
+    hist, alerts, first, version = ([tuple(p) for p in x] if isinstance(x, (list, tuple)) else x for x in (state.get if state.exists else ([], [], [], 0)))
+    for pdf in pdfs:                                   # one Arrow batch at a time
+        new = sorted(zip(pdf["ts_us"].tolist(), pdf["event_id"].tolist(), pdf["severity"].tolist(), pdf["fail_prob"].tolist(), pdf["health"].tolist(), pdf["rul"].tolist(), strict=True))
+        hist = sorted(hist + new)[-HISTORY:]
+        alerts = sorted(alerts + [p for p in new if p[2] != "OPTIMAL"])[-ALERTS:]
+        first = sorted(first + new[:1])[:1]
+    version += 1
+    state.update((hist, alerts, first, version))
+    feed = sorted(alerts + [p for p in first if p[2] == "OPTIMAL"])[-ALERTS:]
     uid = int(key[0])
-    rows = [(uid, "history", len(hist) - i, p[1], p[2], p[3], p[4], p[5], version) for i, p in enumerate(hist)]
-    rows += [(uid, "alert", len(alerts) - i, p[1], p[2], p[3], p[4], p[5], version) for i, p in enumerate(alerts)]
+    rows = [(uid, kind, len(points) - i, *p[1:], version) for kind, points in (("history", hist), ("alert", feed)) for i, p in enumerate(points)]
     yield pd.DataFrame(rows, columns=[f.name for f in OUT_SCHEMA.fields])
 
 
@@ -143,6 +136,6 @@ def stateful_buffers(scored_stream: DataFrame, unit: str = "user_id") -> DataFra
 
 
 def latest_snapshot(out: DataFrame) -> DataFrame:
-    """Keep each unit's most recent emitted buffers (max version; ties impossible within a unit)."""
+    """Keep each unit's most recent emitted buffers (the version counts a unit's batches, so it never repeats)."""
     v = out.groupBy("user_id").agg(F.max("version").alias("__v"))
     return out.join(v, "user_id").filter(F.col("version") == F.col("__v")).drop("__v", "version")
