@@ -42,6 +42,18 @@ def uniform(*cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(1 << 53))
 
 
+def among(rows: DataFrame, key: str, bits: int = 1 << 18) -> Column:
+    """Whether a long column ``key`` may be one of those in ``rows``: a bit table of ``bits`` bits
+    whatever the input, so no key is missed and the table never grows. It only spares a shuffle
+    rows that cannot join; the join decides."""
+    words = [0] * (bits // 32)
+    for r in rows.select(F.pmod(key, F.lit(bits)).cast("int")).distinct().collect():
+        words[r[0] // 32] |= 1 << (r[0] % 32)
+    table = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")      # folded to a literal once
+    word = F.get(table, F.floor(F.pmod(key, F.lit(bits)) / 32).cast("int"))
+    return F.bitwise_not(word).bitwiseAND(F.expr(f"shiftleft(1L, cast(pmod({key}, 32) as int))")) == 0
+
+
 def prefix_sum(df: DataFrame, group: Sequence[str], bucket: str, order: Sequence[str], value: str, out: str) -> DataFrame:
     """Exclusive running sum of ``value`` inside each group, in (bucket, order) order, without
     bringing a group into one task: bucket totals, a running sum over the buckets (one row

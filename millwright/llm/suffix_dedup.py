@@ -8,15 +8,17 @@ A byte goes when a string of ``LENGTH`` bytes covers it that also starts earlier
    windows mostly share it, so they travel together as one segment of text.
 2. The hashes are counted over the corpus. Segments whose hash occurs once hold no repeat and
    are not looked at again.
-3. The remaining segments are shuffled by hash into shards (a hash with more than ``HOT``
-   segments is salted over several). Each task sorts the suffixes of its shard by
-   Larsson-Sadakane refinement - first by 8 bytes, then doubling, only inside groups that are
+3. The places of the others are shuffled by hash (a hash with more than ``HOT`` places is
+   salted over several shards). Segments of equal content, known by a second 64-bit hash, are
+   one string: all but the earliest are marked without moving any text.
+4. Where one hash has several contents, their text is fetched and shuffled into shards. Each
+   task sorts the suffixes of its shard by Larsson-Sadakane refinement - first by 8 bytes, then doubling, only inside groups that are
    still tied - and computes their common prefixes with Kasai's rule, in numpy. Suffixes in
    one run of common prefixes >= LENGTH are occurrences of one string: all but the earliest
    are marked.
-4. The earliest strings of salted shards are dealt out by content and merged across shards by
+5. The earliest strings of salted shards are dealt out by content and merged across shards by
    binary search in the sorted strings held so far; all but the earliest are marked.
-5. The marks of a document are united and its bytes cut.
+6. The marks of a document are united and its bytes cut.
 
 Edge cases: null text counts as empty; documents shorter than LENGTH lose nothing; rows that
 repeat both id and text are one document (each gets the same result); of rows that share
@@ -30,10 +32,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millwright.llm.common import written
+from millwright.llm.common import among, written
 
 LENGTH = 100
 GRAM = 24
@@ -87,18 +89,24 @@ def _segments(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tupl
     return (low[first] >> np.uint64(20)).astype(np.int64), first, last
 
 
-def _chunks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(hash, text number, first window, last window) of all texts, a bounded number of bytes at a time."""
+def _chunks(texts: list[bytes], contents: bool) -> Iterator[tuple[np.ndarray, ...]]:
+    """(hash, text number, first window, last window, content hash) of all texts, a bounded number of bytes at a time."""
+    import xxhash
+
     held, size = [], 0
 
-    def flush() -> tuple:
-        data = np.frombuffer(b"".join(p for _, _, p in held), np.uint8)
+    def flush() -> tuple[np.ndarray, ...]:
+        joined = b"".join(p for _, _, p in held)
         lengths = np.array([len(p) for _, _, p in held])
         starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        h, first, last = _segments(data, starts, lengths)
+        h, first, last = _segments(np.frombuffer(joined, np.uint8), starts, lengths)
+        content = np.zeros(0, np.int64)
+        if contents:
+            view, digest = memoryview(joined), xxhash.xxh64_intdigest
+            content = np.array([digest(view[a:b]) for a, b in zip(first.tolist(), (last + LENGTH).tolist(), strict=True)], np.uint64).view(np.int64)
         of = np.searchsorted(starts, first, "right") - 1
         shift = np.array([at for _, at, _ in held])[of] - starts[of]
-        return h, np.array([k for k, _, _ in held])[of], first + shift, last + shift
+        return h, np.array([k for k, _, _ in held])[of], first + shift, last + shift, content
 
     for k, text in enumerate(texts):
         for at in range(0, max(0, len(text) - LENGTH + 1), CHUNK):
@@ -119,17 +127,18 @@ def _bytes(texts: pd.Series) -> list[bytes]:
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for at in range(0, len(pdf), 1000):
-            found = [h for h, *_ in _chunks(_bytes(pdf["text"][at:at + 1000]))]
+            found = [c[0] for c in _chunks(_bytes(pdf["text"][at:at + 1000]), False)]
             h, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
             yield pd.DataFrame({"h": h, "n": n})
 
 
 def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per segment; ``at`` holds its first window and, in the lowest byte, how many follow."""
     for pdf in batches:
         ids, tags = pdf["doc_id"].to_numpy(), pdf["tag"].to_numpy()
         for at in range(0, len(pdf), 1000):
-            for h, of, first, last in _chunks(_bytes(pdf["text"][at:at + 1000])):
-                yield pd.DataFrame({"h": h, "doc_id": ids[at + of], "tag": tags[at + of], "first": first.astype(np.int32), "last": last.astype(np.int32)})
+            for h, of, first, last, content in _chunks(_bytes(pdf["text"][at:at + 1000]), True):
+                yield pd.DataFrame({"h": h, "content": content, "doc_id": ids[at + of], "tag": tags[at + of], "at": first * 256 + (last - first)})
 
 
 # ---- suffix arrays --------------------------------------------------------------------------
@@ -217,29 +226,44 @@ def _repeats(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return repeated, starts, earliest
 
 
-_ROW = "h long, salt int, doc_id long, tag int, first int, last int, part binary"
-_MARK = "kind int, doc_id long, tag int, first int, last int, part binary"   # kind 0: bytes first to last-1 go; 1: string of a salted shard
+_ROW = "h long, salt int, doc_id long, tag int, first int, part binary"
+_SETTLED = "kind int, h long, salt int, doc_id long, tag int, first int, last int"   # kind 0: bytes first to last-1 go; 1: a content to compare
+_MARK = "kind int, doc_id long, tag int, first int, last int, part binary"           # kind 0: as above; 1: string of a salted shard
+
+
+def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Marks of segments whose content came earlier, and the contents of hashes that have several; rows come by (h, salt), then in corpus order."""
+    columns = ["kind", "h", "salt", "doc_id", "tag", "first", "last"]
+    group: tuple[int, int] | None = None
+    seen: set[int] = set()
+    held: list[tuple] = []
+    for pdf in batches:
+        out: list[tuple] = []
+        for h, salt, content, doc, tag, at in zip(*(pdf[c].tolist() for c in ("h", "salt", "content", "doc_id", "tag", "at")), strict=True):
+            if (h, salt) != group:
+                if len(held) > 1 or held and held[0][2]:
+                    out += held
+                group, seen, held = (h, salt), set(), []
+            a = at >> 8
+            if content in seen:
+                out.append((0, h, salt, doc, tag, a, a + (at & 255) + LENGTH))
+            else:
+                seen.add(content)
+                held.append((1, h, salt, doc, tag, a, a + (at & 255) + LENGTH))
+        yield pd.DataFrame(out, columns=columns)
+    yield pd.DataFrame(held if len(held) > 1 or held and held[0][2] else [], columns=columns)
 
 
 def _cut_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Segments of the documents' texts; a segment equal to an earlier one of the same batch is a mark (part null)."""
+    """The text of the wanted segments."""
     for pdf in batches:
-        order = np.lexsort((pdf["tag"].to_numpy(), pdf["doc_id"].to_numpy()))
-        for at in range(0, len(order), 2000):
+        for at in range(0, len(pdf), 1000):
             out: list[tuple] = []
-            seen: set[bytes] = set()
-            for i in order[at:at + 2000].tolist():
-                text, doc, tag = pdf["text"].iat[i].encode("utf-8", "surrogatepass"), pdf["doc_id"].iat[i], pdf["tag"].iat[i]
-                places = pdf["places"].iat[i]
-                for p in sorted(places, key=lambda p: p["first"]):
-                    a, b = p["first"], p["last"] + LENGTH
-                    part = text[a:b]
-                    if part in seen:
-                        out.append((p["h"], 0, doc, tag, a, b, None))
-                    else:
-                        seen.add(part)
-                        out.append((p["h"], p["salt"], doc, tag, a, b, part))
-            yield pd.DataFrame(out, columns=["h", "salt", "doc_id", "tag", "first", "last", "part"])
+            part = pdf[at:at + 1000]
+            for doc, tag, text, places in zip(part["doc_id"], part["tag"], part["text"], part["places"], strict=True):
+                raw = text.encode("utf-8", "surrogatepass")
+                out += [(p["h"], p["salt"], doc, tag, p["first"], raw[p["first"]:p["last"]]) for p in places]
+            yield pd.DataFrame(out, columns=["h", "salt", "doc_id", "tag", "first", "part"])
 
 
 def _marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -248,37 +272,23 @@ def _marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def shard(held: list[tuple]) -> pd.DataFrame:
         out: list[tuple] = []
-        known: dict[bytes, int] = {}
-        parts, rows = [], []
-        for row in held:
-            part = row[5]
-            if part in known:                            # a copy of an earlier segment: all of it repeats
-                out.append((0, row[2], row[3], row[4], row[4] + len(part), None))
-            else:
-                known[part] = len(parts)
-                parts.append(part)
-                rows.append(row)
-        if len(parts) > 1 or any(r[6] for r in rows) or parts and len(parts[0]) > LENGTH:
-            repeated, starts, earliest = _repeats(parts)
-            runs = np.flatnonzero(np.diff(np.concatenate(([False], repeated, [False])).astype(np.int8)))
-            for a, b in runs.reshape(-1, 2).tolist():
-                k = int(np.searchsorted(starts, a, "right")) - 1
-                row, off = rows[k], a - int(starts[k])
-                out.append((0, row[2], row[3], row[4] + off, row[4] + off + (b - a) + LENGTH - 1, None))
-            for a in earliest.tolist():
-                k = int(np.searchsorted(starts, a, "right")) - 1
-                row, off = rows[k], a - int(starts[k])
-                if row[6]:
-                    out.append((1, row[2], row[3], row[4] + off, row[4] + off + LENGTH, parts[k][off:off + LENGTH]))
+        parts = [row[5] for row in held]
+        repeated, starts, earliest = _repeats(parts)
+        runs = np.flatnonzero(np.diff(np.concatenate(([False], repeated, [False])).astype(np.int8))).reshape(-1, 2)
+        for (a, b), k in zip(runs.tolist(), (np.searchsorted(starts, runs[:, 0], "right") - 1).tolist(), strict=True):
+            row, off = held[k], a - int(starts[k])
+            out.append((0, row[2], row[3], row[4] + off, row[4] + off + (b - a) + LENGTH - 1, None))
+        salted = np.array([row[1] > 0 for row in held])
+        of = np.searchsorted(starts, earliest, "right") - 1
+        for a, k in zip(earliest[salted[of]].tolist(), of[salted[of]].tolist(), strict=True):
+            row, off = held[k], a - int(starts[k])
+            out.append((1, row[2], row[3], row[4] + off, row[4] + off + LENGTH, parts[k][off:off + LENGTH]))
         return pd.DataFrame(out, columns=columns)
 
     held: list[tuple] = []
     size = 0
     for pdf in batches:
-        plain = pdf["part"].isna().to_numpy()
-        if plain.any():
-            yield pdf[plain].assign(kind=0)[columns]
-        for row in pdf[~plain][["h", "salt", "doc_id", "tag", "first", "part", "salted"]].itertuples(index=False, name=None):
+        for row in pdf[["h", "salt", "doc_id", "tag", "first", "part"]].itertuples(index=False, name=None):
             if size > SHARD and (row[0], row[1]) != (held[-1][0], held[-1][1]):
                 yield shard(held)
                 held, size = [], 0
@@ -306,27 +316,36 @@ def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf[~stays][["doc_id", "tag", "first", "last"]]
 
 
-def _tag(text: Column) -> Column:
-    return F.hash(text)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, key_id, tag, text): key_id stands for null too; tag tells texts of one id apart, 0 where there is one."""
+    texts = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("key_id"), F.coalesce("text", F.lit("")).alias("text"))
+    hashed = texts.select("key_id", F.hash("text").alias("x"))
+    several = written(hashed.groupBy("key_id").agg(F.min("x").alias("low"), F.max("x").alias("high")).filter("low <> high").select(F.col("key_id").alias("again")), "repeated-ids")
+    return texts.join(several, F.col("key_id") == F.col("again"), "left").withColumn("tag", F.when(F.col("again").isNotNull(), F.hash("text")).otherwise(F.lit(0))).drop("again")
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, tag, spans): disjoint byte spans [first, last) to remove, in order; tag is the text's hash."""
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tag", _tag(F.col("text")))
-    long_enough = texts.filter(F.octet_length("text") >= LENGTH).withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")))
-    counts = long_enough.select("text").mapInPandas(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+def repeated_spans(keyed: DataFrame) -> DataFrame:
+    """(doc_id, tag, spans): byte spans [first, last) to remove, in order of their start, of documents as ``_keyed`` gives them."""
+    texts = keyed.filter(F.octet_length("text") >= LENGTH).select(F.col("key_id").alias("doc_id"), "tag", "text")
+    counts = texts.select("text").mapInPandas(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     shared = written(counts.filter("n > 1"), "shared-hashes")
-    places = long_enough.select("doc_id", "tag", "text").mapInPandas(_places, "h long, doc_id long, tag int, first int, last int")
     salts = F.ceil(F.col("n") / HOT).cast("int")
-    found = places.join(shared, "h").select("doc_id", "tag", F.struct("h", F.when(salts > 1, F.pmod(F.hash("doc_id", "tag"), salts) + 1).otherwise(F.lit(0)).alias("salt"), "first", "last").alias("place"))
-    per_doc = found.groupBy("doc_id", "tag").agg(F.collect_set("place").alias("places"))
-    parts = long_enough.join(per_doc, ["doc_id", "tag"]).select("doc_id", "tag", "text", "places").mapInPandas(_cut_segments, _ROW)
-    rows = parts.withColumn("salted", F.col("salt") > 0).repartition("h", "salt").sortWithinPartitions("h", "salt", "doc_id", "tag", "first")
-    marks = written(rows.mapInPandas(_marks, _MARK), "repeat-marks")
+    places = texts.mapInPandas(_places, "h long, content long, doc_id long, tag int, at long")
+    found = places.join(shared, "h").withColumn("salt", F.when(salts > 1, F.pmod(F.hash("doc_id", "tag"), salts) + 1).otherwise(F.lit(0))).drop("n")
+    settled = found.repartition("h", "salt").sortWithinPartitions("h", "salt", "doc_id", "tag", "at").mapInPandas(_settle, _SETTLED)
+    settled = written(settled, "settled-segments")
+    wanted = settled.filter("kind = 1").groupBy("doc_id", "tag").agg(F.collect_set(F.struct("h", "salt", "first", "last")).alias("places"))
+    wanted = written(wanted, "wanted-segments")
+    texts = texts.withColumn("key", F.xxhash64("doc_id", "tag"))
+    texts = texts.filter(among(wanted.select(F.xxhash64("doc_id", "tag").alias("key")), "key"))
+    parts = texts.join(wanted, ["doc_id", "tag"]).select("doc_id", "tag", "text", "places").mapInPandas(_cut_segments, _ROW)
+    marks = parts.repartition("h", "salt").sortWithinPartitions("h", "salt", "doc_id", "tag", "first").mapInPandas(_marks, _MARK)
+    marks = written(marks, "repeat-marks")
     strings = marks.filter("kind = 1").drop("kind").repartition(F.xxhash64("part")).sortWithinPartitions("doc_id", "tag", "first")
     across = strings.mapInPandas(_merge, "doc_id long, tag int, first int, last int")
-    spans = marks.filter("kind = 0").select("doc_id", "tag", "first", "last").unionByName(across).groupBy("doc_id", "tag").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("spans"))
-    return written(spans, "repeat-spans")
+    span = ["doc_id", "tag", "first", "last"]
+    every = settled.filter("kind = 0").select(*span).unionByName(marks.filter("kind = 0").select(*span)).unionByName(across)
+    return written(every.groupBy("doc_id", "tag").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("spans")), "repeat-spans")
 
 
 def _unite(spans: list | np.ndarray | None) -> list[tuple[int, int]]:
@@ -341,8 +360,8 @@ def _unite(spans: list | np.ndarray | None) -> list[tuple[int, int]]:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) per document."""
-    spans = repeated_spans(docs).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "spans")
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tag", _tag(F.col("text")))
+    texts = _keyed(docs)
+    spans = repeated_spans(texts).select(F.col("doc_id").alias("of"), F.col("tag").alias("of_tag"), "spans")
 
     @F.pandas_udf("n_removed long, n_spans long, kept binary")
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -354,5 +373,5 @@ def deduplicate(docs: DataFrame) -> DataFrame:
                 out.append((sum(b - a for a, b in whole), len(whole), b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))))
             yield pd.DataFrame(out, columns=["n_removed", "n_spans", "kept"])
 
-    same = (F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")) == F.col("_id")) & (F.col("tag") == F.col("_tag"))
-    return texts.join(spans, same, "left").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), cut("text", "spans").alias("c")).select("doc_id", "n_bytes", "c.n_removed", "c.n_spans", "c.kept")
+    rows = texts.join(spans, (F.col("key_id") == F.col("of")) & (F.col("tag") == F.col("of_tag")), "left")
+    return rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), cut("text", "spans").alias("c")).select("doc_id", "n_bytes", "c.n_removed", "c.n_spans", "c.kept")
