@@ -13,38 +13,36 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millwright.functions.exprs import col, hash_uniform, md5_chunk_uniform
+from millwright.session import materialize
 
-BROADCAST_LIMIT_ROWS = 2_000_000
-KNN_BLOCK_BYTES = 256 << 20
+BUCKET_ROWS = 65_536   # rows of a rank bucket, about
 
 
 def md5_key(key: str | Column) -> Column:
     return F.md5(col(key).cast("string"))
 
 
-def _small_join(big: DataFrame, small: DataFrame, on, how: str = "inner", limit_rows: int = BROADCAST_LIMIT_ROWS) -> DataFrame:
-    """Broadcast ``small`` only after checking its row count; otherwise a shuffle join (AQE may still convert)."""
-    n = small.count()
-    return big.join(F.broadcast(small) if n <= limit_rows else small, on, how)
-
-
 def two_level_rank(df: DataFrame, group_cols: list[str], order_key: Column, tie_key: Column,
-                   n_buckets: int = 4096, bucket: Column | None = None, out: str = "rank",
+                   bucket: Column | None = None, out: str = "rank",
                    group_total: str | None = None) -> DataFrame:
     """Exact 1-based rank of ``(order_key, tie_key)`` within ``group_cols`` (ascending).
 
     ``bucket`` must be monotone in ``order_key``; by default the key is an md5 hex
-    string and the bucket its first three hex digits.  The count table has at most
-    groups × buckets rows, so its prefix sum is cheap; each (group, bucket) holds
-    about n / buckets rows, so no task sees a whole group.
+    string and the bucket its first hex digits, as many as leave about ``BUCKET_ROWS`` rows
+    in a bucket.  The count table has groups × buckets rows, so its prefix sum is cheap, and
+    no task sees a whole group.
     """
-    b = bucket if bucket is not None else F.conv(F.substring(order_key, 1, 3), 16, 10).cast("int")
+    if bucket is None:
+        digits, n = 3, df.count()
+        while 16**digits * BUCKET_ROWS < n:
+            digits += 1
+        bucket = F.conv(F.substring(order_key, 1, digits), 16, 10).cast("long")
+    b = bucket
     d = df.withColumns({"__ok": order_key, "__tk": tie_key, "__b": b})
     counts = d.groupBy(*group_cols, "__b").agg(F.count(F.lit(1)).alias("__c"))
     w = Window.partitionBy(*group_cols).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
@@ -52,10 +50,8 @@ def two_level_rank(df: DataFrame, group_cols: list[str], order_key: Column, tie_
     if group_total:
         # group sizes fall out of the same bucket counts — no second pass over the rows
         offsets = offsets.withColumn(group_total, F.sum("__c").over(Window.partitionBy(*group_cols)))
-    # the offset table (≤ groups × buckets rows) is materialised once: the size check and the
-    # join then reuse it instead of re-aggregating the input
-    offsets = offsets.drop("__c").persist(StorageLevel.MEMORY_AND_DISK)
-    j = _small_join(d, offsets, [*group_cols, "__b"])
+    # the offset table is written once, so that Spark plans the join by its size
+    j = d.join(materialize(offsets.drop("__c"), "rank-offsets"), [*group_cols, "__b"])
     wr = Window.partitionBy(*group_cols, "__b").orderBy("__ok", "__tk")
     return j.withColumn(out, F.row_number().over(wr) + F.col("__off")).drop("__ok", "__tk", "__b", "__off")
 
@@ -120,64 +116,109 @@ def explanation_sample(df: DataFrame, key: str, n: int = 180) -> DataFrame:
 
 
 # ----------------------------------------------------------------------- B3: SMOTE
-def _knn_block(bc, k: int):
-    def fn(it):
-        block_ids, block_x = bc.value
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            qall = np.stack(pdf["__x"].to_numpy()).astype(np.float64)
-            qid_all = pdf["__id"].to_numpy()
-            bnorm = (block_x * block_x).sum(1)[None, :]
-            kk = min(k, block_x.shape[0])
-            step = max(1, (32 << 20) // (8 * max(block_x.shape[0], 1)))  # ≤ 32 MB distance tile
-            for s0 in range(0, len(qid_all), step):
-                q, qid = qall[s0:s0 + step], qid_all[s0:s0 + step]
-                d2 = (q * q).sum(1)[:, None] + bnorm - 2.0 * q @ block_x.T
-                dist = np.sqrt(np.maximum(d2, 0.0))
-                dist[qid[:, None] == block_ids[None, :]] = np.inf
-                rd = np.round(dist, 9)
-                out_id, out_nn, out_d = [], [], []
-                for i in range(len(qid)):
-                    order = np.lexsort((block_ids, rd[i]))[:kk]
-                    order = order[np.isfinite(rd[i][order])]
-                    out_id.append(np.full(len(order), qid[i]))
-                    out_nn.append(block_ids[order])
-                    out_d.append(dist[i][order])
-                yield pd.DataFrame({"__id": np.concatenate(out_id), "nn_id": np.concatenate(out_nn),
-                                    "dist": np.concatenate(out_d)})
-    return fn
+PIVOTS = 256        # cells at most: pivots and their distances are all that the driver holds
+CELL_ROWS = 512     # rows aimed at per cell, until there are PIVOTS cells
+QUERY_ROWS = 1024   # rows of a cell that one task answers at a time; larger cells are split
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.empty((len(a), len(b)))
+    step = max(1, (4 << 20) // max(1, b.size))
+    for at in range(0, len(a), step):
+        diff = a[at:at + step, None, :] - b[None, :, :]
+        out[at:at + step] = np.sqrt((diff * diff).sum(axis=2))
+    return out
+
+
+def _nearest(k: int):
+    """The k nearest candidates of each query: rows come by (cell, chunk), queries (kind 0) first, candidates streamed past."""
+
+    def answer(ids, best_d, best_id):
+        keep = np.isfinite(best_d)
+        row, rank = np.nonzero(keep)
+        return pd.DataFrame({"__id": ids[row], "nn_id": best_id[keep], "dist": best_d[keep], "nn_rank": rank + 1})
+
+    def run(batches):
+        group, ids, x, best_d, best_id = None, None, None, None, None
+        for pdf in batches:
+            marks = list(zip(pdf["cell"].tolist(), pdf["chunk"].tolist(), pdf["kind"].tolist()))
+            cuts = [0, *(i for i in range(1, len(marks)) if marks[i] != marks[i - 1]), len(marks)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi == lo:
+                    continue
+                part = pdf.iloc[lo:hi]
+                new_ids, new_x = part["__id"].to_numpy(), np.stack(part["__x"].to_numpy()).astype(np.float64)
+                if marks[lo][:2] != group:
+                    if group is not None and ids is not None:
+                        yield answer(ids, best_d, best_id)
+                    group, ids = marks[lo][:2], None
+                if marks[lo][2] == 0:
+                    ids = new_ids if ids is None else np.concatenate((ids, new_ids))
+                    x = new_x if len(ids) == len(new_ids) else np.concatenate((x, new_x))
+                    best_d, best_id = np.full((len(ids), k), np.inf), np.full((len(ids), k), ids[0], dtype=ids.dtype)
+                    continue
+                if ids is None:
+                    continue
+                for at in range(0, len(new_ids), 2048):
+                    cid = new_ids[at:at + 2048]
+                    dist = _distances(x, new_x[at:at + 2048])
+                    dist[ids[:, None] == cid[None, :]] = np.inf
+                    every_d = np.concatenate((best_d, dist), axis=1)
+                    every_id = np.concatenate((best_id, np.broadcast_to(cid, dist.shape)), axis=1)
+                    place = np.unique(every_id, return_inverse=True)[1].reshape(every_id.shape)
+                    order = np.lexsort((place, np.round(every_d, 9)), axis=-1)[:, :k]
+                    best_d, best_id = np.take_along_axis(every_d, order, 1), np.take_along_axis(every_id, order, 1)
+        if group is not None and ids is not None:
+            yield answer(ids, best_d, best_id)
+
+    return run
 
 
 def knn_within(df: DataFrame, key: str, vec: str, k: int) -> DataFrame:
     """Exact k nearest neighbours (Euclidean, self excluded; ties by neighbour key) inside ``df``.
 
-    The set is processed in blocks of at most ``KNN_BLOCK_BYTES`` (size checked before
-    anything is shipped); each block is broadcast to every partition, distances are
-    computed with NumPy in Arrow batches and only the k best per row and block are
-    emitted, then merged per row.  No pair table is materialised.
+    Voronoi cells around at most PIVOTS pivots. A cell's radius and its members nearest to the
+    pivot bound the k-th distance of all its queries; a row is sent to a cell only if the
+    triangle inequality leaves room for it within that bound. Cells are answered on executors,
+    QUERY_ROWS queries at a time with the candidates streamed past, so memory is bounded.
     """
-    d = df.select(col(key).alias("__id"), F.col(vec).cast("array<double>").alias("__x"))
-    n, dim = d.count(), d.select(F.max(F.size("__x"))).first()[0] or 0
-    n_blocks = max(1, math.ceil(n * max(dim, 1) * 8 / KNN_BLOCK_BYTES))
-    spark = df.sparkSession
+    d = materialize(df.select(col(key).alias("__id"), F.col(vec).cast("array<double>").alias("__x")), "knn-rows")
     schema = T.StructType([T.StructField("__id", d.schema["__id"].dataType), T.StructField("nn_id", d.schema["__id"].dataType),
-                           T.StructField("dist", T.DoubleType())])
-    parts = []
-    for b in range(n_blocks):
-        blk = d.filter((F.abs(F.xxhash64("__id")) % n_blocks) == b) if n_blocks > 1 else d
-        rows = blk.collect()
-        if not rows:
-            continue
-        ids = np.array([r["__id"] for r in rows])
-        xs = np.array([r["__x"] for r in rows], dtype=np.float64)
-        bc = spark.sparkContext.broadcast((ids, xs))
-        parts.append(d.mapInPandas(_knn_block(bc, k), schema))
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
-    w = Window.partitionBy("__id").orderBy(F.round("dist", 9), "nn_id")
-    return cand.withColumn("nn_rank", F.row_number().over(w)).filter(F.col("nn_rank") <= k).withColumnRenamed("__id", key)
+                           T.StructField("dist", T.DoubleType()), T.StructField("nn_rank", T.LongType())])
+    m = min(PIVOTS, max(1, math.ceil(d.count() / CELL_ROWS)))
+    pivots = np.array([r["__x"] for r in d.orderBy(F.xxhash64("__id"), "__id").limit(m).collect()], dtype=np.float64).reshape(m, -1) if m else np.zeros((0, 0))
+    if not pivots.size:
+        return df.sparkSession.createDataFrame([], schema).withColumnRenamed("__id", key)
+
+    @F.pandas_udf("cell int, r double")
+    def place(xs: pd.Series) -> pd.DataFrame:
+        dist = _distances(np.stack(xs.to_numpy()).astype(np.float64), pivots)
+        cell = dist.argmin(axis=1)
+        return pd.DataFrame({"cell": cell.astype(np.int32), "r": dist[np.arange(len(cell)), cell]})
+
+    placed = materialize(d.withColumn("p", place("__x")).select("__id", "__x", "p.cell", "p.r"), "knn-cells")
+    near = placed.withColumn("rn", F.row_number().over(Window.partitionBy("cell").orderBy("r"))).filter(F.col("rn") <= k + 1)
+    inner = {r["cell"]: sorted(r["rs"]) for r in near.groupBy("cell").agg(F.collect_list("r").alias("rs")).collect()}
+    sizes = {r["cell"]: (r["radius"], r["n"]) for r in placed.groupBy("cell").agg(F.max("r").alias("radius"), F.count(F.lit(1)).alias("n")).collect()}
+    apart = _distances(pivots, pivots)
+    radius = np.array([sizes.get(i, (0.0, 0))[0] for i in range(m)])
+    chunks = [max(1, math.ceil(sizes.get(i, (0.0, 0))[1] / QUERY_ROWS)) for i in range(m)]
+    within = np.array([sorted(radius[i] + apart[i, j] + r for j, rs in inner.items() for r in rs)[:k + 1][-1] for i in range(m)])
+    least = apart - radius[:, None] - within[:, None] - 1e-6 * (1 + within[:, None])       # a row of cell j goes to cell i if r >= least[i, j]
+    full = np.array([i in sizes for i in range(m)])
+
+    @F.pandas_udf("array<int>")
+    def goes_to(cell: pd.Series, r: pd.Series) -> pd.Series:
+        hit = (r.to_numpy()[:, None] >= least[:, cell.to_numpy()].T) & full[None, :]
+        return pd.Series([np.flatnonzero(h).astype(np.int32) for h in hit], dtype=object)
+
+    parts = F.array(*[F.lit(c) for c in chunks])
+    in_cell = F.element_at(parts, F.col("cell") + 1)
+    queries = placed.select("cell", F.pmod(F.xxhash64("__id"), in_cell).cast("int").alias("chunk"), F.lit(0).alias("kind"), "__id", "__x")
+    sent = placed.select(F.explode(goes_to("cell", "r")).alias("cell"), "__id", "__x")
+    sent = sent.select("cell", F.explode(F.sequence(F.lit(0), in_cell - 1)).alias("chunk"), F.lit(1).alias("kind"), "__id", "__x")
+    rows = queries.unionByName(sent).repartition("cell", "chunk").sortWithinPartitions("cell", "chunk", "kind")
+    return rows.mapInPandas(_nearest(k), schema).withColumnRenamed("__id", key)
 
 
 def smote(df: DataFrame, label: str, key: str, vec: str, ratio: float = 0.38, minority_label: int = 1,

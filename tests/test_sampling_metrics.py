@@ -110,7 +110,39 @@ def test_roc_curve_starts_at_origin_and_ends_at_one(spark):
     y = [int(v) for v in rng.integers(0, 2, 500)]
     s = [float(v) for v in rng.random(500).round(3)]
     df = spark.createDataFrame(list(zip(y, s)), "label int, score double")
-    pts = sorted((r["point_no"], r["fpr"], r["tpr"]) for r in E.roc_curve(df, []).collect())
+    pts = sorted((r["point_no"], r["fpr"], r["tpr"]) for r in E.roc_curve(df, [], max_points=35).collect())
     assert pts[0][1:] == (0.0, 0.0) and pts[-1][1:] == (1.0, 1.0) and len(pts) <= 35
-    pr = sorted((r["point_no"], r["recall"], r["precision"]) for r in E.pr_curve(df, []).collect())
+    pr = sorted((r["point_no"], r["recall"], r["precision"]) for r in E.pr_curve(df, [], max_points=35).collect())
     assert pr[-1][1:] == (0.0, 1.0) and len(pr) <= 35
+
+
+def test_knn_with_many_cells_and_split_cells_matches_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = np.concatenate((rng.normal(0, 1, (150, 3)), rng.normal(9, 0.1, (100, 3)), np.zeros((10, 3))))
+    df = spark.createDataFrame([(f"k{i:03d}", [float(v) for v in r]) for i, r in enumerate(x)], "id string, v array<double>")
+    monkeypatch.setattr(B, "CELL_ROWS", 20)
+    monkeypatch.setattr(B, "QUERY_ROWS", 16)
+    got = {(r["id"], r["nn_rank"]): r["nn_id"] for r in B.knn_within(df, "id", "v", 4).collect()}
+    for i in range(len(x)):
+        dist = np.round(np.sqrt(((x[i] - x) ** 2).sum(axis=1)), 9)
+        want = [j for j in np.lexsort((np.arange(len(x)), dist)) if j != i][:4]
+        assert [got[f"k{i:03d}", r + 1] for r in range(4)] == [f"k{j:03d}" for j in want]
+
+
+def test_curves_of_one_model_with_all_scores_distinct(spark):
+    rng = np.random.default_rng(9)
+    n = 3000
+    score, label = rng.random(n), rng.integers(0, 2, n)
+    df = spark.createDataFrame([("m", int(y), float(s)) for y, s in zip(label, score)], "model string, label int, score double")
+    order = np.argsort(-score)
+    tp, fp = np.cumsum(label[order]), np.cumsum(1 - label[order])
+    auc = E.roc_auc(df, ["model"]).first()["roc_auc"]
+    rank = np.empty(n)
+    rank[np.argsort(score)] = np.arange(1, n + 1)
+    pos = int(label.sum())
+    assert abs(auc - (rank[label == 1].sum() - pos * (pos + 1) / 2) / (pos * (n - pos))) < 1e-9
+    keep = [i for i in range(n) if i in (0, n - 1) or tp[i + 1] - 2 * tp[i] + tp[i - 1] or fp[i + 1] - 2 * fp[i] + fp[i - 1]]
+    want = [(0.0, 0.0)] + [(round(fp[i] / (n - pos), 4), round(tp[i] / pos, 4)) for i in keep]
+    got = [(r["fpr"], r["tpr"]) for r in E.roc_curve(df, ["model"]).orderBy("point_no").collect()]
+    assert len(got) == len(want) and all(abs(a - c) < 2e-4 and abs(b - d) < 2e-4 for (a, b), (c, d) in zip(got, want))
+    assert E.pr_curve(df, ["model"]).count() == n + 1 and E.roc_curve(df, [], max_points=35).count() == 35
