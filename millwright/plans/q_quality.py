@@ -11,7 +11,8 @@ from millwright.plans.oracles import (
     TWO_PI_OVER_60, audit_select, clean_ctes, oracle, prob_expr, q, risk_ctes,
 )
 from millwright.plans.registry import register
-from millwright.plans.risk_report import MILLING_SHORT, milling_risk_report
+from millwright.operators import prescribe as R
+from millwright.plans.risk_report import MILLING_SHORT, OPTIMAL_SENSORS, milling_risk_report
 from millwright.sources.fixtures import fixture
 
 S = MILLING_SHORT
@@ -72,6 +73,14 @@ def _flagship_sql() -> str:
             f"array_to_string({tuning}, ' | ') tuning, "
             f"{prob_expr('cf_base_risk', 0.0)} projected_risk_pct, "
             f"round_even({prob_expr('cf_base_risk', 0.0)} - failure_prob_pct, 2) risk_delta from c3")
+    text = lambda *cols: ", ".join(f"cast({c} as varchar)" for c in cols)
+    avgs = text("classical_avg_pct", "deep_avg_pct")
+    cons = "printf('" + R.DIAG_CONSENSUS + f"', {avgs})"
+    calm = " || ' | ' || ".join(f"'{name}=' || cast(round_even(q{S.index(c)}, 2) as varchar) || '=Optimal Window'" for name, c in OPTIMAL_SENSORS)
+    summ = ("case when severity in ('CRITICAL','WARNING') then printf('" + R.SUMMARY_ALERT.replace("'", "''") + f"', severity, {text('failure_prob_pct')}, {avgs}, dominant_mode, {text('pred_rul', 'health_index')}) "
+            "else printf('" + R.SUMMARY_CALM.replace("'", "''") + f"', severity, {text('failure_prob_pct', 'health_index')}, {avgs}, {text('pred_rul')}) end")
+    body = (f"select b.* replace (case when diagnostics = '' then {cons} else diagnostics || ' | ' || {cons} end as diagnostics, "
+            f"case when tuning = '' then {calm} else tuning end as tuning), {summ} summary from ({body}) b cross join st")
     return oracle(["tel_raw"], body, ctes)
 
 

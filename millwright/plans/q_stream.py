@@ -17,7 +17,7 @@ from millwright.plans.oracles import clean_ctes, oracle
 from millwright.plans.q_labels import _rules_sql
 from millwright.plans.q_quality import _flagship_sql
 from millwright.plans.registry import register
-from millwright.plans.risk_report import MILLING_SHORT, report_from_clean
+from millwright.plans.risk_report import MILLING_SHORT, complete, report_from_clean
 from millwright.session import scratch_path
 from millwright.sources import fixtures as FX
 from millwright.sources.catalog import DOMAIN_SPECS
@@ -120,7 +120,7 @@ def t03(spark, sf):
     li = _stream_table(spark, sf, "lineitem")
     tc = spark.sql(FX.view_sql("tel_clean", "spark"), lineitem=li)
     raw = spark.sql(FX.view_sql("tel_raw", "spark"), tel_clean=tc)
-    rep = report_from_clean(model.transform(raw))
+    rep = complete(report_from_clean(model.transform(raw)), model.medians)
     return _run_to_parquet(rep, spark, "t03")
 
 

@@ -67,6 +67,22 @@ def report_from_clean(clean: DataFrame, champion: str = "XGBoost", key: str = "r
     )
 
 
+OPTIMAL_SENSORS = [("Air temperature [K]", "air"), ("Process temperature [K]", "proc")]
+
+
+def complete(report: DataFrame, medians: dict[str, float]) -> DataFrame:
+    """Every row gets a consensus line among its diagnostics, a summary and, where
+    there is nothing to tune, the first two sensors at their medians as 'Optimal Window'."""
+    calm = " | ".join(f"{name}={round(medians[c], 2)}=Optimal Window" for name, c in OPTIMAL_SENSORS)
+    consensus = R.consensus_line(F.col("classical_avg_pct"), F.col("deep_avg_pct"))
+    return report.withColumns({
+        "diagnostics": F.concat_ws(" | ", F.when(F.col("diagnostics") != "", F.col("diagnostics")), consensus),
+        "tuning": F.when(F.col("tuning") == "", F.lit(calm)).otherwise(F.col("tuning")),
+        "summary": R.summary(F.col("severity"), F.col("failure_prob_pct"), F.col("classical_avg_pct"), F.col("deep_avg_pct"),
+                             F.col("dominant_mode"), F.col("pred_rul"), F.col("health_index")),
+    })
+
+
 def milling_risk_report(raw: DataFrame, champion: str = "XGBoost", key: str = "rk", exact: bool = True,
                         model: CleanerModel | None = None) -> DataFrame:
     """Entry point over raw telemetry with short column names (``tel_raw`` shape)."""
@@ -75,4 +91,4 @@ def milling_risk_report(raw: DataFrame, champion: str = "XGBoost", key: str = "r
         clean = model.transform(work)
     else:
         clean = model.transform(drop_exact_duplicates(raw))
-    return report_from_clean(clean, champion, key)
+    return complete(report_from_clean(clean, champion, key), model.medians)

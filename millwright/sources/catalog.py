@@ -217,15 +217,22 @@ def catalog_df(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, CATALOG_SCHEMA)
 
 
-def resolve(key: str, custom_dir: str | None = None) -> dict:
-    """Dataset key → entry; a drop-in ``<custom_dir>/<key>.csv`` is accepted; else ValueError."""
+def resolve(key: str, custom_dir: str | None = None, spark: SparkSession | None = None) -> dict:
+    """Dataset key → entry; a drop-in ``<custom_dir>/<key>.csv`` that Spark can read is accepted; else ValueError.
+
+    The file is looked for with Spark's own readers, so any store that executors see will do.
+    """
     for k, t, fn, d in CATALOG:
         if k == key:
             return {"id": k, "title": t, "filename": fn, "domain": d}
     if custom_dir is not None:
-        import os
+        from pyspark.errors import AnalysisException
 
-        p = os.path.join(custom_dir, f"{key}.csv")
-        if os.path.exists(p):
+        p = f"{custom_dir.rstrip('/')}/{key}.csv"
+        try:
+            (spark or SparkSession.getActiveSession()).read.text(p)
             return {"id": key, "title": key, "filename": p, "domain": "Custom Upload", "custom": True}
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
     raise ValueError(f"Unknown dataset_key: {key}")

@@ -37,7 +37,7 @@ def write_parquet(df: DataFrame, path: str) -> str:
 
 def load_custom(spark: SparkSession, key: str, custom_dir: str) -> DataFrame:
     """S3: drop-in ``<custom_dir>/<key>.csv`` resolved through the catalog, read with inferred types."""
-    entry = resolve(key, custom_dir)
+    entry = resolve(key, custom_dir, spark)
     if not entry.get("custom"):
         raise ValueError(f"{key} is a catalogued dataset, not a drop-in file")
     return read_csv(spark, entry["filename"])

@@ -38,8 +38,8 @@ def test_upload_gate_29_30(spark):
     assert IO.upload_gate(spark.range(30))
 
 
-def test_unknown_key_raises(tmp_path):
+def test_unknown_key_raises(spark, tmp_path):
     with pytest.raises(ValueError):
         resolve("no_such_dataset")
     (tmp_path / "mine.csv").write_text("a,b\n1,2\n")
-    assert resolve("mine", str(tmp_path))["custom"]
+    assert resolve("mine", str(tmp_path), spark)["custom"]
