@@ -272,6 +272,7 @@ def _marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def shard(held: list[tuple]) -> pd.DataFrame:
         out: list[tuple] = []
+        held = sorted(held, key=lambda row: row[2:5])        # corpus order, also between the salts of one hash
         parts = [row[5] for row in held]
         repeated, starts, earliest = _repeats(parts)
         runs = np.flatnonzero(np.diff(np.concatenate(([False], repeated, [False])).astype(np.int8))).reshape(-1, 2)
