@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millwright.llm.common import written
+from millwright.llm.common import among, written
 
 SHINGLE = 5
 JACCARD = 0.8
@@ -75,32 +75,44 @@ def _shingles(df: DataFrame, grades: Column | None) -> DataFrame:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, line_no, line) of the lines with words."""
+    """(doc_id, row, line_no, line, line_id) of the lines with words."""
     lines = docs.filter(F.length("text") > 0).select("doc_id", _row(docs).alias("row"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.filter(F.trim("line", F.lit(_BLANKS)) != "")
+    return lines.filter(F.trim("line", F.lit(_BLANKS)) != "").withColumn("line_id", F.xxhash64(F.trim("line", F.lit(_BLANKS))))
 
 
-def _shared(lines: DataFrame) -> DataFrame:
+def _classes(docs: DataFrame, jaccard: float) -> DataFrame:
+    """(line_id, first, n, prefix): equal lines as one class, with its first occurrence and its rarest tokens."""
+    sized = _shingles(_lines(docs), rarity(docs)).withColumn("n", F.size("tokens"))
+    size = (F.col("n") - F.ceil(jaccard * F.col("n") - 1e-9) + 1).cast("int")
+    prefix = F.slice(F.sort_array("tokens"), F.lit(1), size)
+    # 32 bits of a token are enough to meet on: a chance meeting is found out when the sets are compared
+    narrow = sized.select("line_id", F.struct("doc_id", "line_no", "row").alias("first"), "n", F.transform(prefix, lambda t: F.hash(t)).alias("prefix"))
+    return written(narrow.groupBy("line_id").agg(F.min("first").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "line-classes")
+
+
+def _shared(classes: DataFrame) -> DataFrame:
     """Classes under each prefix token that several classes share, ranked by first occurrence."""
-    classes = lines.groupBy("line_id").agg(F.min(F.struct("doc_id", "line_no", "row")).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    rows = classes.select("line_id", "first", "n", F.posexplode("prefix").alias("i", "token"))
+    rows = classes.select("line_id", "n", F.posexplode("prefix").alias("i", "token"))
+    several = rows.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("c > 1").drop("c")
+    met = written(several, "shared-tokens").join(classes.select("line_id", "first"), "line_id")
     by = Window.partitionBy("token").orderBy("first", "line_id")
-    ranked = rows.withColumn("rank", F.row_number().over(by)).withColumn("next", F.lead("line_id").over(by))
-    return written(ranked.filter((F.col("rank") > 1) | F.col("next").isNotNull()).drop("next"), "shared-tokens")
+    return written(met.withColumn("rank", F.row_number().over(by)), "ranked-tokens")
 
 
 def _token_sets(docs: DataFrame, shared: DataFrame) -> DataFrame:
     """(line_id, tokens): the full token sets of the classes that share a prefix token."""
     wanted = written(shared.groupBy("line_id").agg(F.first("first").alias("first")).select("line_id", F.col("first.row").alias("of"), F.col("first.line_no").alias("line_no")), "wanted-lines")
     texts = docs.filter(F.length("text") > 0).select(_row(docs).alias("row"), "text")
+    # the bit table only spares the shuffle texts that hold none of the lines; the join decides
+    texts = texts.filter(among(wanted.select(F.col("of").alias("row")), "row"))
     found = texts.join(wanted, F.col("row") == F.col("of")).select("line_id", F.get(F.split("text", "\n"), F.col("line_no")).alias("line"))
     return written(_shingles(found, None).groupBy("line_id").agg(F.first("tokens").alias("tokens")), "token-sets")
 
 
-def _matched(docs: DataFrame, lines: DataFrame, jaccard: float) -> DataFrame:
+def _matched(docs: DataFrame, classes: DataFrame, jaccard: float) -> DataFrame:
     """(line_id) of the classes whose first line matches an earlier line of another class."""
     spark = docs.sparkSession
-    shared = _shared(lines)
+    shared = _shared(classes)
     done = spark.createDataFrame([], "line_id long")
     deepest = shared.agg(F.max("rank")).first()[0] or 0
     if deepest < 2:
@@ -125,18 +137,12 @@ def _matched(docs: DataFrame, lines: DataFrame, jaccard: float) -> DataFrame:
 
 def find(docs: DataFrame, jaccard: float = JACCARD) -> DataFrame:
     """(doc_id, row, line_no, near) of every line to remove; near: its first copy matches an earlier line."""
-    grades = rarity(docs)
-    sized = _shingles(_lines(docs), grades).withColumn("n", F.size("tokens"))
-    size = (F.col("n") - F.ceil(jaccard * F.col("n") - 1e-9) + 1).cast("int")
-    prefix = F.slice(F.array_sort("tokens"), F.lit(1), size)
-    # 32 bits of a token are enough to meet on: a chance meeting is found out when the sets are compared
-    lines = written(sized.select("doc_id", "row", "line_no", F.xxhash64("h").alias("line_id"), "n", F.transform(prefix, lambda t: F.hash(t)).alias("prefix")), "lines")
-    near = _matched(docs, lines, jaccard).withColumn("near", F.lit(True))
-    firsts = lines.groupBy("line_id").agg(F.min(F.struct("doc_id", "line_no", "row")).alias("first"))
-    judged = written(firsts.join(near, "line_id", "left").select(F.col("line_id").alias("of"), "first", F.coalesce("near", F.lit(False)).alias("near")), "line-classes")
-    all_lines = lines.select("doc_id", "row", "line_no", "line_id").join(judged, F.col("line_id") == F.col("of"))
+    classes = _classes(docs, jaccard)
+    near = _matched(docs, classes, jaccard).withColumn("near", F.lit(True))
+    judged = written(classes.join(near, "line_id", "left").select(F.col("line_id").alias("of"), "first", F.coalesce("near", F.lit(False)).alias("near")), "judged-lines")
+    lines = _lines(docs).drop("line").join(judged, F.col("line_id") == F.col("of"))
     later = F.struct("doc_id", "line_no", "row") != F.col("first")
-    return all_lines.filter(later | F.col("near")).select("doc_id", "row", "line_no", "near")
+    return lines.filter(later | F.col("near")).select("doc_id", "row", "line_no", "near")
 
 
 def _per_document(removed: DataFrame) -> DataFrame:

@@ -25,14 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millwright.llm.common import WORD, prefix_sum, uniform
+from millwright.llm.common import WORD, prefix_sum, uniform, written
 
 BLOCK = 128        # words of a block
 SHARD = 4096       # block slots of an output shard
 WEIGHTS = (1, 2, 3)
 CAP = 3            # a source gives at most so many times its size
 ROUNDS = 24        # of the swap-or-not shuffle
-BUCKET_ROWS = 4096 # documents of a prefix-sum bucket, about
+BUCKET_ROWS = 512  # documents of a prefix-sum bucket, about
 
 
 def n_words(text: Column) -> Column:
@@ -117,8 +117,8 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, weights: Sequen
 
     draws: (k, shard, slot, epoch, block, words) - which block of which source fills a slot.
     """
-    nb = max(1, math.ceil(docs.count() / BUCKET_ROWS))
-    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    sized = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")   # the texts are read once
+    nb = max(1, math.ceil(sized.count() / BUCKET_ROWS))
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = (
         targets(sources, weights, cap)
