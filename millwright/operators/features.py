@@ -64,6 +64,9 @@ def tier_encode(df: DataFrame, tier_col: str = "Type", out: str = "type_encoded"
     )
 
 
+MILLING_FEATURES = ("temp_diff", "power_w", "overstrain", "thermal_ratio", "torque_per_krpm")
+
+
 def milling_feature_exprs(m: Milling = Milling()) -> dict[str, Column]:
     air, proc, rpm, torque, wear = (col(c) for c in (m.air, m.proc, m.rpm, m.torque, m.wear))
     return {

@@ -72,3 +72,13 @@ def test_stream_with_late_rows_in_many_batches_equals_batch(spark, tmp_path):
     feed = {(r["user_id"], r["feed_pos"], r["event_id"]) for r in T.alert_feed(whole).collect()}
     assert {(r["user_id"], r["pos"], r["event_id"]) for r in got.filter(F.col("kind") == "history").collect()} == hist
     assert {(r["user_id"], r["pos"], r["event_id"]) for r in got.filter(F.col("kind") == "alert").collect()} == feed
+
+
+def test_queries_are_listed_without_a_session():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(E.__file__)
+    run = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()) >= len(e.oracle_sql()) > 80)"], cwd=root, capture_output=True, text=True, timeout=120)
+    assert run.stdout.strip().endswith("True"), run.stderr[-500:]
