@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millwright.llm import decontam, host_reputation, line_dedup, mixing, quality_gam, simhash, suffix_dedup, template_html, toxicity, winnow
-from millwright.llm.common import table
+from millwright.llm.common import ASCII_LOWER, ASCII_UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,3 +74,38 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = template_html.extract(table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+def _url_sql() -> str:
+    """DuckDB statement of op10: url parts, rules (longest wins), beta-binomial shrinkage and posterior bound."""
+    h = host_reputation
+    upper, lower = ASCII_UPPER, ASCII_LOWER
+    fits = [f"case when (host = '{r}' or host like '%.{r}') and starts_with(path, '{p}') then {{'n': {len(r + p)}, 'rule': '{r}{p}', 'verdict': '{v}'}} end" for v, r, p in h.RULES]
+    strength = lambda t: (
+        f"select bad_all/n_all mean, case when n_all is null then {h.STRONGEST} when room <= 0 or (spread - var*(k-1))/room <= 0 then {h.STRONGEST} "
+        f"else least({h.STRONGEST}, greatest({h.WEAKEST}, (1 - (spread - var*(k-1))/room) / ((spread - var*(k-1))/room))) end m from "
+        f"(select *, npp - n_all*(bad_all/n_all)*(bad_all/n_all) spread, (bad_all/n_all)*(1 - bad_all/n_all) var, (bad_all/n_all)*(1 - bad_all/n_all)*(n_all - n2/n_all - (k-1)) room from "
+        f"(select count(*) k, cast(sum(n) as double) n_all, cast(sum(bad) as double) bad_all, cast(sum(n*n) as double) n2, sum(n*(bad/n)*(bad/n)) npp from {t}) a) b")
+    shrunk = lambda prior, m, t: f"(coalesce({t}.bad, 0) + {m}*{prior}) / (coalesce({t}.n, 0) + {m})"
+    return f"""
+with u as (select page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), '{upper}', '{lower}') host,
+                  regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) path from pages),
+l as (select doc_id, max(cast(coalesce(quality, 1) = 0 or coalesce(toxic, 0) = 1 as integer)) bad from labels
+      where doc_id is not null and (quality is not null or toxic is not null) group by 1),
+o as (select host, bad from (select host, try_cast(regexp_extract(path, '(\\d{{1,18}})[^\\d]*$', 1) as bigint) doc_id from u) p join l using (doc_id)),
+dm as (select host, regexp_extract(host, '([^.]*[.])?[^.]*$') domain, regexp_extract(host, '[^.]*$') suffix from (select distinct host from u) a),
+uh as (select host, domain, suffix, count(*) n, sum(bad) bad from o join dm using (host) group by all),
+ud as (select domain, suffix, sum(n) n, sum(bad) bad from uh group by all),
+us as (select suffix, sum(n) n, sum(bad) bad from uh group by all),
+ms as ({strength('us')}), md as ({strength('ud')}), mh as ({strength('uh')}),
+r1 as (select dm.*, coalesce(ms.mean, 0.0) mean, {shrunk('coalesce(ms.mean, 0.0)', 'ms.m', 'us')} mu_s from dm cross join ms left join us using (suffix)),
+r2 as (select r1.*, {shrunk('mu_s', 'md.m', 'ud')} mu_d from r1 cross join md left join ud on ud.domain = r1.domain),
+r3 as (select r2.host, coalesce(uh.n, 0) n_labelled, coalesce(uh.bad, 0) n_bad, mh.m, {shrunk('mu_d', 'mh.m', 'uh')} rate from r2 cross join mh left join uh on uh.host = r2.host),
+f as (select u.*, list_sort(list_filter([{', '.join(fits)}], lambda x: x is not null), 'DESC')[1] best from u)
+select f.page_id, f.host, f.path, best.rule as rule,
+       coalesce(best.verdict, case when greatest(rate - {h.Z}*sqrt(rate*(1 - rate)/(n_labelled + m + 1)), 0.0) >= {h.BLOCK_AT} then 'block' else 'allow' end) verdict,
+       cast(n_labelled as bigint) n_labelled, cast(n_bad as bigint) n_bad
+from f join r3 using (host)"""
+
+
+ORACLES["op10_url_filter"] = _url_sql()
