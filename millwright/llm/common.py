@@ -46,11 +46,13 @@ def among(rows: DataFrame, key: str, bits: int = 1 << 18) -> Column:
     """Whether a long column ``key`` may be one of those in ``rows``: a bit table of ``bits`` bits
     whatever the input, so no key is missed and the table never grows. It only spares a shuffle
     rows that cannot join; the join decides."""
+    at = F.pmod(key, F.lit(bits))
+    held = rows.groupBy(F.floor(at / 32).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({key}, 32) as int))")).alias("bits"))
     words = [0] * (bits // 32)
-    for r in rows.select(F.pmod(key, F.lit(bits)).cast("int")).distinct().collect():
-        words[r[0] // 32] |= 1 << (r[0] % 32)
+    for r in held.collect():
+        words[r["w"]] = r["bits"]
     table = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")      # folded to a literal once
-    word = F.get(table, F.floor(F.pmod(key, F.lit(bits)) / 32).cast("int"))
+    word = F.get(table, F.floor(at / 32).cast("int"))
     return F.bitwise_not(word).bitwiseAND(F.expr(f"shiftleft(1L, cast(pmod({key}, 32) as int))")) == 0
 
 

@@ -33,6 +33,8 @@ from millwright.llm.common import among, written
 SHINGLE = 5
 JACCARD = 0.8
 CLASSES = 1 << 14
+BITS = 1 << 22
+FEW = 8                     # classes under a token whose pairs are all tried before any text is fetched
 _BLANKS = " \t\x0b\f\r"
 
 
@@ -45,33 +47,26 @@ def _words(line: Column) -> Column:
 
 
 def _bin(word: Column) -> Column:
-    return F.pmod(word, F.lit(CLASSES)).cast("int")
+    return word.bitwiseAND(F.lit(CLASSES - 1).cast("long")).cast("int")
 
 
 def rarity(docs: DataFrame) -> Column:
-    """Array of CLASSES rarity grades (0: rarest), from the counts of all words of all documents."""
+    """Array of CLASSES rarity grades (0: rarest) in the top byte of a long, from the counts of all words of all documents."""
     words = docs.select(F.explode(F.split("text", r"[ \t-\r]+")).alias("w")).select(_bin(F.xxhash64("w")).alias("bin"))
     counts = {r["bin"]: r["n"] for r in words.groupBy("bin").agg(F.count("*").alias("n")).collect()}
-    grades = [str(min(127, int(4 * math.log2(counts.get(b, 0) + 1)))) for b in range(CLASSES)]
-    return F.split(F.lit(",".join(grades)), ",").cast("array<int>")      # folded to a literal once
+    grades = [str(min(127, int(4 * math.log2(counts.get(b, 0) + 1))) << 56) for b in range(CLASSES)]
+    return F.split(F.lit(",".join(grades)), ",").cast("array<bigint>")   # folded to a literal once
 
 
-def _shifted(col: str, by: int) -> Column:
-    return F.slice(col, by + 1, F.greatest(F.size(col) - by, F.lit(0)))
+def _shingles(df: DataFrame, grades: Column | None) -> DataFrame:
+    """Adds ``tokens``: distinct shingle hashes, with their grade on top if grades are given."""
 
+    def token(i: Column) -> Column:
+        whole = F.xxhash64(*[F.get("h", i + k) for k in range(SHINGLE)])          # missing words of a short line are skipped
+        return whole if grades is None else F.shiftrightunsigned(whole, 8).bitwiseOR(F.get(grades, _bin(F.get("h", i))))
 
-def _shingles(df: DataFrame, grades: Column | None) -> DataFrame:
-    """Adds ``h`` (word hashes) and ``tokens`` (distinct shingle hashes, by rarity if grades are given)."""
-    pair = lambda x, y: F.xxhash64(x, y)
     df = df.withColumn("h", F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
-    df = df.withColumn("h2", F.zip_with("h", _shifted("h", 1), pair))
-    df = df.withColumn("h4", F.zip_with("h2", _shifted("h2", 2), pair))
-    df = df.withColumn("g", F.zip_with("h4", _shifted("h", 4), pair))
-    df = df.withColumn("g", F.slice("g", 1, F.greatest(F.size("g") - (SHINGLE - 1), F.lit(1))))
-    if grades is not None:
-        grade = lambda g, i: F.shiftleft(F.get(grades, _bin(F.get("h", i))).cast("long"), 56)
-        df = df.withColumn("g", F.transform("g", lambda g, i: F.shiftrightunsigned(g, 8).bitwiseOR(grade(g, i))))
-    return df.withColumn("tokens", F.array_distinct("g")).drop("h2", "h4", "g")
+    return df.withColumn("tokens", F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("h") - SHINGLE, F.lit(0))), token))).drop("h")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -96,36 +91,47 @@ def _shared(classes: DataFrame) -> DataFrame:
     several = rows.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("c > 1").drop("c")
     met = written(several, "shared-tokens").join(classes.select("line_id", "first"), "line_id")
     by = Window.partitionBy("token").orderBy("first", "line_id")
-    return written(met.withColumn("rank", F.row_number().over(by)), "ranked-tokens")
+    return written(met.withColumns({"rank": F.row_number().over(by), "family": F.count(F.lit(1)).over(Window.partitionBy("token"))}), "ranked-tokens")
+
+
+def _pairs(probes: DataFrame, leaders: DataFrame, jaccard: float) -> DataFrame:
+    """(line_id, other): classes that share a prefix token with an earlier one and pass the length and positional filters."""
+    other = leaders.select("token", F.col("line_id").alias("other"), F.col("rank").alias("o_rank"), F.col("n").alias("o_n"), F.col("i").alias("o_i"))
+    least = F.ceil(F.lit(jaccard / (1 + jaccard)) * (F.col("n") + F.col("o_n")) - 1e-9)      # common tokens that the similarity takes
+    close = F.least("n", "o_n") >= jaccard * F.greatest("n", "o_n") - 1e-9
+    room = F.least(F.col("n") - F.col("i"), F.col("o_n") - F.col("o_i"))                      # common tokens from this one on, at most
+    met = probes.join(other, "token").filter((F.col("o_rank") < F.col("rank")) & (F.col("line_id") != F.col("other")) & close & (room >= least))
+    return met.select("line_id", "other").distinct()
+
 
+def _token_sets(docs: DataFrame, shared: DataFrame, jaccard: float) -> DataFrame:
+    """(line_id, tokens): the full token sets of the classes that may pair up.
 
-def _token_sets(docs: DataFrame, shared: DataFrame) -> DataFrame:
-    """(line_id, tokens): the full token sets of the classes that share a prefix token."""
-    wanted = written(shared.groupBy("line_id").agg(F.first("first").alias("first")).select("line_id", F.col("first.row").alias("of"), F.col("first.line_no").alias("line_no")), "wanted-lines")
-    texts = docs.filter(F.length("text") > 0).select(_row(docs).alias("row"), "text")
-    # the bit table only spares the shuffle texts that hold none of the lines; the join decides
-    texts = texts.filter(among(wanted.select(F.col("of").alias("row")), "row"))
-    found = texts.join(wanted, F.col("row") == F.col("of")).select("line_id", F.get(F.split("text", "\n"), F.col("line_no")).alias("line"))
-    return written(_shingles(found, None).groupBy("line_id").agg(F.first("tokens").alias("tokens")), "token-sets")
+    Under a token with few classes all pairs are tried on lengths and positions first; classes
+    that pass with none of them need no set. Larger families keep all their members.
+    """
+    few = shared.filter(F.col("family") <= FEW)
+    pairs = _pairs(few, few, jaccard)
+    ids = pairs.select("line_id").unionByName(pairs.select(F.col("other").alias("line_id"))).unionByName(shared.filter(F.col("family") > FEW).select("line_id")).distinct()
+    wanted = written(ids, "wanted-lines")
+    # the bit table only spares the shuffle lines that are not wanted; the join decides
+    lines = _lines(docs).select("line_id", "line")
+    lines = lines.filter(among(wanted, "line_id", BITS)).groupBy("line_id").agg(F.first("line").alias("line"))
+    return written(_shingles(lines.join(wanted, "line_id"), None).select("line_id", "tokens"), "token-sets")
 
 
 def _matched(docs: DataFrame, classes: DataFrame, jaccard: float) -> DataFrame:
     """(line_id) of the classes whose first line matches an earlier line of another class."""
-    spark = docs.sparkSession
     shared = _shared(classes)
-    done = spark.createDataFrame([], "line_id long")
+    done = docs.sparkSession.createDataFrame([], "line_id long")
     deepest = shared.agg(F.max("rank")).first()[0] or 0
     if deepest < 2:
         return done
-    sets = _token_sets(docs, shared)
+    sets = _token_sets(docs, shared, jaccard)
     low = high = 1
     while low < deepest:
-        leaders = shared.filter(F.col("rank").between(low, high)).select("token", F.col("line_id").alias("other"), F.col("rank").alias("o_rank"), F.col("n").alias("o_n"), F.col("i").alias("o_i"))
         probes = shared.filter(F.col("rank") > low).join(done, "line_id", "left_anti")
-        both = F.ceil(F.lit(jaccard / (1 + jaccard)) * (F.col("n") + F.col("o_n")) - 1e-9)
-        short, long = F.least("n", "o_n"), F.greatest("n", "o_n")
-        room = 1 + F.least(F.col("n") - F.col("i"), F.col("o_n") - F.col("o_i")) - 1
-        pairs = probes.join(leaders, "token").filter((F.col("o_rank") < F.col("rank")) & (F.col("line_id") != F.col("other")) & (short >= jaccard * long - 1e-9) & (room >= both)).select("line_id", "other").distinct()
+        pairs = written(_pairs(probes, shared.filter(F.col("rank").between(low, high)), jaccard), "line-pairs")
         left = pairs.join(sets.withColumnRenamed("tokens", "a"), "line_id")
         full = left.join(sets.select(F.col("line_id").alias("other"), F.col("tokens").alias("b")), "other")
         common = F.size(F.array_intersect("a", "b"))
