@@ -226,9 +226,9 @@ def _repeats(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return repeated, starts, earliest
 
 
-_ROW = "h long, salt int, doc_id long, tag int, first int, part binary"
-_SETTLED = "kind int, h long, salt int, doc_id long, tag int, first int, last int"   # kind 0: bytes first to last-1 go; 1: a content to compare
-_MARK = "kind int, doc_id long, tag int, first int, last int, part binary"           # kind 0: as above; 1: string of a salted shard
+_ROW = "h long, salt int, doc_id long, tag long, first int, part binary"
+_SETTLED = "kind int, h long, salt int, doc_id long, tag long, first int, last int"   # kind 0: bytes first to last-1 go; 1: a content to compare
+_MARK = "kind int, doc_id long, tag long, first int, last int, part binary"           # kind 0: as above; 1: string of a salted shard
 
 
 def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -318,20 +318,25 @@ def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, key_id, tag, text): key_id stands for null too; tag tells texts of one id apart, 0 where there is one."""
+    """(doc_id, key_id, tag, repeated, text): key_id stands for null too; tag tells texts of one id apart, 0 where there is one;
+    repeated: whether several rows have the id."""
     texts = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("key_id"), F.coalesce("text", F.lit("")).alias("text"))
-    hashed = texts.select("key_id", F.hash("text").alias("x"))
-    several = written(hashed.groupBy("key_id").agg(F.min("x").alias("low"), F.max("x").alias("high")).filter("low <> high").select(F.col("key_id").alias("again")), "repeated-ids")
-    return texts.join(several, F.col("key_id") == F.col("again"), "left").withColumn("tag", F.when(F.col("again").isNotNull(), F.hash("text")).otherwise(F.lit(0))).drop("again")
+    name = F.shiftleft(F.hash("text").cast("long"), 32) + F.pmod(F.xxhash64("text"), F.lit(1 << 32))     # in order of the 32-bit hash, then told apart by a second one
+    several = texts.select("key_id", name.alias("x")).groupBy("key_id").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("rows")).filter("rows > 1")
+    several = written(several.select(F.col("key_id").alias("again"), (F.col("low") != F.col("high")).alias("differ")), "repeated-ids")
+    tag = F.when(F.col("differ"), name).otherwise(F.lit(0).cast("long"))
+    return texts.join(several, F.col("key_id") == F.col("again"), "left").select("doc_id", "key_id", tag.alias("tag"), F.col("again").isNotNull().alias("repeated"), "text")
 
 
 def repeated_spans(keyed: DataFrame) -> DataFrame:
     """(doc_id, tag, spans): byte spans [first, last) to remove, in order of their start, of documents as ``_keyed`` gives them."""
-    texts = keyed.filter(F.octet_length("text") >= LENGTH).select(F.col("key_id").alias("doc_id"), "tag", "text")
+    long = keyed.filter(F.octet_length("text") >= LENGTH).select(F.col("key_id").alias("doc_id"), "tag", "text", "repeated")
+    once = written(long.filter("repeated").drop("repeated").dropDuplicates(["doc_id", "tag"]), "repeated-rows")   # rows that repeat id and text are one document
+    texts = long.filter("not repeated").drop("repeated").unionByName(once)
     counts = texts.select("text").mapInPandas(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     shared = written(counts.filter("n > 1"), "shared-hashes")
     salts = F.ceil(F.col("n") / HOT).cast("int")
-    places = texts.mapInPandas(_places, "h long, content long, doc_id long, tag int, at long")
+    places = texts.mapInPandas(_places, "h long, content long, doc_id long, tag long, at long")
     found = places.join(shared, "h").withColumn("salt", F.when(salts > 1, F.pmod(F.hash("doc_id", "tag"), salts) + 1).otherwise(F.lit(0))).drop("n")
     settled = found.repartition("h", "salt").sortWithinPartitions("h", "salt", "doc_id", "tag", "at").mapInPandas(_settle, _SETTLED)
     settled = written(settled, "settled-segments")
@@ -343,7 +348,7 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
     marks = parts.repartition("h", "salt").sortWithinPartitions("h", "salt", "doc_id", "tag", "first").mapInPandas(_marks, _MARK)
     marks = written(marks, "repeat-marks")
     strings = marks.filter("kind = 1").drop("kind").repartition(F.xxhash64("part")).sortWithinPartitions("doc_id", "tag", "first")
-    across = strings.mapInPandas(_merge, "doc_id long, tag int, first int, last int")
+    across = strings.mapInPandas(_merge, "doc_id long, tag long, first int, last int")
     span = ["doc_id", "tag", "first", "last"]
     every = settled.filter("kind = 0").select(*span).unionByName(marks.filter("kind = 0").select(*span)).unionByName(across)
     return written(every.groupBy("doc_id", "tag").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("spans")), "repeat-spans")

@@ -183,6 +183,20 @@ def test_suffix_dedup_edge_cases_and_salted_shards(spark, monkeypatch):
     assert suffix_dedup.deduplicate(ragged(spark, texts)).count() == len(texts) + 2
 
 
+@pytest.mark.parametrize("hot", [4096, 1])
+def test_suffix_dedup_keeps_one_text_of_repeated_rows(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    passage, other = (" ".join(f"{c}{i}" for i in range(60)) for c in "pq")
+    rows = [(None, "n" + other), (None, "n" + other), (None, "m" + passage), (None, "m" + passage), (1, passage), (1, passage), (2, "x " + other), (2, "y " + other), (2, "y " + other), (3, passage + "!"), (4, "short"), (4, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    order = {r["text"]: r["h"] for r in docs.select("text", F.hash("text").alias("h")).collect()}
+    kinds = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, order[r[1]]))
+    want = dict(zip(kinds, _repeats(list(enumerate(t for _, t in kinds))).values()))
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in suffix_dedup.deduplicate(docs).collect()]
+    assert sorted(got, key=str) == sorted(((d, *want[d, t]) for d, t in rows), key=str)
+    assert sum(r[2] for r in got) > 0 and all(r[2] == 0 for r in got if r[0] is None)
+
+
 # ---- 4 ----------------------------------------------------------------------------------------
 
 def _lines_to_remove(docs):
