@@ -44,6 +44,7 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea title svg math iframe object".split())
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I | re.A) for tag in _RAW}
 _INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd mark nobr q s samp small span strike strong sub sup time tt u var wbr".split())
 _CLOSED_BY = {"p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()),
               "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]),
@@ -69,13 +70,7 @@ class _Page:
         self.texts: list[tuple[tuple[str, ...], bool, int, str]] = []   # path, dropped by role, block number, raw text
         stack: list[tuple[str, str, bool]] = []                         # tag, label, dropped
         block = at = 0
-        skip = None
-        for m in _TOKEN.finditer(html):
-            if skip:                                                    # inside a raw element: only its end counts
-                if not (m[1] and m[2] and m[2].lower() == skip):
-                    continue
-                skip, at = None, m.end()
-                continue
+        while m := _TOKEN.search(html, at):
             if m.start() > at:
                 self._text(stack, block, html[at:m.start()])
             at = m.end()
@@ -95,12 +90,9 @@ class _Page:
                         break
                 continue
             if tag in _RAW:
-                end = html.lower().find(f"</{tag}", at) if not m[3].endswith("/") else -1
-                if not m[3].endswith("/"):
-                    skip = tag
-                    if end < 0:
-                        at = len(html)
-                        break
+                if not m[3].endswith("/"):                              # only its end tag counts, whatever looks like a tag before it
+                    end = _RAW_END[tag].search(html, at)
+                    at = end.end() if end else len(html)
                 continue
             while stack and tag in _CLOSED_BY.get(stack[-1][0], ()):
                 stack.pop()
@@ -118,7 +110,7 @@ class _Page:
                 self.tags["/".join([x[1] for x in stack[:DEPTH] if x[0] not in _INLINE] + [label])] += 1
             if tag not in _VOID and not m[3].endswith("/"):
                 stack.append((tag, label, dropped))
-        if at < len(html) and not skip:
+        if at < len(html):
             rest = html[at:]
             self._text(stack, block, rest if not rest.startswith("<") else "")
 

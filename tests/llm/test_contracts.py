@@ -465,6 +465,12 @@ def test_html_edge_cases(spark):
     assert template_html.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("raw", ["<script>for(i=0;i<n;i++){f(i)}</script>", "<SCRIPT>a<b</SCRIPT >", "<style>a<b{}</style>", "<script>x='</scripts>';y<z</script>", "\u0130<title>a<b \u0130</title>", "<script>a<!--b</script>"])
+def test_html_raw_elements_end_at_their_own_end_tag(raw):
+    got = template_html.main_text(f"<body>{raw}<article><p>Kept</p><script>1<x</script><p>too</p></article></body>", None, frozenset())
+    assert got == "Kept\ntoo"
+
+
 # ---- 10 ---------------------------------------------------------------------------------------
 
 def _rule(host, path):
