@@ -1,18 +1,22 @@
 """Main-text extraction by equivalence-class template deduction (operator 8).
 
-Over all pages of a host, every tag token - told apart by its path of open elements, with
-class and role - gets an occurrence vector: how often it stands on each page. The vector is
+Over all pages of a host, every tag token - told apart by its full path of open elements with
+their classes - gets an occurrence vector: how often it stands on each page. The vector is
 kept as a sum of per-page hashes weighted by count, so it is aggregated by Spark like any
 sum and no host is ever gathered in one task. Tokens of one host with equal vectors form an
 equivalence class; classes that stand on most pages of the host, a fixed number of times and
 inside one another (by path), nest into the host's template. The same is done for text
-strings: on pages without a content slot, a string that stands on most pages is template text.
+strings: a string that stands on most pages is template text.
 
 What lies between template tokens are the slots. Slots inside menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments are dropped; the
-content slot is the template's article or main element, or, on hosts without one, the
-template element with most of the remaining text. On a page that deviates from its host's
-template the same roles decide alone. The slot's text is returned block by block.
+content slot is the template's article or main element, or, on hosts without one that holds
+enough of the text, the template element with most of the remaining text. A class word
+(as in 'with-sidebar') drops no element around the content slot. Inside the slot, template text goes
+where its element holds nothing else; a repeated string among changing ones stays. A page on
+which the slot's element does not stand exactly once deviates from its host's template:
+there article and main elements decide, and without them all text but the template's is
+kept. The slot's text is returned block by block.
 
 Edge cases: null and empty html give an empty text; a page without a host takes part as a
 host of its own name ''; broken and cut-off markup is read to the end; hosts with fewer than
@@ -36,7 +40,8 @@ from millwright.llm.host_reputation import url_parts
 
 LEAST_PAGES = 5       # of a host, for template text
 SHARE = 0.6           # of a host's pages that a template class stands on
-DEPTH = 12            # open elements that tell a token's role apart
+WRAPPED = 0.1         # of a host's text; class words that leave less name a wrapper of the page
+BOXED = 0.9           # of the texts at a path; where so many are template text, the element is a box of it
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"(?:^|\s)(class|id|role|aria-label|hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -62,17 +67,32 @@ def _names(attributes: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _NAMES.finditer(attributes)} if attributes and "=" in attributes or "hidden" in attributes else {}
 
 
+class _Node:
+    """An open element: ``path`` names the full path of block elements down to it."""
+
+    __slots__ = ("tag", "parent", "path", "depth", "hard", "soft", "own", "whole")
+
+    def __init__(self, tag: str, parent: _Node | None, path: int, depth: int, hard: bool, soft: bool):
+        self.tag, self.parent, self.path, self.depth, self.hard, self.soft = tag, parent, path, depth, hard, soft
+        self.own = self.whole = 0
+
+
 class _Page:
-    """One reading of a page: (path, text) per text, in page order, and the count of every tag path."""
+    """One reading of a page: its elements and texts in page order, and the count of every tag path.
+
+    An element is dropped with all below it by its tag, role or style (hard), or by a word of
+    its class or id (soft). A soft drop does not hold for an element around the page's slot.
+    """
 
     def __init__(self, html: str):
-        self.tags: Counter[str] = Counter()
-        self.texts: list[tuple[tuple[str, ...], bool, int, str]] = []   # path, dropped by role, block number, raw text
-        stack: list[tuple[str, str, bool]] = []                         # tag, label, dropped
+        self.tags: Counter[int] = Counter()
+        self.nodes: list[_Node] = [_Node("", None, 0, 0, False, False)]
+        self.texts: list[tuple[_Node, int, str]] = []                   # element, block number, raw text
+        stack: list[_Node] = self.nodes[:]
         block = at = 0
         while m := _TOKEN.search(html, at):
             if m.start() > at:
-                self._text(stack, block, html[at:m.start()])
+                self.texts.append((stack[-1], block, html[at:m.start()]))
             at = m.end()
             if not m[2]:
                 continue
@@ -80,13 +100,13 @@ class _Page:
             if tag not in _INLINE:
                 block += 1
             elif tag == "br":
-                self._text(stack, block, " ")
+                self.texts.append((stack[-1], block, " "))
             if m[1]:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag == tag:
                         del stack[k:]
                         break
-                    if stack[k][0] in _MAIN and tag in _INLINE:
+                    if stack[k].tag in _MAIN and tag in _INLINE:
                         break
                 continue
             if tag in _RAW:
@@ -94,45 +114,113 @@ class _Page:
                     end = _RAW_END[tag].search(html, at)
                     at = end.end() if end else len(html)
                 continue
-            while stack and tag in _CLOSED_BY.get(stack[-1][0], ()):
+            while tag in _CLOSED_BY.get(stack[-1].tag, ()):
                 stack.pop()
-            if tag not in _INLINE and any(t == "p" for t, _, _ in stack) and tag in _CLOSED_BY["p"]:
-                k = max(k for k, (t, _, _) in enumerate(stack) if t == "p")
-                if all(t in _INLINE for t, _, _ in stack[k + 1:]):      # an open inline element does not keep a paragraph open
+            if tag not in _INLINE and tag in _CLOSED_BY["p"] and any(x.tag == "p" for x in stack):
+                k = max(k for k, x in enumerate(stack) if x.tag == "p")
+                if all(x.tag in _INLINE for x in stack[k + 1:]):        # an open inline element does not keep a paragraph open
                     del stack[k:]
             names = _names(m[3])
             words = set(_SPLIT.split(f"{names.get('class', '')} {names.get('id', '')}".lower()))
-            dropped = tag in _AROUND or not words.isdisjoint(_NOT_TEXT) or names.get("role", "").lower() in _ROLES or "hidden" in names or "display:none" in names.get("style", "").replace(" ", "")
+            hard = tag in _AROUND or names.get("role", "").lower() in _ROLES or "hidden" in names or "display:none" in names.get("style", "").replace(" ", "")
+            soft = not words.isdisjoint(_NOT_TEXT)
             if tag in ("html", "body", *_MAIN):
-                dropped = False
-            label = tag + ("." + names["class"] if names.get("class") else "")
+                hard = soft = False
+            parent = stack[-1]
+            node = _Node(tag, parent, parent.path, parent.depth, hard, soft)
             if tag not in _INLINE:
-                self.tags["/".join([x[1] for x in stack[:DEPTH] if x[0] not in _INLINE] + [label])] += 1
+                node.path, node.depth = _hash(f"{parent.path:x}", tag, names.get("class", "")), parent.depth + 1
+                self.tags[node.path] += 1
+            self.nodes.append(node)
             if tag not in _VOID and not m[3].endswith("/"):
-                stack.append((tag, label, dropped))
+                stack.append(node)
         if at < len(html):
             rest = html[at:]
-            self._text(stack, block, rest if not rest.startswith("<") else "")
-
-    def _text(self, stack: list[tuple[str, str, bool]], block: int, raw: str) -> None:
-        path = tuple(label for tag, label, _ in stack if tag not in _INLINE)
-        self.texts.append((path, any(d for _, _, d in stack), block, raw))
+            self.texts.append((stack[-1], block, rest if not rest.startswith("<") else ""))
+
+    def _lifted(self, slots: list[_Node]) -> set[_Node]:
+        """The elements around the slots: those given and, where every article or main stands below a class word, the main or the longest article."""
+        found: set[_Node] = set()
+        for slot in slots:
+            node: _Node | None = slot
+            while node and node not in found:
+                found.add(node)
+                node = node.parent
+        hard, soft = {id(x): False for x in self.nodes}, {id(x): False for x in self.nodes}
+        for x in self.nodes[1:]:
+            hard[id(x)] = x.hard or hard[id(x.parent)]
+            soft[id(x)] = x.soft and x not in found or soft[id(x.parent)]
+        named = [x for x in self.nodes if x.tag in _MAIN and not hard[id(x)]]
+        if named and all(soft[id(x)] for x in named):
+            length: Counter[int] = Counter()
+            for x, _, raw in self.texts:
+                length[id(x)] += len(raw)
+            for x in reversed(self.nodes[1:]):
+                length[id(x.parent)] += length[id(x)]
+            node = max(named, key=lambda x: (x.tag == "main", length[id(x)]))
+            while node:
+                found.add(node)
+                node = node.parent
+        return found
+
+    def kept(self, slots: list[_Node]) -> tuple[list[tuple[_Node, int, str]], list[tuple[_Node, int, str]]]:
+        """The texts that stay, and those that a class word drops."""
+        lifted = self._lifted(slots)
+        state = {id(self.nodes[0]): 0}
+        for x in self.nodes[1:]:
+            state[id(x)] = 2 if x.hard else max(state[id(x.parent)], int(x.soft and x not in lifted))
+        return [t for t in self.texts if state[id(t[0])] == 0], [t for t in self.texts if state[id(t[0])] == 1]
+
+    def weigh(self) -> list[tuple[_Node, str, bool]]:
+        """The blocks outside hard drops, with whether they stay; sets of every element the characters kept below
+        it (``whole``) and those kept if only class words below it counted (``own``)."""
+        lifted = self._lifted([])
+        kept, dropped = self.kept([])
+        blocks = [(x, text, True) for x, text in _blocks(kept)] + [(x, text, False) for x, text in _blocks(dropped)]
+        for x, text, stays in blocks:
+            x.own += len(text)
+            x.whole += len(text) * stays
+        for x in reversed(self.nodes[1:]):
+            x.parent.whole += x.whole
+            if not x.hard and not (x.soft and x not in lifted):
+                x.parent.own += x.own
+        return blocks
+
+    def at(self, path: int | None) -> list[_Node]:
+        return [x for x in self.nodes if x.path == path and x.tag not in _INLINE] if path else []
+
+
+def _below(texts: list[tuple[_Node, int, str]], tops: list[_Node]) -> list[tuple[_Node, int, str]]:
+    """The texts below one of the elements."""
+    known: dict[int, bool] = {id(x): True for x in tops}
+
+    def below(x: _Node) -> bool:
+        way = []
+        while id(x) not in known and x.parent:
+            way.append(x)
+            x = x.parent
+        found = known.get(id(x), False)
+        known.update((id(w), found) for w in way)
+        return found
+
+    return [t for t in texts if below(t[0])]
 
 
 def _hash(*parts: str) -> int:
+    """A positive 63-bit hash, never 0."""
     import xxhash
 
-    return xxhash.xxh64_intdigest("\x1f".join(parts).encode("utf-8", "surrogatepass"), 8)
+    return xxhash.xxh64_intdigest("\x1f".join(parts).encode("utf-8", "surrogatepass"), 8) >> 1 or 1
 
 
-def _blocks(texts: list[tuple[tuple[str, ...], bool, int, str]]) -> Iterator[tuple[tuple[str, ...], str]]:
-    """(path, text) per block: the pieces between two block tags, decoded, white space joined, trimmed."""
+def _blocks(texts: list[tuple[_Node, int, str]]) -> Iterator[tuple[_Node, str]]:
+    """(element, text) per block: the pieces between two block tags, decoded, white space joined, trimmed."""
     k = 0
     while k < len(texts):
         last = k
-        while last + 1 < len(texts) and texts[last + 1][2] == texts[k][2]:
+        while last + 1 < len(texts) and texts[last + 1][1] == texts[k][1]:
             last += 1
-        raw = "".join(t[3] for t in texts[k:last + 1])
+        raw = "".join(t[2] for t in texts[k:last + 1])
         text = " ".join((unescape(raw) if "&" in raw else raw).split())
         if text:
             yield texts[k][0], text
@@ -140,82 +228,91 @@ def _blocks(texts: list[tuple[tuple[str, ...], bool, int, str]]) -> Iterator[tup
 
 
 def tokens(pages: DataFrame) -> DataFrame:
-    """(host, kind, token, pages, count, vector, chars): kind 0 tags, 1 texts outside an article, 2 pages."""
+    """(host, kind, token, at, depth, named, pages, count, vector, chars, own): kind 0 tag paths, 1 texts (``at``: their path), 2 pages,
+    3 paths that hold texts; tokens on one page only are left out."""
+    sums_of = ("pages", "count", "vector", "chars", "own")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            total: dict[tuple[str, int, str], list[int]] = {}
+            total: dict[tuple[str, int, int, int, int, bool], list[int]] = {}
 
-            def add(key: tuple[str, int, str], page: int, count: int, chars: int) -> None:
-                row = total.setdefault(key, [0, 0, 0, 0])
-                row[0] += 1
-                row[1] += count
-                row[2] += (page * count) % (1 << 40)
-                row[3] += chars
+            def add(key: tuple[str, int, int, int, int, bool], page: int, count: int, chars: int = 0, own: int = 0) -> None:
+                row = total.setdefault(key, [0, 0, 0, 0, 0])
+                for k, x in enumerate((1, count, page * count % (1 << 40), chars, own)):
+                    row[k] += x
 
             for host, mark, html in zip(pdf["host"], pdf["mark"], pdf["html"], strict=True):
                 page, seen = _Page(html), int(mark)
-                add((host, 2, ""), seen, 1, 0)
-                volume: Counter[str] = Counter()
-                outside: Counter[str] = Counter()
-                for path, text in _blocks([t for t in page.texts if not t[1]]):
-                    for n in range(1, len(path) + 1):
-                        volume["/".join(path[:n])] += len(text)
-                    if not any(p.split(".")[0] in _MAIN for p in path):
-                        outside["/".join(path) + "\x1f" + text[:4096]] += 1
-                for tag, count in page.tags.items():
-                    add((host, 0, tag), seen, count, volume[tag])
-                for text, count in outside.items():
-                    add((host, 1, f"{_hash(text):016x}"), seen, count, 0)
+                add((host, 2, 0, 0, 0, False), seen, 1)
+                texts: Counter[tuple[int, int]] = Counter()
+                for x, text, _ in page.weigh():
+                    texts[_hash(f"{x.path:x}", text), x.path] += 1
+                sizes: dict[int, tuple[int, bool, int, int]] = {}
+                for x in page.nodes[1:]:
+                    if x.tag not in _INLINE:
+                        _, _, chars, own = sizes.get(x.path, (0, False, 0, 0))
+                        sizes[x.path] = x.depth, x.tag in _MAIN, chars + x.whole, own + x.own
+                for path, (depth, named, chars, own) in sizes.items():
+                    add((host, 0, path, 0, depth, named), seen, page.tags[path], chars, own)
+                held: Counter[int] = Counter()
+                for (text, path), count in texts.items():
+                    add((host, 1, text, path, 0, False), seen, count)
+                    held[path] += count
+                for path, count in held.items():
+                    add((host, 3, path, 0, 0, False), seen, count)
             keys = list(total)
-            yield pd.DataFrame({"host": pd.Series([k[0] for k in keys], dtype=object), "kind": [k[1] for k in keys], "token": pd.Series([k[2] for k in keys], dtype=object),
-                                **{n: [total[k][i] for k in keys] for i, n in enumerate(("pages", "count", "vector", "chars"))}})
+            yield pd.DataFrame({"host": pd.Series([k[0] for k in keys], dtype=object), **{n: [k[i] for k in keys] for i, n in enumerate(("kind", "token", "at", "depth", "named"), 1)},
+                                **{n: [total[k][i] for k in keys] for i, n in enumerate(sums_of)}})
 
-    found = pages.mapInPandas(read, "host string, kind int, token string, pages long, count long, vector long, chars long")
-    sums = found.groupBy("host", "kind", "token").agg(*[F.sum(F.col(c).cast("decimal(38,0)") if c == "vector" else c).alias(c) for c in ("pages", "count", "vector", "chars")])
-    return sums
+    found = pages.mapInPandas(read, "host string, kind int, token long, at long, depth int, named boolean, pages long, count long, vector long, chars long, own long")
+    sums = found.groupBy("host", "kind", "token", "at", "depth", "named").agg(*[F.sum(F.col(c).cast("decimal(38,0)") if c == "vector" else c).alias(c) for c in sums_of])
+    return sums.filter("kind = 2 or pages > 1")
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, content, constant): the content element of each host's template, hashes of its template texts.
+    """(host, content, constant, boxed): the content element of each host's template, hashes of its template texts,
+    and of those that stand in template elements without other text.
 
     Equivalence classes are the groups of equal (pages, count, vector); valid are those on
-    most pages of the host. Valid classes of tag tokens nest by path, and the content element
-    is the outermost article or main among them, or else the innermost that still holds
-    ``SHARE`` of the text outside menus and the like.
+    most pages of the host. Valid classes of tag tokens that stand once on a page nest by path.
+    The content element is the outermost article or main among them that holds ``1 - SHARE`` of
+    the host's text outside menus and the like, or else the innermost element that holds
+    ``SHARE`` of it. A host that class words would leave less than ``WRAPPED`` of its text
+    has them on a wrapper: there the text counts that words below an element leave it.
     """
     rows = written(tokens(pages), "html-tokens")
     sizes = rows.filter("kind = 2").select("host", F.col("pages").alias("n"))
-    valid = rows.filter("kind < 2").join(sizes, "host").filter(F.col("pages") >= F.greatest(F.lit(2), F.col("n") * SHARE))
-    classes = valid.groupBy("host", "kind", "pages", "count", "vector").agg(F.collect_set(F.struct("token", "chars")).alias("members"), F.max("n").alias("n"))
-    nested = classes.select("host", "kind", "n", (F.col("count") == F.col("pages")).alias("once"), F.explode("members").alias("m")).select("host", "kind", "n", "once", "m.token", "m.chars")
-    label = F.element_at(F.split(F.element_at(F.split("token", "/"), -1), r"\."), 1)
-    depth = F.size(F.split("token", "/"))
-    body = F.max(F.when(label == "body", F.col("chars")))
-    tags = nested.filter("kind = 0")
-    whole = tags.groupBy("host").agg(body.alias("whole"), F.min(F.when(label.isin(*_MAIN) & F.col("once"), F.struct(depth, F.col("token")))).alias("named"))
-    dense = tags.join(whole, "host").filter(F.col("once") & (F.col("chars") >= SHARE * F.coalesce("whole", F.lit(0))) & (F.col("chars") > 0))
-    dense = dense.groupBy("host").agg(F.max(F.struct(depth, F.col("token"))).alias("dense"))
-    content = whole.join(dense, "host", "left").select("host", F.coalesce(F.col("named.token"), F.col("dense.token")).alias("content"))
-    texts = nested.filter((F.col("kind") == 1) & (F.col("n") >= LEAST_PAGES)).groupBy("host").agg(F.sort_array(F.collect_set("token")).alias("constant"))
+    valid = rows.filter("kind in (0, 1)").join(sizes, "host").filter(F.col("pages") >= F.greatest(F.lit(2), F.col("n") * SHARE))
+    member = F.struct("token", "at", "depth", "named", "chars", "own")
+    classes = valid.groupBy("host", "kind", "pages", "count", "vector").agg(F.collect_set(member).alias("members"), F.max("n").alias("n"))
+    nested = classes.select("host", "kind", "n", "count", (F.col("count") == F.col("pages")).alias("once"), F.explode("members").alias("m")).select("host", "kind", "n", "count", "once", "m.*")
+    tags = nested.filter("kind = 0 and once")
+    most = tags.groupBy("host").agg(F.max("chars").alias("chars_most"), F.max("own").alias("own_most"))
+    wrapped = F.col("chars_most") < WRAPPED * F.col("own_most")
+    slots = tags.join(most, "host").select("host", "token", "depth", "named", F.when(wrapped, F.col("own")).otherwise(F.col("chars")).alias("size"), F.when(wrapped, F.col("own_most")).otherwise(F.col("chars_most")).alias("whole"))
+    slots = slots.filter("size > 0").groupBy("host").agg(
+        F.min(F.when(F.col("named") & (F.col("size") >= (1 - SHARE) * F.col("whole")), F.struct("depth", -F.col("size"), "token"))).alias("main"),
+        F.max(F.when(F.col("size") >= SHARE * F.col("whole"), F.struct("depth", "size", "token"))).alias("dense"))
+    content = slots.select("host", F.coalesce(F.col("main.token"), F.col("dense.token")).alias("content"))
+    texts = nested.filter((F.col("kind") == 1) & (F.col("n") >= LEAST_PAGES)).select("host", "token", "at", "count")
+    held = rows.filter("kind = 3").select("host", F.col("token").alias("at"), F.col("count").alias("all"))
+    fixed = texts.groupBy("host", "at").agg(F.sum("count").alias("fixed"), F.collect_set("token").alias("tokens")).join(held, ["host", "at"])
+    texts = fixed.groupBy("host").agg(F.array_sort(F.flatten(F.collect_list("tokens"))).alias("constant"),
+                                      F.array_sort(F.flatten(F.collect_list(F.when(F.col("fixed") >= BOXED * F.col("all"), F.col("tokens"))))).alias("boxed"))
     return written(sizes.select("host").join(content, "host", "left").join(texts, "host", "left"), "html-templates")
 
 
-def main_text(html: str | None, content: str | None, constant: frozenset[str]) -> str:
+def main_text(html: str | None, content: int | None, constant: frozenset[int], boxed: frozenset[int] = frozenset()) -> str:
     """The text of the content slot of one page."""
     if not html:
         return ""
     page = _Page(html)
-    kept = [t for t in page.texts if not t[1]]
-    inside = None
-    if any(p.split(".")[0] in _MAIN for t in kept for p in t[0]):
-        inside = [t for t in kept if any(p.split(".")[0] in _MAIN for p in t[0])]
-    elif content:
-        slot = content.split("/")
-        inside = [t for t in kept if list(t[0][:len(slot)]) == slot] or None
-    if inside is not None:
+    slots = page.at(content)
+    kept, _ = page.kept(slots)
+    inside = _below(kept, [x for x in page.nodes if x.tag in _MAIN]) or _below(kept, slots)
+    if inside:
         return "\n".join(text for _, text in _blocks(inside))
-    return "\n".join(text for path, text in _blocks(kept) if not constant or f"{_hash('/'.join(path) + chr(31) + text[:4096]):016x}" not in constant)
+    return "\n".join(text for x, text in _blocks(kept) if not constant or _hash(f"{x.path:x}", text) not in constant)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -226,8 +323,9 @@ def extract(pages: DataFrame) -> DataFrame:
     made = templates(rows.select("host", mark.alias("mark"), "html")).withColumnRenamed("host", "of")
 
     @F.pandas_udf("string")
-    def slot(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for html, content, constant in batches:
-            yield pd.Series([main_text(h, c, frozenset(k) if k is not None else frozenset()) for h, c, k in zip(html, content, constant, strict=True)], dtype=object)
+    def slot(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for html, content, constant, boxed in batches:
+            sets = [[frozenset(k) if k is not None else frozenset() for k in x] for x in (constant, boxed)]
+            yield pd.Series([main_text(h, int(c) if c else None, *k) for h, c, *k in zip(html, content, *sets, strict=True)], dtype=object)
 
-    return rows.join(made, F.col("host") == F.col("of"), "left").select("page_id", "url", slot("html", "content", "constant").alias("text"))
+    return rows.join(made, F.col("host") == F.col("of"), "left").select("page_id", "url", slot("html", F.coalesce("content", F.lit(0)), "constant", "boxed").alias("text"))

@@ -471,6 +471,22 @@ def test_html_raw_elements_end_at_their_own_end_tag(raw):
     assert got == "Kept\ntoo"
 
 
+def _html(spark, bodies):
+    rows = [(n, f"http://h.example/{n}", f"<html><body>{b}</body></html>") for n, b in enumerate(bodies)]
+    return {r["page_id"]: r["text"] for r in template_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_html_class_words_of_a_wrapper_do_not_drop_the_text(spark):
+    for word in ("with-sidebar", "no-ads", "content-sidebar-wrap"):
+        side = f'<div class="sidebar"><p>Side</p></div>'
+        got = _html(spark, [f'<div class="{word}">{side}<article><p>Text {n}</p><div class="comments">c {n}</div></article><div class="related"><p>More {n}</p></div></div>' for n in range(6)])
+        assert got == {n: f"Text {n}" for n in range(6)}, word
+        got = _html(spark, [f'<div class="{word}">{side}<div class="body"><p>A longer text number {n}</p><p>and more of it</p></div><div class="related">More</div></div>' for n in range(6)])
+        assert got == {n: f"A longer text number {n}\nand more of it" for n in range(6)}, word
+    one = template_html.main_text('<article><p>Text</p></article><div class="related"><article>Teaser that is longer</article></div>', None, frozenset())
+    assert one == "Text"
+
+
 # ---- 10 ---------------------------------------------------------------------------------------
 
 def _rule(host, path):
