@@ -309,9 +309,13 @@ def main_text(html: str | None, content: int | None, constant: frozenset[int], b
     page = _Page(html)
     slots = page.at(content)
     kept, _ = page.kept(slots)
+    if len(slots) == 1:                        # the page fits its host's template
+        inside = _below(kept, slots)
+        if any(raw.strip() for _, _, raw in inside):
+            return "\n".join(text for x, text in _blocks(inside) if not boxed or _hash(f"{x.path:x}", text) not in boxed)
     inside = _below(kept, [x for x in page.nodes if x.tag in _MAIN]) or _below(kept, slots)
     if inside:
-        return "\n".join(text for _, text in _blocks(inside))
+        return "\n".join(text for x, text in _blocks(inside) if not boxed or _hash(f"{x.path:x}", text) not in boxed)
     return "\n".join(text for x, text in _blocks(kept) if not constant or _hash(f"{x.path:x}", text) not in constant)
 
 

@@ -487,6 +487,15 @@ def test_html_class_words_of_a_wrapper_do_not_drop_the_text(spark):
     assert one == "Text"
 
 
+def test_html_template_decides_inside_and_outside_an_article(spark):
+    box = '<div class="about-us"><p>We are a site.</p><p>Write to us.</p></div>'
+    got = _html(spark, [f"<article><h1>Title {n}</h1><p>Text of page {n}</p>{box}</article>" for n in range(6)])
+    assert got == {n: f"Title {n}\nText of page {n}" for n in range(6)}
+    text = " ".join(["words of the page"] * 20)
+    got = _html(spark, [f'<main class="teaser">Read {n}</main><div class="body"><p>{text} {n}</p></div>' for n in range(6)])
+    assert got == {n: f"{text} {n}" for n in range(6)}
+
+
 # ---- 10 ---------------------------------------------------------------------------------------
 
 def _rule(host, path):
