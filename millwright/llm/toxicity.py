@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from os.path import commonprefix
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,8 @@ PATTERNS = 4096       # character patterns the model holds, at most: its size, n
 SUPPORT = 3           # toxic documents a pattern needs
 LIFT = 6.0            # times as frequent in toxic documents
 ORDER, SIGNS = 4, 32  # of the language model: 32^4 counts
-LONGEST = 32          # signs of a token that can be a disguised word
+REMEMBERED = 32       # signs of a token whose reading is remembered, at most
+SETTLE = 64           # signs after which the readings' common beginning is put aside
 
 #: fixed values: letters that a sign may stand for
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
@@ -49,6 +51,7 @@ _FOLD[48:58] = 28
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
 _EDGE = "".join(set("\"'.,;:?!()[]{}<>#%&*$|=~^+-_/\\@"))
 _LEADS = frozenset("@$!|+(")                  # signs that may stand for a word's first letter
+_MARKS = "".join(set(_EDGE) - set("@$|+"))    # what ends a word and reads as no letter; '!' and '(' are punctuation
 _BLANK = bytes(32 if chr(b) in "\"'.,;:?!()[]{}<>#%&*$|=~^+-_/\\@\t\n\r\v\f0123456789" else b for b in range(256))
 
 
@@ -101,18 +104,22 @@ def language_model(docs: DataFrame) -> np.ndarray:
     return np.log(full).astype(np.float32).ravel()
 
 
-def _readings(token: str) -> list[list[tuple[str, float]]]:
+def _readings(token: str) -> Iterator[list[tuple[str, float]]]:
     """Per sign of a token: what it may read as, with the channel's cost."""
-    out = []
     for i, c in enumerate(token):
         if c.isalpha():
-            out.append([(c, 0.0), *([("", REPEATED)] if i and token[i - 1] == c else [])])
+            yield [(c, 0.0), *([("", REPEATED)] if i and token[i - 1] == c else [])]
         else:
             options = [(x, STANDS_FOR) for x in LOOKALIKES.get(c, "")]
             if c in SEPARATORS or not options:
                 options.append(("", DROPPED))
-            out.append([*options, (c, KEPT)])
-    return out
+            yield [*options, (c, KEPT)]
+
+
+def _legible(token: str | list[str]) -> bool:
+    """Whether a token may be a disguised word: two letters, or one among three signs that may stand for letters."""
+    letters = sum(c.isalpha() for c in token)
+    return letters >= 2 or letters == 1 and sum(c in LOOKALIKES for c in token) >= 2
 
 
 def _sign(c: str) -> int:
@@ -120,9 +127,10 @@ def _sign(c: str) -> int:
 
 
 def decode(token: str, model: np.ndarray) -> str:
-    """The likeliest reading of a (lower-case) token: Viterbi over its lattice, states = last three signs."""
+    """The likeliest reading of a (lower-case) token of any length: Viterbi over its lattice, states = last three signs."""
     states: dict[int, tuple[float, str]] = {0: (0.0, "")}
-    for options in _readings(token):
+    settled = []
+    for k, options in enumerate(_readings(token), 1):
         following: dict[int, tuple[float, str]] = {}
         for state, (score, text) in states.items():
             for read, cost in options:
@@ -134,7 +142,12 @@ def decode(token: str, model: np.ndarray) -> str:
                 if new not in following or value > following[new][0]:
                     following[new] = value, full
         states = following
-    return max((score + float(model[state * SIGNS]), text) for state, (score, text) in states.items())[1]
+        if k % SETTLE == 0:                   # what all readings begin with will not change any more
+            same = len(commonprefix([text for _, text in states.values()]))
+            settled.append(next(iter(states.values()))[1][:same])
+            states = {state: (score, text[same:]) for state, (score, text) in states.items()}
+    settled.append(max((score + float(model[state * SIGNS]), text) for state, (score, text) in states.items())[1])
+    return "".join(settled)
 
 
 class Restorer:
@@ -144,6 +157,8 @@ class Restorer:
         self.model, self.most, self.known = model, most, {}
 
     def _read(self, bare: str) -> str:
+        if len(bare) > REMEMBERED:
+            return decode(bare, self.model)
         if bare not in self.known:
             if len(self.known) >= self.most:
                 self.known.clear()
@@ -153,14 +168,13 @@ class Restorer:
     def _word(self, word: str) -> str:
         """A word with look-alikes or separators inside: its likeliest reading."""
         bare = word.strip(_EDGE)
-        if word[0] in _LEADS and word[1:2].isalpha():
+        if len(bare) < 2:                                        # too little without its signs: they may be letters
+            bare = word.strip(_MARKS)
+        elif word[0] in _LEADS and word[1:2].isalpha():
             bare = word.rstrip(_EDGE)
-        elif bare.isalpha() or not bare:
-            return word
-        letters = len([c for c in bare if c.isalpha()])
-        if letters < 2 or len(bare) > LONGEST or len([c for c in bare if c.isdigit()]) > letters + 1:
+        if bare.isalpha() or not bare:
             return word
-        return self._read(bare)
+        return self._read(bare) if _legible(bare) else word
 
     def __call__(self, text: str | None) -> str:
         low = (text or "").lower()
@@ -171,11 +185,11 @@ class Restorer:
         if ((raw[2:] == raw[1:-1]) & (raw[1:-1] == raw[:-2]) & (raw[2:] >= 97) & (raw[2:] <= 122)).any():
             for i in [i for i, w in enumerate(words) if _TRIPLE.search(w)]:
                 bare = words[i].strip(_EDGE)                     # r e p e e e ated letters
-                words[i] = self._read(bare) if len(bare) <= LONGEST else words[i]
-        single = [i for i, w in enumerate(words) if len(w) == 1]
+                words[i] = self._read(bare)
+        single = [i for i, w in enumerate(words) if len(w) == 1 and (w.isalpha() or w in LOOKALIKES)]
         if len(single) > 2:                                      # s p a c e d letters
             for run in np.split(single, np.flatnonzero(np.diff(single) > 1) + 1):
-                if 3 <= len(run) <= LONGEST and all("a" <= words[i] <= "z" for i in run):
+                if len(run) >= 3 and _legible([words[i] for i in run]):
                     words[run[0]] = self._read(" ".join(words[i] for i in run))
                     for i in run[1:]:
                         words[i] = ""

@@ -93,6 +93,20 @@ def test_restoring_disguised_words(spark):
     assert restore(None).strip() == "" and restore("").strip() == ""
 
 
+def test_restoring_long_and_mixed_disguises(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    words = spark.createDataFrame([(k, "idiot stupid loser pathetic trash moron asshole ass " * 20) for k in range(30)], "doc_id long, text string")
+    model = toxicity.language_model(docs.select("doc_id", "text").unionByName(words))
+    restore = toxicity.Restorer(model)
+    assert restore("i d 1 o t").split() == ["idiot"] and restore("m 0 r o n").split() == ["moron"]
+    assert restore("a$$").split() == ["ass"] and restore("4$$h0|3").split() == ["asshole"]
+    assert restore("idi" + "o" * 30 + "t").split() == ["idiot"]
+    assert "".join(restore(" ".join("youareastupididiotandapatheticmoronloser")).split()) == "youareastupididiotandapatheticmoronloser"
+    assert restore(" ".join("stupid" * 60)).replace(" ", "") == "stupid" * 60
+    assert restore(".".join("pathetic" * 5)).replace(" ", "") == "pathetic" * 5
+    assert restore("1 2 3 4, 12:30 and $100").split() == ["and"]
+
+
 def test_language_model_counts_every_gram(spark):
     docs = documents(spark)
     counts = np.zeros(toxicity.SIGNS**4, np.int64)
