@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwright.llm import decontam, host_reputation, line_dedup, mixing, quality_gam, simhash, suffix_dedup, template_html, toxicity, winnow
+from millwright.llm import collocations, decontam, host_reputation, line_dedup, mixing, packing, quality_gam, simhash, spelling, suffix_dedup, template_html, toxicity, winnow
 from millwright.llm.common import ASCII_LOWER, ASCII_UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +76,21 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
 
 
+@_query
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.sequences(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents")).select("word", "n", "n_near", "form", "form_n", "root")
+
+
 def _url_sql() -> str:
     """DuckDB statement of op10: url parts, rules (longest wins), beta-binomial shrinkage and posterior bound."""
     h = host_reputation
