@@ -24,6 +24,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import cache, partial, reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -36,7 +37,7 @@ TOKENIZER = "word_bpe_49k.json"     # a path, or the name of a public tokenizer
 END_ID = 1
 CAPACITY = 4096
 GROUP = 16_384                      # pieces of a partition, about
-REMEMBERED = 400_000                # parts of texts whose ids a worker remembers
+REMEMBERED = 600_000                # parts of texts whose ids a worker remembers
 ROUNDING = range(1, 21)             # parameters of the rounding functions
 _PIECES = "doc_id long, has_id boolean, piece int, start long, length long, ids_crc32 long"     # a null id would make pandas' longs floats
 _PACKED = "uid long, " + _PIECES + ", sequence_id long, offset long, certified boolean, open boolean"
@@ -64,11 +65,13 @@ def token_bytes(texts: list[str], tokenizer: str = TOKENIZER) -> Iterator[bytes]
         split = [t.encode().split() for t in texts[at:at + 256]]
         if len(known) > REMEMBERED:
             known.clear()
-        new = list(set().union(*split) - known.keys())
+        new = [part for part in set().union(*split) if part not in known]
         for k in range(0, len(new), 8192):
-            some = new[k:k + 8192]
-            for part, got in zip(some, model.encode_batch([p.decode() for p in some], add_special_tokens=False), strict=True):
-                known[part] = np.array(got.ids, "<u4").tobytes()
+            found = [e.ids for e in model.encode_batch([p.decode() for p in new[k:k + 8192]], add_special_tokens=False)]
+            flat, at = np.fromiter(chain.from_iterable(found), "<u4").tobytes(), 0
+            for part, ids in zip(new[k:k + 8192], found, strict=True):
+                known[part] = flat[at:at + 4 * len(ids)]
+                at += 4 * len(ids)
         for parts in split:
             yield b"".join(map(known.__getitem__, parts))
 
