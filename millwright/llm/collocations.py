@@ -7,7 +7,8 @@
 2. The chunks of a corpus form a dictionary with parse frequencies (a shuffle on the chunk).
 3. n-grams are counted inside distinct chunks only, weighted by the chunk's frequency. Those
    that start inside the overlap belong to the next chunk: a chunk that goes on is marked and
-   counts no n-gram starting at its last two words, so each occurrence counts once.
+   counts no n-gram starting at its last two words, so each occurrence counts once. Lengths
+   follow one another: a bit table of bounded size spares n-grams with a rare part.
 4. Phrases of at least ``LEAST`` occurrences meet the counts of their parts (as frequent
    themselves) for the scores; those mostly inside a longer candidate go; the best per
    language are ranked in salted groups first.
@@ -25,6 +26,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -42,6 +44,8 @@ TOP = 2000
 WHOLE = 12                  # pieces of at most so many words are one chunk
 EVERY = 8                   # one window in so many is a trigger
 SALTS = 64
+BITS = 24                   # log2 of the bits that say which phrases may be frequent
+_TURN = 7                   # bits by which a phrase's hash turns per word
 _GOES_ON = "\t"             # never part of a word; ends a chunk whose last two words start the next
 _BREAK = re.compile(rb" ?[.,;:!?\x0a-\x0d][ .,;:!?\x0a-\x0d]*")        # after _GAP became single spaces
 _GAP = re.compile(rb"[ \t]+")
@@ -91,8 +95,18 @@ def dictionary(docs: DataFrame) -> DataFrame:
 
 # ---- counting ---------------------------------------------------------------------------------
 
-def _count(lang: str, chunk: list[str], n: list[int]) -> Iterator[pd.DataFrame]:
-    """Weighted n-grams of chunks: words become numbers in sorted order, n-grams sums of shifted numbers."""
+def _rolled(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` words from each place on (meaningless where the chunk ends before)."""
+    out = hashes
+    for k in range(1, size):
+        out = (out << np.uint64(_TURN) | out >> np.uint64(64 - _TURN)) ^ np.roll(hashes, -k)
+    return out
+
+
+def _count(lang: str, chunk: list[str], n: list[int], size: int = 1, may: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
+    """Weighted n-grams of ``size`` words in chunks whose two shorter parts ``may`` be frequent; '' counts the words."""
+    import xxhash
+
     goes_on = np.array([c.endswith(_GOES_ON) for c in chunk])
     split = [c.rstrip(_GOES_ON).split(" ") for c in chunk]
     words = [w for s in split for w in s]
@@ -100,62 +114,81 @@ def _count(lang: str, chunk: list[str], n: list[int]) -> Iterator[pd.DataFrame]:
     number = dict(zip(names, range(len(names)), strict=True))
     ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
     sizes = np.fromiter(map(len, split), np.int64, len(split))
-    ends = np.repeat(np.cumsum(sizes), sizes)                     # behind each word's chunk
-    left = ends - np.arange(len(ids))                             # words from here to the chunk's end
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(ids))       # words from here to the chunk's end
     weight = np.repeat(np.array(n, np.int64), sizes)
-    starts = (left > 2) | ~np.repeat(goes_on, sizes)              # the overlap belongs to the next chunk
-    if not starts.any():
+    starts = (left > 2) | ~np.repeat(goes_on, sizes)                      # the overlap belongs to the next chunk
+    if size == 1:
+        yield pd.DataFrame({"lang": lang, "phrase": [""], "n": [int(weight[starts].sum())]})
+    at = np.flatnonzero(starts & (left >= size))
+    if size > 1:
+        salt = lang + " "
+        hashes = np.fromiter((xxhash.xxh64_intdigest((salt + w).encode("utf-8", "surrogatepass"), 42) for w in names), np.uint64, len(names))[ids]
+        bit = _rolled(hashes, size - 1) >> np.uint64(64 - BITS)
+        ok = (may[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        at = at[ok[at] & ok[at + 1]]
+    if not len(at):
         return
-    yield pd.DataFrame({"lang": lang, "phrase": [""], "n": [int(weight[starts].sum())]})
-    bits = max(1, (len(names) - 1).bit_length())
-    grams, _, sums = _sums(ids[starts], weight[starts])
-    yield pd.DataFrame({"lang": lang, "phrase": [names[g] for g in grams.tolist()], "n": sums})
-    prefix, texts = ids, names                                    # of each place: its first words' number, and those words
-    for size in range(2, LONGEST + 1):
-        at = np.flatnonzero(starts & (left >= size))
-        if not len(at):
-            break
-        grams, place, sums = _sums(prefix[at] << bits | ids[at + size - 1], weight[at])
-        texts = [texts[a] + " " + names[b] for a, b in zip((grams >> bits).tolist(), (grams & (1 << bits) - 1).tolist(), strict=True)]
-        yield pd.DataFrame({"lang": lang, "phrase": texts, "n": sums})
-        prefix = np.zeros(len(ids), np.int64)
-        prefix[at] = place
-
-
-def _sums(code: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct codes in order, each row's place among them, summed weights)."""
+    code, bits = ids[at], max(1, len(names).bit_length())
+    for k in range(1, size):
+        if bits * (k + 1) > 62:
+            code = np.unique(code, return_inverse=True)[1]
+        code = code << bits | ids[at + k]
     order = np.argsort(code, kind="stable")
-    ranked = code[order]
-    new = np.ones(len(code), bool)
-    new[1:] = ranked[1:] != ranked[:-1]
-    place = np.empty(len(code), np.int64)
-    place[order] = np.cumsum(new) - 1
-    heads = np.flatnonzero(new)
-    return ranked[heads], place, np.add.reduceat(weight[order], heads) if len(heads) else weight[:0]
-
-
-def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held: dict[str, tuple[list[str], list[int]]] = {}
-    size = 0
-    for pdf in batches:
-        for lang, rows in pdf.groupby("lang", sort=False):
-            c, n = held.setdefault(lang, ([], []))
-            c += rows["chunk"].tolist()
-            n += rows["n"].tolist()
-        size += len(pdf)
-        if size >= 40_000:
-            for lang, (c, n) in held.items():
-                yield from _count(lang, c, n)
-            held, size = {}, 0
-    for lang, (c, n) in held.items():
-        yield from _count(lang, c, n)
+    heads = np.flatnonzero(np.concatenate(([True], code[order][1:] != code[order][:-1])))
+    first = at[order[heads]]
+    texts = [names[i] for i in ids[first].tolist()]
+    for k in range(1, size):
+        texts = [t + " " + names[i] for t, i in zip(texts, ids[first + k].tolist(), strict=True)]
+    yield pd.DataFrame({"lang": lang, "phrase": texts, "n": np.add.reduceat(weight[at][order], heads)})
+
+
+def _grams(size: int, may: np.ndarray | None):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, tuple[list[str], list[int]]] = {}
+        rows = 0
+        for pdf in batches:
+            for lang, some in pdf.groupby("lang", sort=False):
+                c, n = held.setdefault(lang, ([], []))
+                c += some["chunk"].tolist()
+                n += some["n"].tolist()
+            rows += len(pdf)
+            if rows >= 40_000:
+                for lang, (c, n) in held.items():
+                    yield from _count(lang, c, n, size, may)
+                held, rows = {}, 0
+        for lang, (c, n) in held.items():
+            yield from _count(lang, c, n, size, may)
+
+    return run
+
+
+def _marked(found: DataFrame) -> np.ndarray:
+    """A table of 2**BITS bits, whatever the input: those of the phrases in ``found`` are set."""
+    hashes = F.transform(F.split("phrase", " "), lambda w: F.xxhash64(F.concat("lang", F.lit(" "), w)))
+    turned = lambda a: F.shiftleft(a, _TURN).bitwiseOR(F.shiftrightunsigned(a, 64 - _TURN))
+    bit = F.shiftrightunsigned(F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: turned(a).bitwiseXOR(h)), 64 - BITS)
+    bytes_ = found.filter("phrase <> ''").select(bit.alias("bit")).groupBy(F.shiftright("bit", 3).alias("byte")).agg(F.expr("bit_or(shiftleft(1, cast(bit & 7 as int)))").alias("bits")).toArrow()
+    out = np.zeros(1 << BITS - 3, np.uint8)
+    out[bytes_["byte"].to_numpy()] = bytes_["bits"].to_numpy()
+    return out
 
 
 def counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(lang, phrase, n): occurrences of the phrases of 1 to ``LONGEST`` words that occur at least ``least``
-    times; the phrase '' counts all words of a language."""
-    found = dictionary(docs).mapInPandas(_grams, "lang string, phrase string, n long")
-    return found.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    times; the phrase '' counts all words of a language.
+
+    Length by length: a phrase is counted only where both phrases one word shorter may be frequent,
+    as the bit table of the former length says. It never misses one, so nothing frequent is lost.
+    """
+    parsed = written(dictionary(docs), "chunks")
+    found: list[DataFrame] = []
+    may = None
+    for size in range(1, LONGEST + 1):
+        if found:
+            may = _marked(found[-1])
+        grams = parsed.mapInPandas(_grams(size, may), "lang string, phrase string, n long")
+        found.append(written(grams.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "phrases"))
+    return reduce(DataFrame.unionByName, found)
 
 
 # ---- candidates -------------------------------------------------------------------------------
@@ -186,7 +219,7 @@ def dominated(found: DataFrame, inside: int = INSIDE) -> DataFrame:
 
 def mine(docs: DataFrame, top: int = TOP) -> DataFrame:
     """The best ``top`` phrases of each language: lang, rank, phrase, a, l, r, n, score."""
-    found = written(counts(docs), "phrases")
+    found = counts(docs)
     kept = scored(found).join(dominated(found), ["lang", "phrase"], "left_anti")
     best = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     salted = kept.withColumn("_salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))

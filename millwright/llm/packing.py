@@ -39,6 +39,7 @@ CAPACITY = 4096
 GROUP = 16_384                      # pieces of a partition, about
 REMEMBERED = 600_000                # parts of texts whose ids a worker remembers
 ROUNDING = range(1, 21)             # parameters of the rounding functions
+_SIGNS = ".,!?;:*&%$#@+-=/()[]{}|~^_"        # no letter, digit or space to the tokenizer's pattern, nor the apostrophe it treats apart
 _PIECES = "doc_id long, has_id boolean, piece int, start long, length long, ids_crc32 long"     # a null id would make pandas' longs floats
 _PACKED = "uid long, " + _PIECES + ", sequence_id long, offset long, certified boolean, open boolean"
 
@@ -58,6 +59,44 @@ def _encoder(path: str):
     return Tokenizer.from_file(path), {}
 
 
+def _stem(part: bytes) -> tuple[str, str]:
+    """A part as what the tokenizer sees of it: a stem, and the run of signs behind a last letter, which is a word of its own.
+
+    Only for parts of Latin letters without the bracket of special tokens; others stay whole.
+    """
+    text = part.decode()
+    if "<" in text or not (text.isascii() or max(text) < "\u0100"):
+        return text, ""
+    text = text.lower()
+    stem = text.rstrip(_SIGNS)
+    return (stem, text[len(stem):]) if stem and stem[-1].isalpha() else (text, "")
+
+
+def _learn(model, known: dict[bytes, bytes], new: list[bytes]) -> None:
+    """Adds the ids of ``new`` parts: a plain word is encoded once, whatever its case and the signs behind it."""
+    cut = [_stem(part) for part in new]
+    wanted = [w for w in {w for pair in cut for w in pair} if w.encode() not in known]
+    plain = [w for w in wanted if w.isalpha()]
+    for k in range(0, len(plain), 8192):
+        some = plain[k:k + 8192]
+        got = model.encode(" ".join(some), add_special_tokens=False)      # letters only: a word each
+        sizes = np.bincount(np.array(got.word_ids, np.int64), minlength=len(some)).tolist()
+        _keep(known, some, np.array(got.ids, "<u4"), sizes)
+    other = [w for w in wanted if not w.isalpha()]
+    for k in range(0, len(other), 8192):
+        found = [e.ids for e in model.encode_batch(other[k:k + 8192], add_special_tokens=False)]
+        _keep(known, other[k:k + 8192], np.fromiter(chain.from_iterable(found), "<u4"), [len(f) for f in found])
+    for part, (stem, run) in zip(new, cut, strict=True):
+        known[part] = known[stem.encode()] + known[run.encode()]
+
+
+def _keep(known: dict[bytes, bytes], words: list[str], ids: np.ndarray, sizes: list[int]) -> None:
+    flat, at = ids.tobytes(), 0
+    for w, n in zip(words, sizes, strict=True):
+        known[w.encode()] = flat[at:at + 4 * n]
+        at += 4 * n
+
+
 def token_bytes(texts: list[str], tokenizer: str = TOKENIZER) -> Iterator[bytes]:
     """Each text's ids as little-endian unsigned 32-bit numbers, without the end id."""
     model, known = _encoder(tokenizer)
@@ -66,12 +105,8 @@ def token_bytes(texts: list[str], tokenizer: str = TOKENIZER) -> Iterator[bytes]
         if len(known) > REMEMBERED:
             known.clear()
         new = [part for part in set().union(*split) if part not in known]
-        for k in range(0, len(new), 8192):
-            found = [e.ids for e in model.encode_batch([p.decode() for p in new[k:k + 8192]], add_special_tokens=False)]
-            flat, at = np.fromiter(chain.from_iterable(found), "<u4").tobytes(), 0
-            for part, ids in zip(new[k:k + 8192], found, strict=True):
-                known[part] = flat[at:at + 4 * len(ids)]
-                at += 4 * len(ids)
+        if new:
+            _learn(model, known, new)
         for parts in split:
             yield b"".join(map(known.__getitem__, parts))
 

@@ -42,6 +42,7 @@ def test_token_bytes_equal_the_tokenizer(model):
     rng = random.Random(5)
     strange = [chr(c) for c in range(1, 0x250)] + list("̧̀́Σσ   　﻿中กİẞ\U0001f600")
     texts = ["".join(rng.choice(strange) for _ in range(60)) for _ in range(400)]
+    texts += ["Word, word. WORD... word!? Été, été. ÉTÉ** (Ünder)under] x_. 3., a1. don't. it's, ß. µ, ª. word.' <b>, Straße; naïve--"] * 2
     texts += [f"a{c}b {c} x{c}\t{c}y" for c in strange] + ["<|endoftext|> a<|startoftext|>b <|x|>", "It's we'll THEY'VE 'summer", "", " \n "]
     got = [np.frombuffer(b, "<u4").tolist() for b in packing.token_bytes(texts)]
     assert got == [model.encode(t, add_special_tokens=False).ids for t in texts]
@@ -197,8 +198,10 @@ def test_chunks_cover_each_ngram_once():
         found = collocations.chunks(" ".join(words).encode())
         assert all(len(c) < 2000 for c in found)
         got = Counter()
-        for frame in collocations._count("en", [c.decode() for c in found], [2] * len(found)):
-            got.update(dict(zip(frame["phrase"], frame["n"], strict=True)))
+        every = np.full(1 << collocations.BITS - 3, 255, np.uint8)
+        for size in (1, 2, 3):
+            for frame in collocations._count("en", [c.decode() for c in found], [2] * len(found), size, every):
+                got.update(dict(zip(frame["phrase"], frame["n"], strict=True)))
         want = Counter({"": 2 * len(words)})
         for size in (1, 2, 3):
             for i in range(len(words) - size + 1):
