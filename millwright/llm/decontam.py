@@ -1,24 +1,29 @@
 """Benchmark decontamination by q-gram lemma filtering (operator 1).
 
-Every benchmark item is cut into segments of ``SEGMENT`` characters that overlap by half (a
-shorter item is one segment). A document is contaminated when some stretch of it is within the
-edit budget (``ERROR`` of the segment's length) of a segment. By the q-gram lemma such a
-stretch shares at least m - q + 1 - q e of the segment's q-grams, and they lie within 2 e + 1
-neighbouring diagonals. So, on the normalised text (ASCII lower case, runs of white space as
-one space):
+A document is contaminated when it quotes an item: some ``STRETCH`` consecutive characters of
+the item, from any place in it (all of a shorter item), occur in the text within the edit
+budget (``ERROR`` of the stretch, so that a replaced word passes). By the q-gram lemma e single
+edits leave m - q + 1 - q e of the stretch's q-grams, within neighbouring diagonals; a replaced
+word of w characters is one run of edits and costs only w + q - 1. The filter asks for the
+q-grams that ``SINGLE`` scattered edits leave (as a share of the stretch), which a replaced word
+of up to some 30 characters leaves as well. So, on the normalised text (ASCII lower case, runs
+of white space as one space):
 
 1. positions whose q-gram occurs in the benchmark are marked (rolling hash, bit table);
-2. stretches with too few marks for any segment are dropped (running sum);
-3. the rest look up (segment, diagonal) and are counted in overlapping diagonal bands;
-4. bands that reach the segment's bound are verified by banded alignment.
+2. stretches with too few marks for any item are dropped (running sum);
+3. the rest look up (item, diagonal) and are counted in overlapping diagonal bands;
+4. in bands with enough shared q-grams, every stretch of the item is counted by its own q-grams
+   (a running difference); those that reach the bound are verified by banded alignment, the
+   fullest first, until one is within the budget.
 
 The benchmark is the query set: it is read in blocks of at most ``BLOCK_CHARS`` characters, so
 what travels to the tasks has a fixed bound; every document meets every block. Texts are
 scanned whole, in overlapping blocks of bounded memory.
 
 Edge cases: null and empty texts are clean; null, empty and very short (below q characters)
-items match nothing; repeated items report each id; repeated rows are judged alike; an empty
-benchmark leaves all documents clean; extra columns are ignored (``clean`` keeps them).
+items match nothing; a text that ends (or begins) inside an item is judged by the stretch it
+holds; repeated items report each id; repeated rows are judged alike; an empty benchmark leaves
+all documents clean; extra columns are ignored (``clean`` keeps them).
 """
 
 from __future__ import annotations
@@ -34,8 +39,9 @@ from pyspark.sql.window import Window
 from millwright.llm.common import ASCII_LOWER, ASCII_UPPER
 
 Q = 10
-SEGMENT = 80
-ERROR = 0.06
+STRETCH = 80
+ERROR = 0.15                                  # edits of a stretch, as a share of its characters
+SINGLE = 0.05                                 # scattered edits that its q-grams must survive
 BLOCK_CHARS = 8_000_000
 TEXT_BLOCK = 1 << 20
 _TABLE = 22                                   # bits of the mark table
@@ -79,6 +85,8 @@ def _banded(a: str, b: str, budget: int) -> tuple[int, int, int] | None:
     at = b.find(a)
     if at >= 0:
         return 0, at, at + len(a)
+    if len(b) < len(a) - budget:               # the text ends too early
+        return None
     room = len(b) - len(a) + budget            # diagonals -budget .. room
     wide = room + budget + 1
     far = budget + 1
@@ -105,19 +113,13 @@ def _banded(a: str, b: str, budget: int) -> tuple[int, int, int] | None:
 class Benchmark:
     """Q-gram index of one block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], q: int = Q, segment: int = SEGMENT, error: float = ERROR):
-        self.q, self.ids, self.parts = q, [], []
-        for item, text in items:
-            text = normalise(text)
-            if len(text) < q:
-                continue
-            last = max(0, len(text) - segment)
-            for at in sorted({*range(0, last + 1, max(1, segment // 2)), last}):
-                self.ids.append(item)
-                self.parts.append(text[at:at + segment])
-        self.budget = [int(error * len(p)) for p in self.parts]
-        self.bound = np.array([max(1, len(p) - q + 1 - q * e) for p, e in zip(self.parts, self.budget, strict=True)], np.int64)
-        grams = [_grams(_codes(p), q) for p in self.parts]
+    def __init__(self, items: list[tuple[int, str]], q: int = Q, stretch: int = STRETCH, error: float = ERROR, single: float = SINGLE):
+        kept = [(i, t) for i, t in ((i, normalise(t)) for i, t in items) if len(t) >= q]
+        self.q, self.ids, self.texts = q, [i for i, _ in kept], [t for _, t in kept]
+        self.size = np.array([min(stretch, len(t)) for t in self.texts], np.int64)
+        self.budget = (error * self.size).astype(np.int64)
+        self.bound = np.maximum(1, self.size - q + 1 - q * (single * self.size).astype(np.int64))
+        grams = [_grams(_codes(t), q) for t in self.texts]
         sizes = [len(g) for g in grams]
         flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         order = np.argsort(flat, kind="stable")
@@ -126,20 +128,22 @@ class Benchmark:
         self.offset = (np.concatenate([np.arange(n) for n in sizes]) if grams else np.zeros(0, np.int64))[order]
         self.mark = np.zeros(1 << _TABLE, bool)
         self.mark[(self.gram >> np.uint64(64 - _TABLE)).astype(np.int64)] = True
-        self.longest = max((len(p) for p in self.parts), default=0)
-        self.slack = max(self.budget, default=0)
+        self.longest = max(sizes, default=0)
+        self.reach = int(self.size.max(initial=0))
+        self.slack = int(self.budget.max(initial=0))
 
-    def _bands(self, codes: np.ndarray) -> list[tuple[int, int]]:
-        """(segment, diagonal) of the bands that reach their bound in one text block."""
+    def _bands(self, codes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(item, first diagonal, places) of the bands with enough shared q-grams in one text block; places: starts
+        of the item's stretches that reach their bound, the fullest first."""
         grams = _grams(codes, self.q)
         marked = self.mark[(grams >> np.uint64(64 - _TABLE)).astype(np.int64)]
-        reach = self.longest + self.slack
+        reach = self.reach + self.slack
         run = np.concatenate(([0], np.cumsum(marked)))
         n = len(grams)
         ahead = run[np.minimum(np.arange(n) + reach, n)] - run[:n]
         starts = np.flatnonzero((ahead >= self.bound.min()) & marked)
         if not len(starts):
-            return []
+            return
         near = np.zeros(n + 1, np.int64)       # positions within reach of a dense start
         np.add.at(near, starts, 1)
         np.add.at(near, np.minimum(starts + reach, n), -1)
@@ -147,46 +151,70 @@ class Benchmark:
         lo, hi = np.searchsorted(self.gram, grams[at], "left"), np.searchsorted(self.gram, grams[at], "right")
         count = hi - lo
         at, lo, count = at[count > 0], lo[count > 0], count[count > 0]
-        found: set[tuple[int, int]] = set()
         step = max(1, 4_000_000 // max(1, int(count.max(initial=1))))
-        tally: list[tuple[np.ndarray, np.ndarray]] = []
         width = 2 * self.slack + 2             # bands of this width, each overlapping half of its neighbours
-        for k in range(0, len(at), step):
-            c = count[k:k + step]
-            entry = np.repeat(lo[k:k + step] - np.concatenate(([0], np.cumsum(c)[:-1])), c) + np.arange(c.sum())
-            diagonal = np.repeat(at[k:k + step], c) - self.offset[entry] + self.longest
-            for shift in (0, width // 2):
-                key = (self.part[entry] * (1 << 40) + (diagonal + shift) // width) * 2 + (shift > 0)
-                tally.append(np.unique(key, return_counts=True))
+
+        def looked_up() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            """(band, item offset) of the shared q-grams, a bounded number at a time."""
+            for k in range(0, len(at), step):
+                c = count[k:k + step]
+                entry = np.repeat(lo[k:k + step] - np.concatenate(([0], np.cumsum(c)[:-1])), c) + np.arange(c.sum())
+                diagonal = np.repeat(at[k:k + step], c) - self.offset[entry] + self.longest
+                for shift in (0, width // 2):
+                    yield (self.part[entry] * (1 << 40) + (diagonal + shift) // width) * 2 + (shift > 0), self.offset[entry]
+
+        tally = [np.unique(key, return_counts=True) for key, _ in looked_up()]
         if not tally:
-            return []
+            return
         keys, where = np.unique(np.concatenate([t[0] for t in tally]), return_inverse=True)
         hits = np.bincount(where, np.concatenate([t[1] for t in tally]))
-        for key in keys[hits >= self.bound[keys // 2 // (1 << 40)]].tolist():
-            shift, part, band = width // 2 * (key & 1), key // 2 // (1 << 40), key // 2 % (1 << 40)
-            found.add((part, band * width - shift - self.longest))
-        return sorted(found)
+        keys = keys[hits >= self.bound[keys // 2 // (1 << 40)]]
+        if not len(keys):
+            return
+        some = [(key[here], offset[here]) for key, offset in looked_up() if (here := np.isin(key, keys)).any()]
+        key, offset = np.concatenate([x for x, _ in some]), np.concatenate([x for _, x in some])
+        order = np.lexsort((offset, key))
+        key, offset = key[order], offset[order]
+        cuts = np.searchsorted(key, keys, "left").tolist()
+        for band, a, b in zip(keys.tolist(), cuts, [*cuts[1:], len(key)], strict=True):
+            part = band // 2 // (1 << 40)
+            places = self._places(part, np.unique(offset[a:b]))
+            if len(places):
+                yield part, band // 2 % (1 << 40) * width - width // 2 * (band & 1) - self.longest, places
+
+    def _places(self, part: int, shared: np.ndarray) -> np.ndarray:
+        """Starts of the item's stretches that hold enough of the shared q-grams (by offset), the fullest first."""
+        length, size = len(self.texts[part]), int(self.size[part])
+        held = np.zeros(length + 1, np.int64)
+        held[shared + 1] = 1
+        held = np.cumsum(held)
+        start = np.arange(length - size + 1)
+        inside = held[start + size - self.q + 1] - held[start]
+        good = np.flatnonzero(inside >= self.bound[part])
+        return good[np.argsort(-inside[good], kind="stable")]
 
     def search(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item, first, last, distance) per item found; the span is in the normalised text."""
         best: dict[int, tuple[int, int, int]] = {}
-        if not text or not self.parts:
+        if not text or not self.texts:
             return []
         text = normalise(text)
-        overlap = 2 * (self.longest + 2 * self.slack + self.q)
+        overlap = 2 * (self.reach + 2 * self.slack + self.q)
         width = 2 * self.slack + 2
         for at in range(0, max(1, len(text)), TEXT_BLOCK):
             piece = text[at:at + TEXT_BLOCK + overlap]
             if len(piece) < self.q:
                 continue
-            for part, diagonal in self._bands(_codes(piece)):
-                e = self.budget[part]
-                lo = max(0, diagonal - e)
-                window = piece[lo:diagonal + width + len(self.parts[part]) + e]
-                hit = _banded(self.parts[part], window, e)
-                if hit:
-                    item, new = self.ids[part], (hit[0], at + lo + hit[1], at + lo + hit[2])
-                    best[item] = min(best.get(item, new), new)
+            for part, diagonal, places in self._bands(_codes(piece)):
+                e, item = int(self.budget[part]), self.ids[part]
+                for start in places.tolist():
+                    stretch = self.texts[part][start:start + int(self.size[part])]
+                    lo = max(0, diagonal + start - e)
+                    hit = _banded(stretch, piece[lo:max(0, diagonal + start + width + len(stretch) + e)], e)
+                    if hit:
+                        new = (hit[0], at + lo + hit[1], at + lo + hit[2])
+                        best[item] = min(best.get(item, new), new)
+                        break
         return [(item, first, last, d) for item, (d, first, last) in sorted(best.items())]
 
 

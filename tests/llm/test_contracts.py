@@ -81,6 +81,58 @@ def test_decontamination_edge_cases(spark):
     assert sorted(i for b in many for i, _ in b) == [1, 5] and len(many) == 2
 
 
+def unfiltered(text, item):
+    """Whether any stretch of the item aligns within the budget: every stretch against the whole text."""
+    text, item = decontam.normalise(text), decontam.normalise(item)
+    m = min(decontam.STRETCH, len(item))
+    for start in range(len(item) - m + 1):
+        row = [0] * (len(text) + 1)
+        for i, x in enumerate(item[start:start + m], 1):
+            new = [i]
+            for j, y in enumerate(text, 1):
+                new.append(min(row[j - 1] + (x != y), row[j] + 1, new[j - 1] + 1))
+            row = new
+        if min(row) <= int(decontam.ERROR * m):
+            return True
+    return False
+
+
+def test_decontamination_finds_quotes_from_any_place(spark):
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    index = decontam.Benchmark(items)
+    texts = {i: decontam.normalise(t) for i, t in items}
+    long = [(i, t) for i, t in texts.items() if len(t) >= 100]
+    found = lambda text: {h[0] for h in index.search(text)}
+    for i, t in long[:12]:
+        for size in (80, 95, 118):
+            for start in range(0, len(t) - size + 1, 13):
+                assert i in found("Some words before it, " + t[start:start + size] + " and others after it.")
+        for cut in range(1, len(t)):                                  # the text ends, or begins, inside the item
+            there = {i in found(x) for x in ("other words stand here " + t[:cut], t[-cut:] + " other words stand here", t[:cut], t[-cut:])}
+            assert 60 <= cut < 80 or there == {cut >= 80}             # 68 characters lie within the budget of 80
+        words = t.split(" ")
+        middle = len(words) // 2
+        for new in ("x", "replacement", "quite"):
+            assert i in found(" ".join([*words[:middle], new, *words[middle + 1:]]))
+
+
+def test_decontamination_equals_unfiltered_alignment(spark):
+    rng = np.random.default_rng(11)
+    item = "the quick brown fox jumps over the lazy dog while seven wizards quietly mix a batch of strange potions tonight"
+    index = decontam.Benchmark([(1, item)])
+    seen = set()
+    for _ in range(40):
+        text = list(item[int(rng.integers(0, 12)):])
+        for _ in range(int(rng.integers(0, 5))):
+            k = int(rng.integers(0, len(text)))
+            text[k:k + int(rng.integers(0, 2))] = list("zq"[: int(rng.integers(0, 3))])
+        text = "unrelated start " + "".join(text) + " unrelated end"
+        got, want = bool(index.search(text)), unfiltered(text, item)
+        assert got == want
+        seen.add(want)
+    assert True in seen and not unfiltered("unrelated words only " * 8, item) and not index.search("unrelated words only " * 8)
+
+
 # ---- 2 ----------------------------------------------------------------------------------------
 
 def test_restoring_disguised_words(spark):
