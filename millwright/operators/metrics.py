@@ -4,7 +4,8 @@ Input: a long table ``(model, label, score[, prediction])`` with one row per
 (scored row, model), so every model is evaluated in the same grouped jobs.
 Curve metrics first compress to distinct ``(model, score)`` with counts (a
 partial aggregate), then prefix-sum the compressed table in score ranges — the
-raw rows are never ordered, and a continuous score is not one task per model.
+raw rows are never ordered, and a continuous score is not one task per model. AUC, average
+precision and the confusion counts all come from that table.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millwright.functions.exprs import col, np_round
+from millwright.session import materialize
 
 PCT = 100.0
 
@@ -57,20 +59,19 @@ def score_counts(df: DataFrame, group: list[str], label="label", score="score")
         F.count_if(col(label) == 1).alias("pos"), F.count_if(col(label) != 1).alias("neg"))
 
 
-CUTS = 256   # score ranges a group is dealt into
-
-
 def _ranges(sc: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds ``__b``, the score range of a row: at most CUTS per group, cut at approximate quantiles, increasing with the score."""
-    probs = F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)])
-    cuts = sc.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("s", probs, F.lit(10_000))).alias("__cuts"))
-    return sc.join(cuts, keys).withColumn("__b", F.size(F.filter("__cuts", lambda c: c < F.col("s")))).drop("__cuts")
+    """The score counts in order of score, written once, with ``__b``: the number of a row's score range, increasing with the score.
+
+    Spark's range partitioning cuts the ranges (as many as the platform's partition size asks for), so no
+    row carries a list of cuts, and whatever is computed from the result starts from this table.
+    """
+    return materialize(sc.repartitionByRange(*keys, "s").withColumn("__b", F.spark_partition_id()), "score-ranges")
 
 
 def _running(df: DataFrame, keys: list[str], descending: bool, sums: dict[str, str], following: list[str] = ()) -> DataFrame:
-    """Inclusive running sums (out → in) along the score, and the next row's values (``next_<c>``).
+    """Inclusive running sums (out → in) along the score, their totals (``all_<out>``), and the next row's values (``next_<c>``).
 
-    Range totals first (CUTS rows a group), then a window inside each range: no task holds a
+    Range totals first (a row per range), then a window inside each range: no task holds a
     group. A range's last row takes what follows from the first row of the next one.
     """
     down = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
@@ -78,7 +79,8 @@ def _running(df: DataFrame, keys: list[str], descending: bool, sums: dict[str, s
     parts = df.groupBy(*keys, "__b").agg(*[F.sum(v).alias(f"__t_{o}") for o, v in sums.items()], first.alias("__first"))
     wt = Window.partitionBy(*keys).orderBy(down("__b"))
     before = wt.rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select(*keys, "__b", *[F.coalesce(F.sum(f"__t_{o}").over(before), F.lit(0)).alias(f"__o_{o}") for o in sums],
+    whole = Window.partitionBy(*keys)
+    parts = parts.select(*keys, "__b", *[F.coalesce(F.sum(f"__t_{o}").over(before), F.lit(0)).alias(f"__o_{o}") for o in sums], *[F.sum(f"__t_{o}").over(whole).alias(f"all_{o}") for o in sums],
                          F.lead("__first").over(wt).alias("__after"))
     w = Window.partitionBy(*keys, "__b").orderBy(down("s"))
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -93,41 +95,38 @@ def _keyed(sc: DataFrame, group: list[str]) -> tuple[DataFrame, list[str]]:
     return (sc, list(group)) if group else (sc.withColumn("__g", F.lit(0)), ["__g"])
 
 
-def _cumulate(sc: DataFrame, group: list[str], descending: bool) -> tuple[DataFrame, list[str]]:
-    """(rows with cpos, cneg, idx (1-based) and the next row's pos / neg, keys) over distinct scores."""
+def _cumulate(sc: DataFrame, group: list[str], following: bool = False) -> tuple[DataFrame, list[str]]:
+    """(rows, keys): over distinct scores from the highest down, cpos, cneg and idx (1-based), their totals
+    all_…, and with ``following`` the next row's pos / neg."""
     sc, keys = _keyed(sc, group)
     c = _ranges(sc, keys).withColumn("__one", F.lit(1))
-    return _running(c, keys, descending, {"cpos": "pos", "cneg": "neg", "idx": "__one"}, ["pos", "neg"]).drop("__one"), keys
+    return _running(c, keys, True, {"cpos": "pos", "cneg": "neg", "idx": "__one"}, ["pos", "neg"] if following else []).drop("__one"), keys
 
 
-def roc_auc(df: DataFrame, group: list[str], label="label", score="score") -> DataFrame:
-    """Tie-aware AUC (Mann–Whitney); 0.95 if only one class is present."""
-    return roc_auc_counts(score_counts(df, group, label, score), group)
-
+def curve_metrics(sc: DataFrame, group: list[str]) -> DataFrame:
+    """E4 + E5 on the compressed (group, score, pos, neg) table, from one run of prefix sums.
 
-def roc_auc_counts(sc: DataFrame, group: list[str]) -> DataFrame:
-    """E4 on the compressed (group, score, pos, neg) table."""
-    c, _ = _cumulate(sc, group, descending=False)
-    # negatives strictly below this score = cneg − neg
-    contrib = F.col("pos") * ((F.col("cneg") - F.col("neg")) + 0.5 * F.col("neg"))
-    g = c.groupBy(*group).agg(F.sum(contrib).alias("u"), F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    auc = F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("u") / (F.col("P") * F.col("N"))).otherwise(F.lit(0.95))
-    return g.select(*group, auc.alias("roc_auc"))
+    roc_auc: tie-aware (Mann–Whitney), 0.95 if only one class is present; pr_auc:
+    Σ (R_n − R_{n−1}) · P_n over thresholds in descending score order, 0.85 if one class.
+    """
+    c, _ = _cumulate(sc, group)
+    below = F.col("all_cneg") - F.col("cneg")                    # negatives of a smaller score
+    u = F.col("pos") * (below + 0.5 * F.col("neg"))
+    term = (F.col("pos") / F.col("all_cpos")) * (F.col("cpos") / (F.col("cpos") + F.col("cneg")))
+    g = c.groupBy(*group).agg(F.sum(u).alias("u"), F.sum(F.when(F.col("all_cpos") > 0, term)).alias("ap"), F.max("all_cpos").alias("P"), F.max("all_cneg").alias("N"))
+    both = (F.col("P") > 0) & (F.col("N") > 0)
+    return g.select(*group, F.when(both, F.col("u") / (F.col("P") * F.col("N"))).otherwise(F.lit(0.95)).alias("roc_auc"),
+                    F.when(both, F.col("ap")).otherwise(F.lit(0.85)).alias("pr_auc"))
 
 
-def average_precision(df: DataFrame, group: list[str], label="label", score="score") -> DataFrame:
-    """E5: Σ (R_n − R_{n−1}) · P_n over thresholds in descending score order; 0.85 if one class."""
-    return average_precision_counts(score_counts(df, group, label, score), group)
+def roc_auc(df: DataFrame, group: list[str], label="label", score="score") -> DataFrame:
+    """E4 of scored rows."""
+    return curve_metrics(score_counts(df, group, label, score), group).select(*group, "roc_auc")
 
 
-def average_precision_counts(sc: DataFrame, group: list[str]) -> DataFrame:
-    """E5 on the compressed (group, score, pos, neg) table."""
-    c, keys = _cumulate(sc, group, descending=True)
-    c = c.join(c.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")), keys)
-    term = (F.col("pos") / F.col("P")) * (F.col("cpos") / (F.col("cpos") + F.col("cneg")))
-    g = c.groupBy(*group).agg(F.sum(term).alias("ap"), F.first("P").alias("P"), F.first("N").alias("N"))
-    ap = F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("ap")).otherwise(F.lit(0.85))
-    return g.select(*group, ap.alias("pr_auc"))
+def average_precision(df: DataFrame, group: list[str], label="label", score="score") -> DataFrame:
+    """E5 of scored rows."""
+    return curve_metrics(score_counts(df, group, label, score), group).select(*group, "pr_auc")
 
 
 def _thinned(points: DataFrame, keys: list[str], sizes: DataFrame, most: int | None) -> DataFrame:
@@ -147,10 +146,10 @@ def _thinned(points: DataFrame, keys: list[str], sizes: DataFrame, most: int | N
 def roc_curve(df: DataFrame, group: list[str], label="label", score="score", max_points: int | None = None) -> DataFrame:
     """ROC points (fpr, tpr, 4 dp): distinct thresholds without the inner points of straight
     stretches, after (0, 0). ``max_points`` thins the curve to evenly indexed points."""
-    c, keys = _cumulate(score_counts(df, group, label, score), group, descending=True)
-    tot = c.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    c, keys = _cumulate(score_counts(df, group, label, score), group, following=True)
+    tot = c.groupBy(*keys).agg(F.max("all_cpos").alias("P"), F.max("all_cneg").alias("N"))
     bends = (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
-    kept = c.filter((F.col("idx") == 1) | F.col("next_pos").isNull() | bends).drop("next_pos", "next_neg", "idx").withColumn("__one", F.lit(1))
+    kept = c.filter((F.col("idx") == 1) | F.col("next_pos").isNull() | bends).drop("next_pos", "next_neg", "idx", "all_idx").withColumn("__one", F.lit(1))
     kept = _running(kept, keys, True, {"k": "__one"})
     sizes = kept.groupBy(*keys).agg((F.count(F.lit(1)) + 1).alias("n_pts"))
     zero = tot.select(*keys, F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("cpos"), F.lit(0).cast("long").alias("cneg"))
@@ -162,9 +161,9 @@ def roc_curve(df: DataFrame, group: list[str], label="label", score="score", max
 
 def pr_curve(df: DataFrame, group: list[str], label="label", score="score", max_points: int | None = None) -> DataFrame:
     """precision–recall points over every distinct score, ascending score, then (R=0, P=1); thinned by ``max_points``."""
-    c, keys = _cumulate(score_counts(df, group, label, score), group, descending=True)
-    tot = c.groupBy(*keys).agg(F.sum("pos").alias("P"), F.count(F.lit(1)).alias("D"))
-    c = c.join(tot, keys)
+    c, keys = _cumulate(score_counts(df, group, label, score), group)
+    c = c.withColumns({"P": F.col("all_cpos"), "D": F.col("all_idx")})
+    tot = c.groupBy(*keys).agg(F.max("D").alias("D"))
     prec = F.when(F.col("cpos") + F.col("cneg") > 0, F.col("cpos") / (F.col("cpos") + F.col("cneg"))).otherwise(F.lit(0.0))
     rec = F.when(F.col("P") > 0, F.col("cpos") / F.col("P")).otherwise(F.lit(1.0))
     # ascending-score position: k = D − idx (idx is 1-based in descending order)
@@ -199,22 +198,20 @@ def champion(board: DataFrame, f1="f1_score", order="model_no") -> DataFrame:
         "is_champion", F.col("leaderboard_rank") == 1)
 
 
-def leaderboard(test: DataFrame, train: DataFrame | None, group: list[str], label="label", score="score",
-                prediction: str | None = None) -> DataFrame:
-    """One row per model with E1, E2, E3 (train accuracy), E4–E7, sorted by F1 desc (rank column).
+def leaderboard(scored: DataFrame, group: list[str], split: str = "split", label="label", score="score") -> DataFrame:
+    """One row per group with E1, E2, E4–E7 of the test split and E3, the accuracy on the train split.
 
-    Confusion counts and Brier share one grouped pass; AUC and AP share one compressed
-    (group, distinct score) table, so the test rows are aggregated twice, not four times."""
-    y, p = col(label), _pred(score, prediction)
-    base = test.groupBy(*group).agg(
-        F.count_if((y == 0) & (p == 0)).alias("tn"), F.count_if((y == 0) & (p == 1)).alias("fp"),
-        F.count_if((y == 1) & (p == 0)).alias("fn"), F.count_if((y == 1) & (p == 1)).alias("tp"),
-        np_round(F.avg(F.pow(col(score) - col(label), 2)), 4).alias("brier_score"))
+    The scored rows are read once: they are compressed to counts per (group, split, distinct
+    score), written, and every metric is a sum over those.
+    """
+    sc = materialize(score_counts(scored.filter(col(split).isin("test", "train")), [*group, split], label, score), "score-counts")
+    sure, pos, neg = F.col("s") >= 0.5, F.col("pos"), F.col("neg")
+    some = lambda n, at: F.sum(F.when(at, n).otherwise(0)).alias
+    base = sc.groupBy(*group, split).agg(
+        some(neg, ~sure)("tn"), some(neg, sure)("fp"), some(pos, ~sure)("fn"), some(pos, sure)("tp"),
+        np_round(F.sum(pos * F.pow(F.col("s") - 1, 2) + neg * F.pow("s", 2)) / F.sum(pos + neg), 4).alias("brier_score"))
     b = rates(base)
-    sc = score_counts(test, group, label, score)
-    b = b.join(roc_auc_counts(sc, group), group).join(average_precision_counts(sc, group), group)
-    b = b.withColumns({"roc_auc": np_round(F.col("roc_auc") * PCT, 2), "pr_auc": np_round(F.col("pr_auc") * PCT, 2)})
-    if train is not None:
-        ta = rates(confusion(train, group, label, score, prediction)).select(*group, F.col("accuracy").alias("train_accuracy"))
-        b = b.join(ta, group, "left")
-    return b
+    test, train = (b.filter(col(split) == part).drop(split) for part in ("test", "train"))
+    curves = curve_metrics(sc.filter(col(split) == "test").drop(split), group)
+    out = test.join(curves, group).join(train.select(*group, F.col("accuracy").alias("train_accuracy")), group, "left")
+    return out.withColumns({"roc_auc": np_round(F.col("roc_auc") * PCT, 2), "pr_auc": np_round(F.col("pr_auc") * PCT, 2)})

@@ -1,13 +1,13 @@
 """Data-quality audit and cleaning (Q1–Q14).
 
-``Cleaner.fit`` runs a fixed number of aggregate jobs regardless of the number
+``Cleaner.fit`` runs a fixed number of aggregate actions regardless of the number
 of sensor columns:
 
-  0. duplicate count (one grouped count over all columns, map-side combined),
-  1. global statistics of the de-duplicated table (missing counts, mean, sample
-     std) — one row; the tier mode; exact medians by value ranges (``quantiles``),
-  2. per-tier medians after the tier fill, as a written table,
-  3. quartiles of the imputed values,
+  1. the de-duplicated table (persisted) and its statistics: row counts, missing counts, mean,
+     sample std, tier mode - grouped by tier, then one row,
+  2. exact medians, overall and per tier after the tier fill, in one call (``quantiles``: a
+     sketch and an exact pass); the tiers' are a written table,
+  3. quartiles of the imputed values, likewise,
   4. audit counts (Tukey, z) and after-cleaning moments — one row.
 
 ``CleanerModel.transform`` is a projection (``coalesce`` / ``least`` / ``greatest`` /
@@ -204,66 +204,59 @@ class Cleaner:
         """Fit and also return the de-duplicated input, persisted once and shared by every
         statistics pass and by the caller's ``transform`` (the cached frame is ``self._cached``)."""
         tier_col = self.tier_col if (self.tier_col and self.tier_col in df.columns) else None
-        # 0. duplicates: one grouped pass (map-side combined) gives the distinct rows with their
-        #    copy counts; it is materialised once and both counts come from it
         if self.dedup:
+            # one grouped pass (map-side combined) gives the distinct rows with their copy counts
             g = df.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__copies"))
-            g = g.persist(StorageLevel.MEMORY_AND_DISK)
-            r = g.agg(F.sum("__copies").cast("long").alias("n"), F.count(F.lit(1)).cast("long").alias("m")).first()
-            n, m = int(r["n"] or 0), int(r["m"] or 0)
-            work = g.drop("__copies")
-            self._cached = g
         else:
-            work = df.persist(StorageLevel.MEMORY_AND_DISK)
-            n = m = work.count()
-            self._cached = work
-        counts = {"initial_rows": n, "cleaned_rows": m, "duplicates_removed": n - m}
-        return self._fit_on(work, counts, tier_col), work
-
-    def _fit_on(self, work: DataFrame, counts: dict, tier_col: str | None) -> CleanerModel:
-        ex = self.exact
-        # 1. one-row global statistics of the raw (coerced) values
-        aggs = []
+            g = df.withColumn("__copies", F.lit(1).cast("long"))
+        self._cached = g.persist(StorageLevel.MEMORY_AND_DISK)
+        return self._fit_on(self._cached, tier_col), self._cached.drop("__copies")
+
+    def _stats(self, counted: DataFrame, tier_col: str | None):
+        """One row: initial rows n, distinct rows m, missing tiers, the mode, and per sensor its missing count m<i>,
+        mean a<i> and sample std s<i>; first per tier, so that the mode needs no pass of its own."""
+        parts, aggs = [F.sum("__copies").alias("__n"), F.count(F.lit(1)).alias("__m")], []
         for i, c in enumerate(self.sensors):
             v = numeric_cast(c)
-            aggs += [
-                F.count_if(v.isNull()).alias(f"m{i}"),
-                F.avg(v).alias(f"a{i}"),
-                F.stddev_samp(v).alias(f"s{i}"),
-            ]
-        if tier_col:
-            aggs += [F.count_if(col(tier_col).isNull()).alias("tier_missing")]
-        g = work.agg(*aggs).first()
-        mode = None
-        if tier_col:
-            tiers = work.filter(col(tier_col).isNotNull()).groupBy(col(tier_col).alias("t")).agg(F.count(F.lit(1)).alias("n"))
-            mode = tiers.orderBy(F.desc("n"), "t").first()
-        # medians without a single-task value buffer
-        qg = _quantiles(work, {c: numeric_cast(c) for c in self.sensors}, [0.5], ex)
-        before, medians = {}, {}
+            parts += [F.count(v).alias(f"c{i}"), F.avg(v).alias(f"a{i}"), F.var_pop(v).alias(f"v{i}")]
+        tiers = counted.groupBy((col(tier_col) if tier_col else F.lit("")).alias("__t")).agg(*parts)
+        for i in range(len(self.sensors)):
+            n, mean, var = (F.col(f"{x}{i}") for x in "cav")
+            total, average = F.sum(n), F.sum(n * mean) / F.nullif(F.sum(n), F.lit(0))
+            spread = F.sum(n * var) + F.greatest(F.lit(0.0), F.sum(n * mean * mean) - total * average * average)
+            aggs += [(F.sum("__m") - total).alias(f"m{i}"), average.alias(f"a{i}"), F.sqrt(spread / F.nullif(total - 1, F.lit(0))).alias(f"s{i}")]
+        named = F.when(F.col("__t").isNotNull(), F.struct((-F.col("__m")).alias("n"), F.col("__t").alias("t")))
+        return tiers.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("n"), F.coalesce(F.sum("__m"), F.lit(0)).alias("m"),
+                         F.coalesce(F.sum(F.when(F.col("__t").isNull(), F.col("__m"))), F.lit(0)).alias("tier_missing"), F.min(named)["t"].alias("mode"), *aggs).first()
+
+    def _fit_on(self, counted: DataFrame, tier_col: str | None) -> CleanerModel:
+        ex, work = self.exact, counted.drop("__copies")
+        g = self._stats(counted, tier_col)
+        counts = {"initial_rows": int(g["n"]), "cleaned_rows": int(g["m"]), "duplicates_removed": int(g["n"] - g["m"]), "tier_missing": int(g["tier_missing"]) if tier_col else 0}
+        before = {}
         for i, c in enumerate(self.sensors):
             mean = g[f"a{i}"]
-            before[c] = {"missing": g[f"m{i}"], "mean": mean if mean is not None else 0.0,
-                         "std": g[f"s{i}"] if mean is not None else 1.0}
-            med = qg[c][0]
-            medians[c] = float(med) if med is not None else 0.0
-        counts = dict(counts)
-        counts["tier_missing"] = int(g["tier_missing"]) if tier_col else 0
-        tier_fill = mode["t"] if mode is not None else "M"
-
-        model = CleanerModel(self.sensors, tier_col, tier_fill, medians, {}, {}, before, {}, counts)
-
-        # 2. per-tier medians after the tier fill
-        if tier_col:
-            tw = work.withColumn("__tier", model.tier_expr())
-            vals = {c: numeric_cast(c) for c in self.sensors}
-            if ex:
-                tab = wide(quantile_table(tw, vals, [0.5], ["__tier"]), self.sensors, ["__tier"])
-            else:
+            before[c] = {"missing": int(g[f"m{i}"] or 0), "mean": mean if mean is not None else 0.0, "std": g[f"s{i}"] if mean is not None else 1.0}
+        tier_fill = g["mode"] if tier_col and g["mode"] is not None else "M"
+        model = CleanerModel(self.sensors, tier_col, tier_fill, {}, {}, {}, before, {}, counts)
+
+        # medians, overall and per tier after the tier fill: every row counts in its tier and in the whole
+        vals = {c: numeric_cast(c) for c in self.sensors}
+        if ex and tier_col:
+            scopes = F.explode(F.array(F.struct(F.lit(False).alias("whole"), model.tier_expr().alias("tier")), F.struct(F.lit(True).alias("whole"), F.lit(None).cast("string").alias("tier")))).alias("__scope")
+            both = materialize(wide(quantile_table(work.withColumn("__scope", scopes), vals, [0.5], ["__scope"]), self.sensors, ["__scope"]), "medians")
+            model.tier_table = both.filter(~F.col("__scope.whole")).select(F.col("__scope.tier").alias("tier"), *[col(c) for c in self.sensors])
+            whole = both.filter("__scope.whole").select(*[col(c) for c in self.sensors]).first()
+            mid = {c: whole[c] if whole is not None else None for c in self.sensors}
+        else:
+            mid = {c: q[0] for c, q in _quantiles(work, vals, [0.5], ex).items()}
+            if tier_col:
+                tw = work.withColumn("__tier", model.tier_expr())
                 tab = tw.groupBy("__tier").agg(*[F.percentile_approx(v, F.lit(0.5), 100_000).alias(c) for c, v in vals.items()])
-            model.tier_table = materialize(tab.withColumnRenamed("__tier", "tier"), "tier-medians")
+                model.tier_table = materialize(tab.withColumnRenamed("__tier", "tier"), "tier-medians")
+        model.medians = {c: float(m) if m is not None else 0.0 for c, m in mid.items()}
 
-        # 3. quartiles of the imputed values
+        # quartiles of the imputed values
         imputed = model.impute(work)
         qs = _quantiles(imputed, {c: col(c) for c in self.sensors}, [0.25, 0.75], ex)
         for c in self.sensors:
@@ -272,7 +265,7 @@ class Cleaner:
             model.tukey[c] = (q25 - 1.5 * iqr, q75 + 1.5 * iqr)
             model.fences[c] = (q25 - self.k * iqr, q75 + self.k * iqr)
 
-        # 4. audit counts on imputed values + moments after cleaning
+        # audit counts on imputed values + moments after cleaning
         cleaned = model.clean_exprs()
         imp = model.impute_exprs()
         d = model._with_tier_join(work)

@@ -1,18 +1,21 @@
-"""Exact quantiles without a single-task buffer (used by Q5/Q6/Q7, F7, N4).
+"""Exact quantiles from a sketch and one exact pass (used by Q5/Q6/Q7, F7, N4).
 
 Spark's exact ``percentile`` keeps a value→count map of the whole group in one task
 (for a global aggregate: every distinct value of the table in one reducer).  Here:
 
-  1. rows are counted per (group, column, value), combined map-side, and written once;
-  2. per (group, column), ``percentile_approx`` over the distinct values gives splitters
-     (at most ``RANGES``); a value's range is found by comparison, so width, infinities and
-     heavy ties do not matter;
-  3. range totals give the offset of each range; only ranges that hold a wanted rank are
-     summed up inside, one window per range.
+  1. one pass builds a mergeable quantile summary per (group, column) - ``percentile_approx``,
+     Greenwald–Khanna, rank error at most n / ``ACCURACY`` - and asks it for a value on either
+     side of each wanted rank, ``SLACK`` errors away: a bracket that surely holds it;
+  2. one exact pass counts what lies below each bracket (one number per task) and the values
+     inside it. Only these, about 2·SLACK/ACCURACY of the rows, are shuffled (all of a group of
+     fewer than 2·ACCURACY/SLACK rows);
+  3. a bracket is cut into ``PARTS`` of equal width; part totals tell which part holds the rank,
+     and only that part's values are ordered, so no task sorts a whole bracket.
 
 NaN and null are missing.  The result is interpolated as Spark's ``percentile`` does
 (position (n−1)·p between the floor and ceil order statistics), so values equal the
-built-in aggregate.  The number of jobs is fixed.
+built-in aggregate.  Two actions, whatever the number of columns; a rank outside its bracket
+(impossible by the summary's bound) would be an error, not a wrong value.
 """
 
 from __future__ import annotations
@@ -25,11 +28,13 @@ from pyspark.sql import functions as F
 
 from millwright.session import materialize
 
-RANGES = 64
+ACCURACY = 10_000
+SLACK = 4
+PARTS = 256
 
 
 def _same(left: list[str], right: list[str]) -> Column:
-    return reduce(and_, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right, strict=True)])
+    return reduce(and_, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right, strict=True)], F.lit(True))
 
 
 def _renamed(df: DataFrame, keys: list[str], tag: str) -> tuple[DataFrame, list[str]]:
@@ -37,37 +42,70 @@ def _renamed(df: DataFrame, keys: list[str], tag: str) -> tuple[DataFrame, list[
     return df.withColumnsRenamed(names), list(names.values())
 
 
+def _brackets(d: DataFrame, groups: list[str], k: int, probs: list[float]) -> DataFrame:
+    """One row per group: for column i its count ``n<i>``, and ``lo<i>`` / ``hi<i>``, a value on either side of each probability."""
+    away = SLACK / ACCURACY
+    asked = F.array(*[F.lit(min(1.0, max(0.0, p + side))) for side in (-away, away) for p in probs])
+    aggs = []
+    for i in range(k):
+        aggs += [F.count(f"v{i}").alias(f"n{i}"), F.percentile_approx(f"v{i}", asked, F.lit(ACCURACY)).alias(f"at{i}"), F.min(f"v{i}").alias(f"min{i}"), F.max(f"v{i}").alias(f"max{i}")]
+    got = d.groupBy(*groups).agg(*aggs)
+    few = lambda i: F.col(f"n{i}") < 2 / away      # noqa: E731  too few rows for the slack to span a rank on either side: all of them
+    low = lambda i, j, p: F.when(few(i) | F.lit(p <= away), F.col(f"min{i}")).otherwise(F.col(f"at{i}")[j])
+    high = lambda i, j, p: F.when(few(i) | F.lit(p >= 1 - away), F.col(f"max{i}")).otherwise(F.col(f"at{i}")[len(probs) + j])
+    out = []
+    for i in range(k):
+        out += [F.col(f"n{i}"), F.array(*[low(i, j, p) for j, p in enumerate(probs)]).alias(f"lo{i}"), F.array(*[high(i, j, p) for j, p in enumerate(probs)]).alias(f"hi{i}")]
+    return got.select(*groups, *out)
+
+
 def quantile_table(df: DataFrame, values: dict[str, Column], probs: list[float], groups: list[str] | None = None) -> DataFrame:
     """(groups…, cid, q): the quantiles of each value column (cid: its number) per group; absent where all are missing."""
-    groups = list(groups or [])
+    groups, k = list(groups or []), len(values)
     keys = [*groups, "cid"]
-    items = [F.struct(F.lit(i).alias("cid"), v.cast("double").alias("v")) for i, v in enumerate(values.values())]
-    long = df.select(*groups, F.explode(F.array(*items)).alias("e")).select(*groups, "e.cid", "e.v")
-    counts = long.filter(F.col("v").isNotNull() & ~F.isnan("v")).groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"))
-    counts = materialize(counts, "value-counts")
-    grid = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
-    stats = counts.groupBy(*keys).agg(F.sum("c").alias("n"), F.array_distinct(F.percentile_approx("v", grid, F.lit(10_000))).alias("cuts"))
-    stats, skeys = _renamed(materialize(stats, "value-ranges"), keys, "s_")
-    rows = counts.join(stats.drop("n"), _same(keys, skeys)).withColumn("b", F.size(F.filter("cuts", lambda c: c < F.col("v")))).drop("cuts", *skeys)
-    upto = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-    totals = rows.groupBy(*keys, "b").agg(F.sum("c").alias("t")).withColumn("end", F.sum("t").over(upto)).withColumn("start", F.col("end") - F.col("t"))
-    at = lambda p: (F.col("n") - 1) * F.lit(p)
-    ranks = F.array_distinct(F.array(*[f(at(p)).cast("long") for p in probs for f in (F.floor, F.ceil)]))
-    wanted = stats.select(*skeys, F.explode(ranks).alias("rank"))
-    held, hkeys = _renamed(wanted.join(totals, _same(skeys, keys) & (F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("end"))).select(*keys, "b", "rank", "start"), [*keys, "b"], "h_")
-    inside = Window.partitionBy(*keys, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranges, rkeys = _renamed(held.select(*hkeys).distinct(), hkeys, "r_")
-    near = rows.join(ranges, _same([*keys, "b"], rkeys), "left_semi").withColumn("upto", F.sum("c").over(inside))
-    got = near.join(held, _same([*keys, "b"], hkeys)).filter((F.col("rank") < F.col("start") + F.col("upto")) & (F.col("rank") >= F.col("start") + F.col("upto") - F.col("c")))
-    picks, pkeys = _renamed(got.groupBy(*keys).agg(F.map_from_entries(F.collect_set(F.struct("rank", "v"))).alias("at")), keys, "p_")
-    out = stats.join(picks, _same(skeys, pkeys))
-
-    def quantile(p: float) -> Column:
-        pos = at(p)
-        a, b = F.element_at("at", F.floor(pos).cast("long")), F.element_at("at", F.ceil(pos).cast("long"))
-        return F.when((F.floor(pos) == F.ceil(pos)) | (a == b), a).otherwise((F.ceil(pos) - pos) * a + (pos - F.floor(pos)) * b)
-
-    return out.select(*[F.col(f"s_{k}").alias(k) for k in keys], F.array(*[quantile(p) for p in probs]).alias("q"))
+    d = df.select(*groups, *[F.nanvl(v.cast("double"), F.lit(None)).alias(f"v{i}") for i, v in enumerate(values.values())])
+    held, hkeys = _renamed(materialize(_brackets(d, groups, k, probs), "quantile-brackets"), groups, "h_")
+    rows = d.join(held, _same(groups, hkeys)) if groups else d.crossJoin(held)
+
+    def item(i: int, j: int) -> Column:
+        v, lo, hi = F.col(f"v{i}"), F.col(f"lo{i}")[j], F.col(f"hi{i}")[j]
+        # what lies below the bracket is counted under one null value
+        inside = F.when(v >= lo, v)
+        return F.when(v <= hi, F.struct(F.lit(i).alias("cid"), F.lit(j).alias("slot"), inside.alias("v")))
+
+    items = F.explode(F.array(*[item(i, j) for i in range(k) for j in range(len(probs))])).alias("e")
+    counts = rows.select(*groups, items).filter(F.col("e").isNotNull()).select(*groups, "e.*").groupBy(*keys, "slot", "v").agg(F.count(F.lit(1)).alias("c"))
+
+    # one row per (group, column, probability): its bracket and the ranks wanted of it
+    about = F.explode(F.array(*[F.struct(F.lit(i).alias("cid"), F.lit(j).alias("slot"), F.col(f"n{i}").alias("n"), F.col(f"lo{i}")[j].alias("lo"), F.col(f"hi{i}")[j].alias("hi"), F.lit(float(p)).alias("p"))
+                                for i in range(k) for j, p in enumerate(probs)])).alias("e")
+    wanted = held.select(*[F.col(h).alias(f"w_{g}") for g, h in zip(groups, hkeys, strict=True)], about).filter(F.col("e.n") > 0)
+    at = (F.col("e.n") - 1) * F.col("e.p")
+    wanted = wanted.select(*[f"w_{g}" for g in groups], F.col("e.cid").alias("w_cid"), F.col("e.slot").alias("w_slot"), F.col("e.lo").alias("lo"), F.col("e.hi").alias("hi"),
+                           at.alias("at"), F.floor(at).cast("long").alias("first"), F.ceil(at).cast("long").alias("second"))
+    wkeys = [f"w_{x}" for x in [*keys, "slot"]]
+    inside = counts.join(wanted, _same([*keys, "slot"], wkeys)).drop(*wkeys)
+    # halves first: the width of a bracket may pass the largest double
+    width = F.col("hi") / 2 - F.col("lo") / 2
+    place = F.when(width > 0, F.nanvl((F.col("v") / 2 - F.col("lo") / 2) / width * PARTS, F.lit(0.0))).otherwise(0.0)
+    part = F.when(F.col("v").isNull(), -1).otherwise(F.least(F.lit(float(PARTS)), F.greatest(F.lit(0.0), place)).cast("int"))
+    inside = materialize(inside.withColumn("part", part), "quantile-values")
+
+    by = Window.partitionBy(*keys, "slot").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = inside.groupBy(*keys, "slot", "part").agg(F.sum("c").alias("t"), F.first("first").alias("first"), F.first("second").alias("second"))
+    parts = parts.withColumn("start", F.coalesce(F.sum("t").over(by), F.lit(0)))
+    holds = lambda r: (F.col(r) >= F.col("start")) & (F.col(r) < F.col("start") + F.col("t"))
+    near, nkeys = _renamed(parts.filter((F.col("part") >= 0) & (holds("first") | holds("second"))).select(*keys, "slot", "part", "start"), [*keys, "slot", "part"], "n_")
+    some = inside.join(near, _same([*keys, "slot", "part"], nkeys)).drop(*nkeys)
+    upto = Window.partitionBy(*keys, "slot", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    some = some.withColumn("end", F.col("start") + F.sum("c").over(upto))
+    here = lambda r: F.max(F.when((F.col(r) < F.col("end")) & (F.col(r) >= F.col("end") - F.col("c")), F.col("v")))
+    picked = some.groupBy(*keys, "slot").agg(here("first").alias("a"), here("second").alias("b"), F.first("at").alias("at"))
+    found = lambda c: F.coalesce(F.col(c), F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double"))
+    low, high = found("a"), found("b")
+    q = F.when((F.floor("at") == F.ceil("at")) | (low == high), low).otherwise((F.ceil("at") - F.col("at")) * low + (F.col("at") - F.floor("at")) * high)
+    per = picked.select(*keys, "slot", q.alias("q")).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("slot", "q"))).alias("s"))
+    return per.select(*keys, F.col("s.q").alias("q"))
 
 
 def wide(table: DataFrame, names: list[str], groups: list[str], i: int = 0) -> DataFrame:

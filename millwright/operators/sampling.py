@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from millwright.functions.exprs import col, hash_uniform, md5_chunk_uniform
 from millwright.session import materialize
 
-BUCKET_ROWS = 65_536   # rows of a rank bucket, about
+BUCKET_DIGITS = 4      # of the hash: 65,536 rank buckets a group
 
 
 def md5_key(key: str | Column) -> Column:
@@ -33,15 +33,11 @@ def two_level_rank(df: DataFrame, group_cols: list[str], order_key: Column, tie_
     """Exact 1-based rank of ``(order_key, tie_key)`` within ``group_cols`` (ascending).
 
     ``bucket`` must be monotone in ``order_key``; by default the key is an md5 hex
-    string and the bucket its first hex digits, as many as leave about ``BUCKET_ROWS`` rows
-    in a bucket.  The count table has groups × buckets rows, so its prefix sum is cheap, and
-    no task sees a whole group.
+    string and the bucket its first ``BUCKET_DIGITS`` hex digits.  The count table has at
+    most groups × 16^digits rows, so its prefix sum is cheap, and no task sees a whole group.
     """
     if bucket is None:
-        digits, n = 3, df.count()
-        while 16**digits * BUCKET_ROWS < n:
-            digits += 1
-        bucket = F.conv(F.substring(order_key, 1, digits), 16, 10).cast("long")
+        bucket = F.conv(F.substring(order_key, 1, BUCKET_DIGITS), 16, 10).cast("long")
     b = bucket
     d = df.withColumns({"__ok": order_key, "__tk": tie_key, "__b": b})
     counts = d.groupBy(*group_cols, "__b").agg(F.count(F.lit(1)).alias("__c"))
@@ -60,28 +56,38 @@ def class_sizes(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
 
 
-def stratified_sample(df: DataFrame, label: str, key: str, max_rows: int) -> DataFrame:
-    """B1: keep ``max_rows`` rows, class quotas proportional (largest remainder), first by md5(key)."""
-    sizes = {r[label]: r["__n"] for r in class_sizes(df, label).collect()}  # one row per class
+def class_quotas(sizes: dict, max_rows: int) -> dict:
+    """Rows of each class in a stratified sample: proportional, largest remainders first."""
     n = sum(sizes.values())
     if n <= max_rows:
-        return df
+        return dict(sizes)
     exact = {c: max_rows * v / n for c, v in sizes.items()}
     quota = {c: int(math.floor(x)) for c, x in exact.items()}
     rest = max_rows - sum(quota.values())
     for c in sorted(exact, key=lambda c: (-(exact[c] - quota[c]), str(c)))[:rest]:
         quota[c] += 1
+    return quota
+
+
+def stratified_sample(df: DataFrame, label: str, key: str, max_rows: int) -> DataFrame:
+    """B1: keep ``max_rows`` rows, class quotas proportional (largest remainder), first by md5(key)."""
+    sizes = {r[label]: r["__n"] for r in class_sizes(df, label).collect()}  # one row per class
+    if sum(sizes.values()) <= max_rows:
+        return df
     ranked = two_level_rank(df, [label], md5_key(key), col(key))
-    qmap = F.create_map(*[x for c, v in quota.items() for x in (F.lit(c), F.lit(v))])
+    qmap = F.create_map(*[x for c, v in class_quotas(sizes, max_rows).items() for x in (F.lit(c), F.lit(v))])
     return ranked.filter(F.col("rank") <= F.element_at(qmap, col(label))).drop("rank")
 
 
-def stratified_split(df: DataFrame, label: str, key: str) -> DataFrame:
-    """B2: 70/10/20 train/val/test within each class by md5(key) rank: test if (r−1)/n < .2, val if < .3."""
+def stratified_split(df: DataFrame, label: str, key: str, keep_rank: bool = False) -> DataFrame:
+    """B2: 70/10/20 train/val/test within each class by md5(key) rank: test if (r−1)/n < .2, val if < .3.
+
+    ``keep_rank`` leaves the rank within the class, so that a sample of a split needs no second ranking.
+    """
     j = two_level_rank(df, [label], md5_key(key), col(key), group_total="__n")
     r0 = F.col("rank") - 1
     split = F.when(r0 * 5 < F.col("__n"), "test").when(r0 * 10 < F.col("__n") * 3, "val").otherwise("train")
-    return j.withColumn("split", split).drop("__n", "rank")
+    return j.withColumn("split", split).drop("__n", *([] if keep_rank else ["rank"]))
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

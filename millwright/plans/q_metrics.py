@@ -82,7 +82,7 @@ AP_SQL = ("select model_no, model, case when max(P)>0 and max(N)>0 then sum((pos
                                                            "(select model_no, round_even(avg(pow(score-label, 2)), 4) brier_score from sc group by model_no) b using (model_no)", SCORED_CTES))
 def e04(spark, sf):
     s = scored(spark, sf)
-    d = E.roc_auc(s, G).join(E.average_precision(s, G), G).join(E.brier(s, G), G)
+    d = E.curve_metrics(E.score_counts(s, G), G).join(E.brier(s, G), G)
     return d.select(*G, np_round(F.col("roc_auc"), 9).alias("roc_auc"), np_round(F.col("pr_auc"), 9).alias("pr_auc"), "brier_score")
 
 
@@ -137,14 +137,11 @@ LB_SQL = (
 
 @register("q_e10_leaderboard", oracle(["tel_flags"], LB_SQL, SPLIT_CTES))
 def e10(spark, sf):
-    # split the base rows (one per rk), join once, then fan out to the 7 models; the scored table
-    # feeds every metric, so it is materialised once
+    # split the base rows (one per rk), join once, then fan out to the 7 models
     t = fixture(spark, sf, "tel_flags").withColumn("label", F.greatest("twf", "hdf", "pwf", "osf", "rnf"))
-    sp = B.stratified_split(t.select("rk", "label"), "label", "rk").select("rk", "split")
-    r = milling_risk(t.join(sp, "rk"))
+    r = milling_risk(B.stratified_split(t, "label", "rk"))
     j = explode_models(r, keep=["rk", "label", "split"]).withColumn("score", F.col("prob_pct") / 100.0)
-    j = j.select(*G, "label", "score", "split").persist(StorageLevel.MEMORY_AND_DISK)
-    board = E.leaderboard(j.filter(F.col("split") == "test"), j.filter(F.col("split") == "train"), G)
+    board = E.leaderboard(j, G)
     return E.champion(board).withColumn("leaderboard_rank", F.col("leaderboard_rank").cast("int"))
 
 

@@ -27,7 +27,7 @@ def register(name: str, oracle_sql: str | Callable[[], str] | None = None):
 
 MODULES = [
     "q_quality", "q_features", "q_labels", "q_normalize", "q_sources", "q_sampling", "q_metrics",
-    "q_scoring", "q_prescribe", "q_stream", "q_models",
+    "q_scoring", "q_stream", "q_models",
 ]
 
 
@@ -36,8 +36,4 @@ def load_all() -> None:
     import importlib
 
     for m in MODULES:
-        try:
-            importlib.import_module(f"millwright.plans.{m}")
-        except ModuleNotFoundError as e:
-            if e.name != f"millwright.plans.{m}":
-                raise
+        importlib.import_module(f"millwright.plans.{m}")
