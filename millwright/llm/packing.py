@@ -37,7 +37,7 @@ TOKENIZER = "word_bpe_49k.json"     # a path, or the name of a public tokenizer
 END_ID = 1
 CAPACITY = 4096
 GROUP = 16_384                      # pieces of a partition, about
-REMEMBERED = 600_000                # parts of texts whose ids a worker remembers
+REMEMBERED = 1_500_000              # parts of texts whose ids a worker remembers (some 160 bytes each)
 ROUNDING = range(1, 21)             # parameters of the rounding functions
 _SIGNS = ".,!?;:*&%$#@+-=/()[]{}|~^_"        # no letter, digit or space to the tokenizer's pattern, nor the apostrophe it treats apart
 _PIECES = "doc_id long, has_id boolean, piece int, start long, length long, ids_crc32 long"     # a null id would make pandas' longs floats
@@ -48,7 +48,7 @@ _PACKED = "uid long, " + _PIECES + ", sequence_id long, offset long, certified b
 
 @cache
 def _encoder(path: str):
-    """The tokenizer of a file (or public name) and this worker's memory of encoded parts."""
+    """The tokenizer of a file (or public name), which of its ids end a word, and this worker's memory of encoded parts."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"       # Spark's tasks share out the cores
     from tokenizers import Tokenizer
 
@@ -56,38 +56,47 @@ def _encoder(path: str):
         import public_tokenizers
 
         path = public_tokenizers.path(path)
-    return Tokenizer.from_file(path), {}
+    model = Tokenizer.from_file(path)
+    vocabulary, suffix = model.get_vocab(), getattr(model.model, "end_of_word_suffix", None)
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    if suffix:
+        ends[[k for token, k in vocabulary.items() if token.endswith(suffix)]] = True
+    return model, ends, {b"": b""}
 
 
-def _stem(part: bytes) -> tuple[str, str]:
+def _stem(part: bytes) -> tuple[bytes, bytes]:
     """A part as what the tokenizer sees of it: a stem, and the run of signs behind a last letter, which is a word of its own.
 
     Only for parts of Latin letters without the bracket of special tokens; others stay whole.
     """
+    if part.isalpha():
+        return part.lower(), b""
     text = part.decode()
     if "<" in text or not (text.isascii() or max(text) < "\u0100"):
-        return text, ""
+        return part, b""
     text = text.lower()
     stem = text.rstrip(_SIGNS)
-    return (stem, text[len(stem):]) if stem and stem[-1].isalpha() else (text, "")
+    if stem and stem[-1].isalpha():
+        return stem.encode(), text[len(stem):].encode()
+    return text.encode(), b""
 
 
-def _learn(model, known: dict[bytes, bytes], new: list[bytes]) -> None:
+def _learn(model, ends: np.ndarray, known: dict[bytes, bytes], new: list[bytes]) -> None:
     """Adds the ids of ``new`` parts: a plain word is encoded once, whatever its case and the signs behind it."""
     cut = [_stem(part) for part in new]
-    wanted = [w for w in {w for pair in cut for w in pair} if w.encode() not in known]
-    plain = [w for w in wanted if w.isalpha()]
+    wanted = [w.decode() for w in {w for pair in cut for w in pair} if w not in known]
+    plain = [w for w in wanted if w.isalpha() and max(w) < "\u0100"] if ends.any() else []
     for k in range(0, len(plain), 8192):
         some = plain[k:k + 8192]
-        got = model.encode(" ".join(some), add_special_tokens=False)      # letters only: a word each
-        sizes = np.bincount(np.array(got.word_ids, np.int64), minlength=len(some)).tolist()
-        _keep(known, some, np.array(got.ids, "<u4"), sizes)
-    other = [w for w in wanted if not w.isalpha()]
+        ids = np.array(model.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+        last = np.flatnonzero(ends[ids])                    # letters only: a word each, and only its last id ends a word
+        _keep(known, some, ids, np.diff(last, prepend=-1).tolist())
+    other = list(set(wanted).difference(plain))
     for k in range(0, len(other), 8192):
-        found = [e.ids for e in model.encode_batch(other[k:k + 8192], add_special_tokens=False)]
+        found = [e.ids for e in model.encode_batch_fast(other[k:k + 8192], add_special_tokens=False)]
         _keep(known, other[k:k + 8192], np.fromiter(chain.from_iterable(found), "<u4"), [len(f) for f in found])
     for part, (stem, run) in zip(new, cut, strict=True):
-        known[part] = known[stem.encode()] + known[run.encode()]
+        known[part] = known[stem] + known[run]
 
 
 def _keep(known: dict[bytes, bytes], words: list[str], ids: np.ndarray, sizes: list[int]) -> None:
@@ -99,14 +108,15 @@ def _keep(known: dict[bytes, bytes], words: list[str], ids: np.ndarray, sizes: l
 
 def token_bytes(texts: list[str], tokenizer: str = TOKENIZER) -> Iterator[bytes]:
     """Each text's ids as little-endian unsigned 32-bit numbers, without the end id."""
-    model, known = _encoder(tokenizer)
+    model, ends, known = _encoder(tokenizer)
     for at in range(0, len(texts), 256):
         split = [t.encode().split() for t in texts[at:at + 256]]
         if len(known) > REMEMBERED:
             known.clear()
+            known[b""] = b""
         new = [part for part in set().union(*split) if part not in known]
         if new:
-            _learn(model, known, new)
+            _learn(model, ends, known, new)
         for parts in split:
             yield b"".join(map(known.__getitem__, parts))
 
