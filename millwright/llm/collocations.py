@@ -103,46 +103,46 @@ def _rolled(hashes: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def _count(lang: str, chunk: list[str], n: list[int], size: int = 1, may: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
-    """Weighted n-grams of ``size`` words in chunks whose two shorter parts ``may`` be frequent; '' counts the words."""
+def _count(lang: str, chunk: list[str], n: list[int], lengths: tuple[int, ...], may: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
+    """Weighted n-grams of the given ``lengths`` in chunks, '' counting the words; with ``may`` (a table of
+    frequent phrases one word shorter) only where both shorter parts may be frequent."""
     import xxhash
 
-    goes_on = np.array([c.endswith(_GOES_ON) for c in chunk])
-    split = [c.rstrip(_GOES_ON).split(" ") for c in chunk]
-    words = [w for s in split for w in s]
-    names = sorted(set(words))
-    number = dict(zip(names, range(len(names)), strict=True))
-    ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-    sizes = np.fromiter(map(len, split), np.int64, len(split))
+    goes_on = np.fromiter((c.endswith(_GOES_ON) for c in chunk), bool, len(chunk))
+    sizes = np.fromiter((c.count(" ") + 1 for c in chunk), np.int64, len(chunk))
+    ids, names = pd.factorize(np.array(" ".join(chunk).replace(_GOES_ON, "").split(" "), object), sort=True)
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(ids))       # words from here to the chunk's end
     weight = np.repeat(np.array(n, np.int64), sizes)
     starts = (left > 2) | ~np.repeat(goes_on, sizes)                      # the overlap belongs to the next chunk
-    if size == 1:
+    names = names.tolist()
+    if 1 in lengths:
         yield pd.DataFrame({"lang": lang, "phrase": [""], "n": [int(weight[starts].sum())]})
-    at = np.flatnonzero(starts & (left >= size))
-    if size > 1:
-        salt = lang + " "
-        hashes = np.fromiter((xxhash.xxh64_intdigest((salt + w).encode("utf-8", "surrogatepass"), 42) for w in names), np.uint64, len(names))[ids]
-        bit = _rolled(hashes, size - 1) >> np.uint64(64 - BITS)
-        ok = (may[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-        at = at[ok[at] & ok[at + 1]]
-    if not len(at):
-        return
-    code, bits = ids[at], max(1, len(names).bit_length())
-    for k in range(1, size):
-        if bits * (k + 1) > 62:
-            code = np.unique(code, return_inverse=True)[1]
-        code = code << bits | ids[at + k]
-    order = np.argsort(code, kind="stable")
-    heads = np.flatnonzero(np.concatenate(([True], code[order][1:] != code[order][:-1])))
-    first = at[order[heads]]
-    texts = [names[i] for i in ids[first].tolist()]
-    for k in range(1, size):
-        texts = [t + " " + names[i] for t, i in zip(texts, ids[first + k].tolist(), strict=True)]
-    yield pd.DataFrame({"lang": lang, "phrase": texts, "n": np.add.reduceat(weight[at][order], heads)})
-
-
-def _grams(size: int, may: np.ndarray | None):
+    bits = max(1, len(names).bit_length())
+    for size in lengths:
+        at = np.flatnonzero(starts & (left >= size))
+        if may is not None:
+            salt = lang + " "
+            hashes = np.fromiter((xxhash.xxh64_intdigest((salt + w).encode("utf-8", "surrogatepass"), 42) for w in names), np.uint64, len(names))[ids]
+            bit = _rolled(hashes, size - 1) >> np.uint64(64 - BITS)
+            ok = (may[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            at = at[ok[at] & ok[at + 1]]
+        if not len(at):
+            continue
+        code = ids[at]
+        for k in range(1, size):
+            if bits * (k + 1) > 62:
+                code = np.unique(code, return_inverse=True)[1]
+            code = code << bits | ids[at + k]
+        order = np.argsort(code)
+        heads = np.flatnonzero(np.concatenate(([True], code[order][1:] != code[order][:-1])))
+        first = at[order[heads]]
+        texts = [names[i] for i in ids[first].tolist()]
+        for k in range(1, size):
+            texts = [t + " " + names[i] for t, i in zip(texts, ids[first + k].tolist(), strict=True)]
+        yield pd.DataFrame({"lang": lang, "phrase": texts, "n": np.add.reduceat(weight[at][order], heads)})
+
+
+def _grams(lengths: tuple[int, ...], may: np.ndarray | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, tuple[list[str], list[int]]] = {}
         rows = 0
@@ -152,12 +152,12 @@ def _grams(size: int, may: np.ndarray | None):
                 c += some["chunk"].tolist()
                 n += some["n"].tolist()
             rows += len(pdf)
-            if rows >= 40_000:
+            if rows >= 120_000:
                 for lang, (c, n) in held.items():
-                    yield from _count(lang, c, n, size, may)
+                    yield from _count(lang, c, n, lengths, may)
                 held, rows = {}, 0
         for lang, (c, n) in held.items():
-            yield from _count(lang, c, n, size, may)
+            yield from _count(lang, c, n, lengths, may)
 
     return run
 
@@ -177,16 +177,15 @@ def counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(lang, phrase, n): occurrences of the phrases of 1 to ``LONGEST`` words that occur at least ``least``
     times; the phrase '' counts all words of a language.
 
-    Length by length: a phrase is counted only where both phrases one word shorter may be frequent,
-    as the bit table of the former length says. It never misses one, so nothing frequent is lost.
+    One and two words are counted in one pass. Longer phrases follow length by length, counted only
+    where both phrases one word shorter may be frequent, as a bit table of those says. It never
+    misses one, so nothing frequent is lost.
     """
     parsed = written(dictionary(docs), "chunks")
     found: list[DataFrame] = []
-    may = None
-    for size in range(1, LONGEST + 1):
-        if found:
-            may = _marked(found[-1])
-        grams = parsed.mapInPandas(_grams(size, may), "lang string, phrase string, n long")
+    for lengths in ((1, 2), *((size,) for size in range(3, LONGEST + 1))):
+        may = _marked(found[-1].filter(F.size(F.split("phrase", " ")) == lengths[0] - 1)) if found else None
+        grams = parsed.mapInPandas(_grams(lengths, may), "lang string, phrase string, n long")
         found.append(written(grams.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "phrases"))
     return reduce(DataFrame.unionByName, found)
 
