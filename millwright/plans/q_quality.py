@@ -24,10 +24,11 @@ def _raw(spark, sf):
 
 
 # ---------------------------------------------------------------- flagship
-def _flagship_sql() -> str:
-    ctes = clean_ctes("tel_raw", S, KEYS)
+def report_sql(ctes: list[tuple[str, str]], src: str) -> tuple[list[tuple[str, str]], str]:
+    """(CTEs, body) of the milling report on the clean readings of ``src``, before it is completed."""
+    ctes = list(ctes)
     ctes.append(("ft", f"select *, case upper(coalesce(tier,'M')) when 'L' then 11000.0 when 'H' then 13000.0 else 12000.0 end lim2, "
-                       f"round_even(proc-air, 2) f_td, round_even(torque*(rpm*{TWO_PI_OVER_60}), 1) f_pw, round_even(wear*torque, 1) f_ov from cl"))
+                       f"round_even(proc-air, 2) f_td, round_even(torque*(rpm*{TWO_PI_OVER_60}), 1) f_pw, round_even(wear*torque, 1) f_ov from {src}"))
     ctes += risk_ctes("ft", "r1")
     ctes.append(("s1", f"select *, {prob_expr('base_risk', 0.0)} failure_prob_pct, "
                        f"round_even(greatest(2.0, (1.0 - base_risk*0.92)*220.0), 1) pred_rul, "
@@ -73,6 +74,11 @@ def _flagship_sql() -> str:
             f"array_to_string({tuning}, ' | ') tuning, "
             f"{prob_expr('cf_base_risk', 0.0)} projected_risk_pct, "
             f"round_even({prob_expr('cf_base_risk', 0.0)} - failure_prob_pct, 2) risk_delta from c3")
+    return ctes, body
+
+
+def _flagship_sql() -> str:
+    ctes, body = report_sql(clean_ctes("tel_raw", S, KEYS), "cl")
     text = lambda *cols: ", ".join(f"cast({c} as varchar)" for c in cols)
     avgs = text("classical_avg_pct", "deep_avg_pct")
     cons = "printf('" + R.DIAG_CONSENSUS + f"', {avgs})"

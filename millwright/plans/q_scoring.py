@@ -19,7 +19,7 @@ from millwright.operators.scoring import (
 from millwright.plans import generic_report as GR
 from millwright.plans.oracles import clean_ctes, oracle, prob_expr, q, risk_ctes
 from millwright.plans.q_labels import _rules_sql
-from millwright.plans.q_quality import _flagship_sql
+from millwright.plans.q_quality import report_sql
 from millwright.plans.registry import register
 from millwright.plans.risk_report import report_from_clean
 from millwright.sources.catalog import DOMAIN_SPECS
@@ -150,15 +150,12 @@ def r01(spark, sf):
     return r.select("rk", s["severity"].alias("severity"), s["badge_color"].alias("badge_color"), s["urgency_window"].alias("urgency_window"))
 
 
-def _r02_body():
-    full = _flagship_sql()
-    # keep the CTEs from 'ft' on; swap the clean source for tel_clean
-    start = full.index("ft as (")
-    tail = full[start:].replace(" from cl)", " from tel_clean)", 1)
-    return "with " + tail
+def _r02_sql():
+    ctes, body = report_sql([], "tel_clean")
+    return oracle(["tel_clean"], body, ctes)
 
 
-@register("q_r02_milling_prescription", lambda: oracle(["tel_clean"], _r02_body()))
+@register("q_r02_milling_prescription", _r02_sql)
 def r02(spark, sf):
     return report_from_clean(fixture(spark, sf, "tel_clean"))
 
