@@ -83,16 +83,33 @@ def milling_features(df: DataFrame, m: Milling = Milling()) -> DataFrame:
     return df.withColumns(milling_feature_exprs(m))
 
 
-def turbofan_features(df: DataFrame, s2="s2", s3="s3", s4="s4", s7="s7", s8="s8", s9="s9",
-                      s12="s12", s20="s20", s21="s21") -> DataFrame:
+@dataclass(frozen=True)
+class Turbofan:
+    # --- fixed values: the turbofan set's column names ---
+    s2: str = "s2_LPC_temp [R]"
+    s3: str = "s3_HPC_temp [R]"
+    s4: str = "s4_LPT_temp [R]"
+    s7: str = "s7_HPC_pressure [psia]"
+    s8: str = "s8_fan_speed [rpm]"
+    s9: str = "s9_core_speed [rpm]"
+    s12: str = "s12_fuel_flow_ratio"
+    s20: str = "s20_HPT_coolant_bleed"
+    s21: str = "s21_LPT_coolant_bleed"
+
+
+SHORT_TURBOFAN = Turbofan("s2", "s3", "s4", "s7", "s8", "s9", "s12", "s20", "s21")
+TURBOFAN_FEATURES = ("thermal_margin", "core_fan_ratio", "pressure_fuel_eff", "total_coolant_bleed")
+
+
+def turbofan_features(df: DataFrame, t: Turbofan = SHORT_TURBOFAN) -> DataFrame:
     """turbofan ratios."""
     one = F.lit(1.0)
-    return df.withColumns({
-        "thermal_margin": np_round((col(s3) + col(s4)) / F.greatest(col(s2), one), 4),
-        "core_fan_ratio": np_round(col(s9) / F.greatest(col(s8), one), 4),
-        "pressure_fuel_eff": np_round(col(s7) / F.greatest(col(s12), one), 4),
-        "total_coolant_bleed": np_round(col(s20) + col(s21), 3),
-    })
+    return df.withColumns(dict(zip(TURBOFAN_FEATURES, (
+        np_round((col(t.s3) + col(t.s4)) / F.greatest(col(t.s2), one), 4),
+        np_round(col(t.s9) / F.greatest(col(t.s8), one), 4),
+        np_round(col(t.s7) / F.greatest(col(t.s12), one), 4),
+        np_round(col(t.s20) + col(t.s21), 3),
+    ), strict=True)))
 
 
 def sensor_columns(df: DataFrame, extra_exclude: set[str] | None = None) -> list[str]:
@@ -124,9 +141,9 @@ def engineer(df: DataFrame, dataset_key: str, raw_cols: list[str], m: Milling =
     names = set(df.columns)
     if dataset_key == "ai4i2020" or {m.air, m.proc, m.rpm, m.torque, m.wear} <= names:
         return milling_features(df, m), list(milling_feature_exprs(m))
-    if dataset_key == "cmapss" or "s3" in names:
-        out = turbofan_features(df)
-        return out, ["thermal_margin", "core_fan_ratio", "pressure_fuel_eff", "total_coolant_bleed"]
+    for t in (Turbofan(), SHORT_TURBOFAN):
+        if t.s3 in names:
+            return turbofan_features(df, t), list(TURBOFAN_FEATURES)
     return generic_features(df, raw_cols)
 
 

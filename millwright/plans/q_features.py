@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from millwright.functions.exprs import col, np_round
@@ -40,6 +41,21 @@ def f03(spark, sf):
     return d.select("unit_id", "cycle", "thermal_margin", "core_fan_ratio", "pressure_fuel_eff", "total_coolant_bleed")
 
 
+_TURBOFAN_VECTOR = ["s2", "s3", "s4", "s7", "s8", "s9", "s12", "s20", "s21"]
+
+
+@register("q_f09_assembled", oracle(["unit_cycles"], "select unit_id, cycle, cast(i - 1 as integer) position, coalesce(v[i], 0.0) value from (select unit_id, cycle, [" + ", ".join(f"cast({c} as double)" for c in _TURBOFAN_VECTOR)
+                                    + ", round_even((s3+s4)/greatest(s2, 1.0), 4), round_even(s9/greatest(s8, 1.0), 4), round_even(s7/greatest(s12, 1.0), 4), round_even(s20+s21, 3)] v from unit_cycles) a, "
+                                    "generate_series(1, 13) t(i)"))
+def f09(spark, sf):
+    """F3 + F9: engineer() on the turbofan set under its own column names, then the feature vector in a fixed order, by position."""
+    named = FE.Turbofan()
+    d = fixture(spark, sf, "unit_cycles").withColumnsRenamed({c: getattr(named, c) for c in _TURBOFAN_VECTOR})
+    out, eng = FE.engineer(d, "cmapss", [])
+    vec = FE.assemble(out, [*(getattr(named, c) for c in _TURBOFAN_VECTOR), *eng])
+    return vec.select("unit_id", "cycle", F.posexplode(vector_to_array("features")).alias("position", "value"))
+
+
 @register("q_f04_plant_features", oracle(["plant"], f"select rk, round_even({q('Vibration RMS [mm/s]')}*{q('Bearing Temp [C]')}/100.0, 2) vibro_thermal_stress, "
                                                     f"round_even({q('Spindle Current [A]')}*{q('Acoustic Emission [dB]')}/100.0, 2) electro_acoustic_index from plant"))
 def f04(spark, sf):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from millwright.functions.exprs import col, np_round
 from millwright.operators import explain as X
@@ -16,7 +17,7 @@ from millwright.plans.registry import register
 from millwright.plans.risk_report import MILLING_SHORT
 from millwright.session import scratch_path
 from millwright.sources import io as IO
-from millwright.sources.catalog import CATALOG, DOMAIN_SPECS, PLANT_SENSORS
+from millwright.sources.catalog import CATALOG, DOMAIN_SPECS, PLANT_SENSORS, catalog_df
 from millwright.sources.fixtures import fixture
 from millwright.sources.tables import table
 
@@ -43,6 +44,38 @@ def s03(spark, sf):
     return d.select(F.col("p_partkey").cast("bigint").alias("p_partkey"), col(N.TARGET), col(N.RUL), col(N.HEALTH))
 
 
+@register("q_s03_malformed_csv", "select count_if(not short and not long) n_good, count_if(short or long) n_rejected, cast(sum(case when short or long then 0 else p_size end) as bigint) sum_size, "
+          "round_even(cast(sum(case when short or long then 0 else p_retailprice end) as double), 2) sum_price, count_if(not short and not long and p_partkey % 13 = 0) n_empty, "
+          "'p_partkey bigint, p_size bigint, p_retailprice double, note string' types "
+          "from (select *, p_partkey % 97 = 0 short, p_partkey % 97 = 5 long from part) p")
+def s03_malformed(spark, sf):
+    """S3: a drop-in file with ragged lines: its good rows typed by whole columns, its other lines counted as rejects."""
+    p = table(spark, sf, "part")
+    note = F.when(F.col("p_partkey") % 13 == 0, "").otherwise(F.concat(F.lit("part "), F.col("p_partkey").cast("string")))
+    fields = [F.col("p_partkey").cast("string"), F.col("p_size").cast("string"), F.col("p_retailprice").cast("string"), note]
+    full = F.concat_ws(",", *fields)
+    line = F.when(F.col("p_partkey") % 97 == 0, F.concat_ws(",", *fields[:2])).when(F.col("p_partkey") % 97 == 5, F.concat(full, F.lit(",left over"))).otherwise(full)
+    folder = scratch_path(spark, "s03-ragged")
+    # every part file starts with the header: a first line of two
+    header = F.lit("p_partkey,p_size,p_retailprice,note")
+    first = F.row_number().over(Window.partitionBy("_file").orderBy("p_partkey")) == 1
+    rows = p.withColumn("_file", F.pmod(F.xxhash64("p_partkey"), F.lit(8))).repartition(8, "_file")
+    rows.select(F.when(first, F.concat(header, F.lit("\n"), line)).otherwise(line).alias("value"), "_file").write.partitionBy("_file").text(f"{folder}/ragged.csv")
+    good, rejects = IO.load_custom_checked(spark, "ragged", folder)
+    good = good.drop("_file")
+    types = ", ".join(f"{n} {t}" for n, t in good.dtypes)
+    sums = good.agg(F.count(F.lit(1)).alias("n_good"), F.sum("p_size").alias("sum_size"), np_round(F.sum("p_retailprice"), 2).alias("sum_price"), F.count_if(F.col("note").isNull()).alias("n_empty"))
+    return sums.crossJoin(rejects.agg(F.count(F.lit(1)).alias("n_rejected"))).withColumn("types", F.lit(types))
+
+
+@register("q_s02_catalog", "select * from (values " + ", ".join(
+    f"({i + 1}, '{k}', '{t.replace(chr(39), chr(39) * 2)}', '{f}', '{d.replace(chr(39), chr(39) * 2)}', {len(DOMAIN_SPECS.get(k, {}).get('modes', []))}, "
+    f"{len(DOMAIN_SPECS[k]['sensors']) if k in DOMAIN_SPECS else {'ai4i2020': 5, 'cmapss': 16, 'custom_plant': 6}[k]})" for i, (k, t, f, d) in enumerate(CATALOG)) + ") t(position, key, title, filename, domain, n_rules, n_sensors)")
+def s02(spark, sf):
+    """The catalogue as a table."""
+    return catalog_df(spark)
+
+
 GATE_TABLES = ["region", "nation", "supplier", "benchmark", "labels", "orders"]
 
 
