@@ -43,3 +43,17 @@ def test_unknown_key_raises(spark, tmp_path):
         resolve("no_such_dataset")
     (tmp_path / "mine.csv").write_text("a,b\n1,2\n")
     assert resolve("mine", str(tmp_path), spark)["custom"]
+
+
+def test_malformed_lines_are_set_aside(spark):
+    from millwright.session import scratch_path
+    from millwright.sources import io as IO
+
+    folder = scratch_path(spark, "t-drop-in")
+    lines = ["id,load,name", "1,2.5,a", "2", "3,4,b,extra", "4,,\"c, d\"", "5, 7 ,", "", "6,1e3,f"]
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(f"{folder}/plant.csv")
+    good, rejects = IO.load_custom_checked(spark, "plant", folder)
+    assert good.dtypes == [("id", "bigint"), ("load", "double"), ("name", "string")]
+    assert [tuple(r) for r in good.orderBy("id").collect()] == [(1, 2.5, "a"), (4, None, "c, d"), (5, 7.0, None), (6, 1000.0, "f")]
+    assert sorted(r["line"] for r in rejects.collect()) == ["2", "3,4,b,extra"]
+    assert IO.load_custom(spark, "plant", folder).count() == 4

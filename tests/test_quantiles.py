@@ -50,3 +50,19 @@ def test_nan_infinity_and_width(spark):
     for c in "abc":
         clean = d.filter(~F.isnan(c))
         assert got[c] == list(clean.agg(F.percentile(c, F.array(F.lit(0.0), F.lit(0.5), F.lit(1.0)))).first()[0]), c
+
+
+def test_only_rows_inside_brackets_are_exchanged(spark, monkeypatch):
+    from millwright.operators import quantiles
+
+    kept = {}
+    write = quantiles.materialize
+    monkeypatch.setattr(quantiles, "materialize", lambda df, name: kept.setdefault(name, write(df, name)))
+    n = 200_000
+    d = spark.range(n).select((F.col("id") % 2).alias("g"), (F.rand(3) * 1e6).alias("a"), F.randn(4).alias("b"))       # all values distinct
+    d = write(d, "distinct-doubles")
+    got = {(r["g"], r["cid"]): r["q"] for r in quantile_table(d, {"a": F.col("a"), "b": F.col("b")}, [0.25, 0.5], ["g"]).collect()}
+    for r in d.groupBy("g").agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5))).alias(c) for c in "ab"]).collect():
+        assert got[r["g"], 0] == r["a"] and got[r["g"], 1] == r["b"]
+    assert set(kept) == {"quantile-brackets", "quantile-values"}                # two passes over the rows
+    assert kept["quantile-values"].count() < 0.01 * 2 * n                       # of 2 n values
