@@ -91,8 +91,10 @@ def _slots(plan: DataFrame, n_slots: int, shard: int, seed: int) -> DataFrame:
         .groupBy("shard", "k").agg(F.count("*").alias("c"))
     )
     # repair: a source keeps its first `slots` draws; later draws go to sources that lack some
+    drawn = written(drawn, "drawn")
     drawn = prefix_sum(drawn.withColumn("bucket", F.floor(F.col("shard") / 1024)), ["k"], "bucket", ["shard"], "c", "at")
     held = drawn.join(plan.select("k", "slots"), "k").withColumn("kept", F.greatest(F.lit(0), F.least(F.col("c"), F.col("slots") - F.col("at"))))
+    held = written(held, "held")
     ranges = held.filter("kept > 0").select("k", "shard", F.col("at").alias("first"), (F.col("at") + F.col("kept") - 1).alias("last"))
     spare = held.filter("kept < c").select("shard", F.col("k").alias("donor"), (F.col("c") - F.col("kept")).alias("extra"))
     spare = prefix_sum(spare.withColumn("one", F.lit(0)).withColumn("bucket", F.floor(F.col("shard") / 1024)), ["one"], "bucket", ["shard", "donor"], "extra", "pos")
@@ -112,12 +114,9 @@ def _slots(plan: DataFrame, n_slots: int, shard: int, seed: int) -> DataFrame:
     return ranges.unionByName(moved)
 
 
-def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(documents with size, source_size, target, taken; draws of blocks).
-
-    draws: (k, shard, slot, epoch, block, words) - which block of which source fills a slot.
-    """
-    sized = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")   # the texts are read once
+def _mixed(docs: DataFrame, keep: Sequence[str], block: int, shard: int, weights: Sequence[int], cap: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(the documents along their source's stream, with ``keep``; the draws). Each is written, so that nothing is worked out twice."""
+    sized = written(docs.select("doc_id", "source", *keep, n_words(F.col("text")).alias("size")), "sizes")   # the texts are read once
     nb = max(1, math.ceil(sized.count() / BUCKET_ROWS))
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = (
@@ -126,10 +125,10 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, weights: Sequen
         .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
         .withColumn("rest", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("bigint"))
         .withColumn("slots", F.col("epochs") * F.col("blocks") + F.ceil(F.col("rest") / block))
-        .persist()
     )
+    plan = written(plan, "plan")
     n_slots = int(plan.agg(F.sum("slots")).first()[0] or 0)
-    ranges = _slots(plan, n_slots, shard, seed)
+    ranges = written(_slots(plan, n_slots, shard, seed), "ranges")
     slots = ranges.select("k", "shard", F.explode(F.sequence("first", "last")).alias("slot")).join(plan.select("k", "blocks", "slots", "source_size", "rest"), "k")
     epoch = F.floor(F.col("slot") / F.col("blocks"))
     at = swap_or_not(F.pmod(F.col("slot"), F.col("blocks")), F.col("blocks"), F.lit(seed), F.col("k"), F.col("epoch"))
@@ -137,21 +136,56 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, weights: Sequen
     last = (F.col("slot") == F.col("slots") - 1) & (F.col("rest") % block > 0)
     draws = slots.withColumn("epoch", epoch).withColumn("block", at).select(
         "k", "shard", "slot", "epoch", "block", F.when(last, F.least(whole, F.col("rest") % block)).otherwise(whole).alias("words"))
-    # words wanted of a block: `reads` whole reads, and one read of its first `part` words
-    is_part = F.col("words") < F.least(F.lit(block), F.col("source_size") - F.col("block") * block)
-    wanted = draws.join(plan.select("k", "source_size"), "k").groupBy("k", "block").agg(
-        F.sum(F.when(is_part, 0).otherwise(1)).alias("reads"), F.sum(F.when(is_part, F.col("words")).otherwise(0)).alias("part"))
     # documents along their source's stream
     named = plan.select(F.col("source").alias("of"), "k", "source_size", "target")
     rows = sized.join(named, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("size")), F.lit(nb)))
-    rows = prefix_sum(rows, ["k"], "bucket", ["doc_id", "size"], "size", "start").withColumn("row", F.struct("start", "doc_id", "size"))
-    pieces = rows.filter("size > 0").select("k", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
-    begin = F.greatest(F.col("start"), F.col("block") * block)
-    end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
+    rows = prefix_sum(rows, ["k"], "bucket", ["doc_id", "size"], "size", "start").drop("bucket")
+    return written(rows, "stream"), written(draws, "draws")
+
+
+def _pieces(rows: DataFrame, block: int) -> DataFrame:
+    """The documents cut at the block borders of their source's stream: (k, start, size, block, begin, end) in words."""
+    cut = F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block")
+    return rows.filter("size > 0").select("k", "start", "size", "source_size", cut).withColumns({
+        "begin": F.greatest(F.col("start"), F.col("block") * block), "end": F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)})
+
+
+def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(documents with size, source_size, target, taken; draws of blocks).
+
+    draws: (k, shard, slot, epoch, block, words) - which block of which source fills a slot.
+    """
+    rows, draws = _mixed(docs, [], block, shard, weights, cap, seed)
+    sizes = rows.groupBy("k").agg(F.max("source_size").alias("source_size"))
+    # words wanted of a block: `reads` whole reads, and one read of its first `part` words
+    is_part = F.col("words") < F.least(F.lit(block), F.col("source_size") - F.col("block") * block)
+    wanted = draws.join(sizes, "k").groupBy("k", "block").agg(
+        F.sum(F.when(is_part, 0).otherwise(1)).alias("reads"), F.sum(F.when(is_part, F.col("words")).otherwise(0)).alias("part"))
+    begin, end = F.col("begin"), F.col("end")
     part = F.greatest(F.lit(0), F.least(end - F.col("block") * block, F.col("part")) - (begin - F.col("block") * block))
-    taken = pieces.join(wanted, ["k", "block"]).groupBy("k", "start").agg(F.sum((end - begin) * F.col("reads") + part).alias("taken"))
+    taken = _pieces(rows, block).join(wanted, ["k", "block"]).groupBy("k", "start").agg(F.sum((end - begin) * F.col("reads") + part).alias("taken"))
     # a document of the stream is (k, start): only rows of size 0 share a start with another
     out = rows.join(taken, ["k", "start"], "left").select(
         "doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(F.lit(0)).cast("bigint").alias("taken"))
     return out, draws
+
+
+def shards(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed: int = 5) -> DataFrame:
+    """The mix itself: (shard, k, slot, block, words), one row per drawn block with its words in order.
+
+    Documents are packed into their source's blocks word by word and the blocks joined with the
+    draws by index; a block's last, partial draw holds its first words only.
+    """
+    listed = docs.withColumn("__words", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), 0))
+    rows, draws = _mixed(listed, ["__words"], block, shard, weights, cap, seed)
+    start, stop = F.col("start"), F.col("start") + F.col("size")
+
+    def piece(b: Column) -> Column:
+        begin, end = F.greatest(start, b * block), F.least(stop, (b + 1) * block)
+        return F.struct(b.alias("block"), begin.alias("begin"), F.slice("__words", (begin - start + 1).cast("int"), (end - begin).cast("int")).alias("words"))
+
+    cut = F.explode(F.transform(F.sequence(F.floor(start / block), F.floor((stop - 1) / block)), piece)).alias("p")
+    packed = rows.filter("size > 0").select("k", cut).select("k", "p.block", F.struct("p.begin", "p.words").alias("piece"))
+    blocks = packed.groupBy("k", "block").agg(F.flatten(F.transform(F.array_sort(F.collect_list("piece")), lambda p: p["words"])).alias("all"))
+    return draws.join(blocks, ["k", "block"]).select("shard", "k", "slot", "block", F.slice("all", F.lit(1), F.col("words").cast("int")).alias("words"))

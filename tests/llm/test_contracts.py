@@ -360,6 +360,22 @@ def test_mixing_hits_its_targets(spark, odd):
     assert mixing.mix(docs.limit(0))[0].count() == 0
 
 
+def test_mixed_shards_hold_the_words_taken(spark):
+    rng = np.random.default_rng(6)
+    sizes = {i: int(rng.integers(0, 900)) for i in range(60)}
+    docs = spark.createDataFrame([(i, " ".join(f"d{i}w{j}" for j in range(n)) if n else None, "abc"[i % 3] if i % 7 else None) for i, n in sizes.items()], "doc_id long, text string, source string")
+    out, draws = mixing.mix(docs)
+    held = mixing.shards(docs).collect()
+    assert len(held) == draws.count() and {r["slot"]: len(r["words"]) for r in held if r["k"] == 0} == {r["slot"]: r["words"] for r in draws.filter("k = 0").collect()}
+    got = defaultdict(int)
+    for r in held:
+        assert 0 < len(r["words"]) <= mixing.BLOCK
+        for w in r["words"]:
+            got[int(w[1:w.index("w")])] += 1
+    assert {r["doc_id"]: r["taken"] for r in out.collect() if r["taken"]} == dict(got)
+    assert mixing.shards(docs.limit(0)).count() == 0
+
+
 def test_swap_or_not_is_a_permutation(spark):
     for n in (1, 2, 3, 64, 101):
         at = mixing.swap_or_not(F.col("id"), F.lit(n).cast("bigint"), F.lit(7))
