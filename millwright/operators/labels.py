@@ -65,6 +65,7 @@ def milling_degradation(df: DataFrame, key: str = "rk", air="air", proc="proc",
     thr = osf_limit(col(tier))
     power = t * (r * F.lit(OMEGA))
     td = p - a
+    # --- fixed values: limits and weights of the degradation index ---
     wear_ratio = clip(w / 225.0, 0.0, 1.15)
     over_ratio = clip((w * t) / thr, 0.0, 1.15)
     thermal = clip((F.lit(10.0) - td) / 3.0, 0.0, 1.0) * clip((F.lit(1450.0) - r) / 250.0, 0.0, 1.0)

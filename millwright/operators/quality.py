@@ -163,6 +163,7 @@ class CleanerModel:
         return spark.createDataFrame(rows, schema)
 
     def report(self) -> dict:
+        # --- fixed values: names of the methods in the report ---
         return {
             "initial_rows": self.counts["initial_rows"],
             "cleaned_rows": self.counts["cleaned_rows"],

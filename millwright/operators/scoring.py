@@ -41,6 +41,7 @@ def milling_risk(df: DataFrame, air="air", proc="proc", rpm="rpm", torque="torqu
     pw = np_round(t * (r * F.lit(2.0 * math.pi) / F.lit(60.0)), 1)
     ov = np_round(w * t, 1)
     lim = osf_limit(F.coalesce(col(tier), F.lit("M")))
+    # --- fixed values: limits and slopes of the closed form ---
     twf = F.greatest(F.lit(0.0), (w - 175.0) / 55.0)
     hdf = F.when((td < 8.8) & (r < 1400), F.lit(0.82)).otherwise(
         F.greatest(F.lit(0.0), (F.lit(9.2) - td) / 4.0) * F.greatest(F.lit(0.0), (F.lit(1450.0) - r) / 250.0))
