@@ -1,8 +1,10 @@
 """What must not grow: the code of a label, the tasks that read a whole split, the passes over the texts."""
 
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from millwright.operators import labels as L
+from millwright.operators.lab import ModelLab
 
 
 def _plan(df) -> str:
@@ -20,3 +22,19 @@ def test_label_terms_are_written_out_once(spark):
     assert r["stress"] is None and r["health"] is None
     r = L.domain_stress_labels(t, [(n, 1.0, 1.0, 0.0, 9.0) for n in names]).first()
     assert abs(r["stress"] - (0.4 + 0.0 + 0.4 + 0.8 + 1.2 + 1.2 + 1.2) / 7) < 1e-12
+
+
+def test_a_fitting_sample_is_filtered_by_many_tasks(spark):
+    rows = spark.range(0, 400, 1, 8).select(F.col("id").cast("string").alias("rk"), (F.col("id") % 4 == 0).cast("int").alias("machine_failure"), F.col("id").cast("double").alias("x"))
+    ctx = ModelLab(rows, ["x"], fit_rows=40)
+    # a split of many files, as a large table has
+    path = ctx.split.inputFiles()[0].rsplit("/", 1)[0] + "-many"
+    ctx.split.repartition(8).write.parquet(path)
+    ctx._made["split"] = spark.read.parquet(path)
+    task = F.udf(lambda v: TaskContext.get().partitionId(), "int")
+    ctx._made["split"] = spark.read.parquet(path).withColumn("task", task("x"))
+    few = ctx.train
+    assert few.count() == 40 and few.rdd.getNumPartitions() == 1
+    keys = [r["rk"] for r in few.collect()]
+    assert keys == sorted(keys)
+    assert few.select("task").distinct().count() > 1       # else one task reads every file
