@@ -24,7 +24,7 @@ gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -128,7 +128,7 @@ def _compare(distance: int):
                     continue
                 if not len(homes):
                     continue
-                step = max(1, 2_000_000 // len(homes))
+                step = max(1, 250_000 // len(homes))
                 for at in range(lo, hi, step):
                     guests = fps[at:min(hi, at + step)]
                     near = np.bitwise_count(homes[None, :] ^ guests[:, None]) <= distance
@@ -164,9 +164,9 @@ def links(classes: DataFrame, distance: int = DISTANCE, homes: int = HOMES) -> D
     return rows.repartition("key").sortWithinPartitions("key", "visit", "fp").mapInPandas(_compare(distance), "a long, b long")
 
 
-def groups(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """(doc_id, fp, component, component_id) for every row: the group's smallest fingerprint and smallest id."""
-    marked = written(docs.select("doc_id", fingerprint(F.col("text"), shingle).alias("fp")), "fingerprints")
+def groups(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, fp, component, component_id, kept columns) for every row: the group's smallest fingerprint and smallest id."""
+    marked = written(docs.select("doc_id", *keep, fingerprint(F.col("text"), shingle).alias("fp")), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
     classes = written(marked.groupBy("fp").agg(first), "classes")
     parts = connected_components(links(classes.select("fp"), distance))
@@ -174,17 +174,20 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) ->
     named = written(named, "components")
     smallest = written(named.groupBy("component").agg(F.min("first").alias("first")), "smallest")
     labelled = written(named.select("fp", "component").join(smallest, "component").select("fp", "component", F.col("first.doc_id").alias("component_id")), "labelled")
-    return marked.join(labelled, "fp").select("doc_id", "fp", "component", "component_id")
+    return marked.join(labelled, "fp").select("doc_id", "fp", "component", "component_id", *keep)
 
 
 def deduplicate(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """The input rows of which one per group stays: that with the smallest id (of repeated rows, one)."""
-    found = written(groups(docs, shingle, distance), "groups")
-    chosen = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component", "doc_id", "fp").agg(F.count("*").alias("copies"))
-    keep = chosen.groupBy("component").agg(F.min(F.struct("fp", "doc_id", "copies")).alias("k"))
-    keep = written(keep.select(F.col("k.doc_id").alias("__id"), F.col("k.fp").alias("__of"), F.col("k.copies").alias("__copies")), "kept")
+    """The input rows of which one per group stays: that with the smallest id (of repeated rows, one).
+
+    Texts are fingerprinted once; the second pass finds the rows that stay by id and text hash, without Python.
+    """
+    tagged = docs.withColumn("__tag", F.xxhash64("text"))
+    found = written(groups(tagged, shingle, distance, ["__tag"]), "groups")
+    chosen = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component", "doc_id", "fp", "__tag").agg(F.count("*").alias("copies"))
+    keep = chosen.groupBy("component").agg(F.min(F.struct("fp", "doc_id", "__tag", "copies")).alias("k"))
+    keep = written(keep.select(F.col("k.doc_id").alias("__id"), F.col("k.__tag").alias("__of"), F.col("k.copies").alias("__copies")), "kept")
     columns = docs.columns
-    rows = docs.withColumn("__fp", fingerprint(F.col("text"), shingle))
-    kept = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__of")))
+    kept = tagged.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__tag") == F.col("__of")))
     once = kept.filter("__copies = 1").select(*columns)
     return once.unionByName(kept.filter("__copies > 1").dropDuplicates(["__id", "__of"]).select(*columns))

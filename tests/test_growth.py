@@ -3,6 +3,7 @@
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
+from millwright.llm import simhash
 from millwright.operators import labels as L
 from millwright.operators.lab import ModelLab
 
@@ -38,3 +39,13 @@ def test_a_fitting_sample_is_filtered_by_many_tasks(spark):
     keys = [r["rk"] for r in few.collect()]
     assert keys == sorted(keys)
     assert few.select("task").distinct().count() > 1       # else one task reads every file
+
+
+def test_texts_are_fingerprinted_once(spark, monkeypatch):
+    passes = []
+    once = simhash.fingerprint
+    monkeypatch.setattr(simhash, "fingerprint", lambda *a: passes.append(1) or once(*a))
+    docs = spark.createDataFrame([(1, "a b c d e", 9), (1, "a b c d e", 9), (1, "A b c d e", 9), (2, "a b c d e", 9), (3, None, 0), (None, "", 0), (4, "one two three four five six", 9)], "doc_id long, text string, n_chars long")
+    kept = sorted((r["doc_id"], r["text"].lower() if r["text"] else r["text"]) for r in simhash.deduplicate(docs).collect())
+    assert kept == [(1, "a b c d e"), (3, None), (4, "one two three four five six")]
+    assert len(passes) == 1
