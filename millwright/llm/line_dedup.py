@@ -9,10 +9,13 @@ a Jaccard similarity of ``JACCARD`` or more, and a line goes when an earlier one
 2. Equal lines fall into one class at once. Of every class only the prefix of n - ceil(0.8 n) + 1
    rarest tokens is shuffled: two lines that match share a prefix token.
 3. Classes under one token are ranked by their first occurrence. Every class is compared with
-   the first of its token, those still unmatched with ranks 2-3, then 4-7 and so on, so a
+   the first of its token, those still unmatched with ranks 2-5, then 6-21 and so on, so a
    large family of near copies is settled by its first members instead of by all its pairs,
-   and still no earlier match is missed. Length and positional filters apply before a pair is
-   formed; the rest is verified on the full token sets.
+   and still no earlier match is missed. Before a pair is formed it passes the length and
+   positional filters and a parity bitmap: each token flips one of ``64 * WORDS`` bits of its
+   class, so two classes differ in at least as many tokens as their bitmaps in bits. Members of
+   a family that only begin alike are told apart by it and make no pair; lines of over some 500
+   words fill it, and are told apart by their sets only. The rest is verified on the full token sets.
 
 Edge cases: null and empty texts have no line to remove; rows that repeat both id and text
 are one document, rows that share only the id are not; null ids order before all others; an
@@ -23,17 +26,20 @@ loses all its lines stays with an empty text.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millwright.llm.common import among, written
+from millwright.llm.common import written
 
 SHINGLE = 5
 JACCARD = 0.8
 CLASSES = 1 << 14
 BITS = 1 << 22
+WORDS = 4                   # longs of a class's parity bitmap
 FEW = 8                     # classes under a token whose pairs are all tried before any text is fetched
 _BLANKS = " \t\x0b\f\r"
 
@@ -71,7 +77,9 @@ def _shingles(df: DataFrame, grades: Column | None) -> DataFrame:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, row, line_no, line, line_id) of the lines with words."""
-    lines = docs.filter(F.length("text") > 0).select("doc_id", _row(docs).alias("row"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    # the row is hashed before its lines are dealt out, once a document instead of once a line
+    rows = docs.filter(F.length("text") > 0).select("doc_id", _row(docs).alias("row"), F.split("text", "\n").alias("all"))
+    lines = rows.select("doc_id", "row", F.posexplode("all").alias("line_no", "line"))
     return lines.filter(F.trim("line", F.lit(_BLANKS)) != "").withColumn("line_id", F.xxhash64(F.trim("line", F.lit(_BLANKS))))
 
 
@@ -96,12 +104,29 @@ def _shared(classes: DataFrame) -> DataFrame:
 
 def _pairs(probes: DataFrame, leaders: DataFrame, jaccard: float) -> DataFrame:
     """(line_id, other): classes that share a prefix token with an earlier one and pass the length and positional filters."""
-    other = leaders.select("token", F.col("line_id").alias("other"), F.col("rank").alias("o_rank"), F.col("n").alias("o_n"), F.col("i").alias("o_i"))
+    bitmap = [f"s{k}" for k in range(WORDS) if f"s{k}" in probes.columns]
+    other = leaders.select("token", F.col("line_id").alias("other"), F.col("rank").alias("o_rank"), F.col("n").alias("o_n"), F.col("i").alias("o_i"), *[F.col(c).alias(f"o_{c}") for c in bitmap])
     least = F.ceil(F.lit(jaccard / (1 + jaccard)) * (F.col("n") + F.col("o_n")) - 1e-9)      # common tokens that the similarity takes
     close = F.least("n", "o_n") >= jaccard * F.greatest("n", "o_n") - 1e-9
     room = F.least(F.col("n") - F.col("i"), F.col("o_n") - F.col("o_i"))                      # common tokens from this one on, at most
-    met = probes.join(other, "token").filter((F.col("o_rank") < F.col("rank")) & (F.col("line_id") != F.col("other")) & close & (room >= least))
-    return met.select("line_id", "other").distinct()
+    may = (F.col("o_rank") < F.col("rank")) & (F.col("line_id") != F.col("other")) & close & (room >= least)
+    if bitmap:
+        unlike = reduce(add, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"o_{c}"))) for c in bitmap])
+        may = may & (unlike <= F.col("n") + F.col("o_n") - 2 * least)                        # tokens in one of the two, at most
+    return probes.join(other, "token").filter(may).select("line_id", "other").distinct()
+
+
+def _bitmap() -> list[Column]:
+    """The parity bitmap of ``tokens``, as columns ``s0`` to ``s<WORDS - 1>``."""
+    return [F.expr(f"aggregate(tokens, 0L, (a, t) -> a ^ if(pmod(shiftrightunsigned(t, 6), {WORDS}) = {k}, shiftleft(1L, cast(t & 63 as int)), 0L))").alias(f"s{k}") for k in range(WORDS)]
+
+
+def _held(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The lines that may be wanted, by a table of ``BITS`` bits whatever the input: none is missed."""
+    at = F.pmod("line_id", F.lit(BITS))
+    word, bit = F.floor(at / 32).cast("int"), F.expr(f"shiftleft(1L, cast(pmod(line_id, {BITS}) % 32 as int))")
+    table = wanted.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("bits"))
+    return lines.join(F.broadcast(table), word == F.col("w")).filter(F.col("bits").bitwiseAND(bit) != 0).drop("w", "bits")
 
 
 def _token_sets(docs: DataFrame, shared: DataFrame, jaccard: float) -> DataFrame:
@@ -115,8 +140,7 @@ def _token_sets(docs: DataFrame, shared: DataFrame, jaccard: float) -> DataFrame
     ids = pairs.select("line_id").unionByName(pairs.select(F.col("other").alias("line_id"))).unionByName(shared.filter(F.col("family") > FEW).select("line_id")).distinct()
     wanted = written(ids, "wanted-lines")
     # the bit table only spares the shuffle lines that are not wanted; the join decides
-    lines = _lines(docs).select("line_id", "line")
-    lines = lines.filter(among(wanted, "line_id", BITS)).groupBy("line_id").agg(F.first("line").alias("line"))
+    lines = _held(_lines(docs).select("line_id", "line"), wanted).groupBy("line_id").agg(F.first("line").alias("line"))
     return written(_shingles(lines.join(wanted, "line_id"), None).select("line_id", "tokens"), "token-sets")
 
 
@@ -128,6 +152,8 @@ def _matched(docs: DataFrame, classes: DataFrame, jaccard: float) -> DataFrame:
     if deepest < 2:
         return done
     sets = _token_sets(docs, shared, jaccard)
+    # classes without a set have no one to pair up with
+    shared = written(shared.join(sets.select("line_id", *_bitmap()), "line_id"), "sketched-tokens")
     low = high = 1
     while low < deepest:
         probes = shared.filter(F.col("rank") > low).join(done, "line_id", "left_anti")
@@ -137,7 +163,7 @@ def _matched(docs: DataFrame, classes: DataFrame, jaccard: float) -> DataFrame:
         common = F.size(F.array_intersect("a", "b"))
         similar = full.filter(common >= jaccard * (F.size("a") + F.size("b") - common) - 1e-9).select("line_id").distinct()
         done = written(done.unionByName(similar), "matched-lines")
-        low, high = high + 1, 2 * high + 1
+        low, high = high + 1, 4 * high + 1
     return done
 
 
