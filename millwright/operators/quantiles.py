@@ -3,19 +3,21 @@
 Spark's exact ``percentile`` keeps a value→count map of the whole group in one task
 (for a global aggregate: every distinct value of the table in one reducer).  Here:
 
-  1. one pass builds a mergeable quantile summary per (group, column) - ``percentile_approx``,
-     Greenwald–Khanna, rank error at most n / ``ACCURACY`` - and asks it for a value on either
-     side of each wanted rank, ``SLACK`` errors away: a bracket that surely holds it;
+  1. one pass builds a mergeable quantile sketch of every value per (group, column) - KLL of width
+     ``WIDTH``, rank error under 0.07 % of the rows at 99 % - and asks it for a value on either side
+     of each wanted rank, ``AWAY`` of the rows (three errors) away: a bracket that should hold it;
   2. one exact pass counts what lies below each bracket (one number per task) and the values
-     inside it. Only these, about 2·SLACK/ACCURACY of the rows, are shuffled (all of a group of
-     fewer than 2·ACCURACY/SLACK rows);
+     inside it. Only these, about 2·AWAY of the rows, are shuffled (all of a group of fewer than
+     2/AWAY rows). The counts tell whether every bracket holds its ranks. Should one miss, the pass
+     is repeated with the brackets of ``percentile_approx``, whose bound on the error is certain
+     but which costs several times as much;
   3. a bracket is cut into ``PARTS`` of equal width; part totals tell which part holds the rank,
      and only that part's values are ordered, so no task sorts a whole bracket.
 
 NaN and null are missing.  The result is interpolated as Spark's ``percentile`` does
 (position (n−1)·p between the floor and ceil order statistics), so values equal the
-built-in aggregate.  Two actions, whatever the number of columns; a rank outside its bracket
-(impossible by the summary's bound) would be an error, not a wrong value.
+built-in aggregate.  Two actions and a look at the counts, whatever the number of columns; a rank
+outside a certain bracket (impossible by its bound) would be an error, not a wrong value.
 """
 
 from __future__ import annotations
@@ -28,7 +30,9 @@ from pyspark.sql import functions as F
 
 from millwright.session import materialize
 
-ACCURACY = 10_000
+WIDTH = 8192
+AWAY = 0.002
+ACCURACY = 10_000           # of the certain brackets
 SLACK = 4
 PARTS = 256
 
@@ -42,14 +46,21 @@ def _renamed(df: DataFrame, keys: list[str], tag: str) -> tuple[DataFrame, list[
     return df.withColumnsRenamed(names), list(names.values())
 
 
-def _brackets(d: DataFrame, groups: list[str], k: int, probs: list[float]) -> DataFrame:
+def _brackets(d: DataFrame, groups: list[str], k: int, probs: list[float], certain: bool = False) -> DataFrame:
     """One row per group: for column i its count ``n<i>``, and ``lo<i>`` / ``hi<i>``, a value on either side of each probability."""
-    away = SLACK / ACCURACY
-    asked = F.array(*[F.lit(min(1.0, max(0.0, p + side))) for side in (-away, away) for p in probs])
-    aggs = []
-    for i in range(k):
-        aggs += [F.count(f"v{i}").alias(f"n{i}"), F.percentile_approx(f"v{i}", asked, F.lit(ACCURACY)).alias(f"at{i}"), F.min(f"v{i}").alias(f"min{i}"), F.max(f"v{i}").alias(f"max{i}")]
-    got = d.groupBy(*groups).agg(*aggs)
+    away = SLACK / ACCURACY if certain else AWAY
+    sides = [min(1.0, max(0.0, p + side)) for side in (-away, away) for p in probs]
+    if certain:
+        asked = F.array(*map(F.lit, sides))
+        got = d.groupBy(*groups).agg(*[a for i in range(k) for a in (
+            F.count(f"v{i}").alias(f"n{i}"), F.percentile_approx(f"v{i}", asked, F.lit(ACCURACY)).alias(f"at{i}"), F.min(f"v{i}").alias(f"min{i}"), F.max(f"v{i}").alias(f"max{i}"))])
+    else:
+        # a sketch knows the number, the least and the greatest of its values; an empty one cannot be asked for a value
+        asked = F.array(*map(F.lit, [*sides, 0.0, 1.0]))
+        got = d.groupBy(*groups).agg(*[F.kll_sketch_agg_double(f"v{i}", F.lit(WIDTH)).alias(f"at{i}") for i in range(k)])
+        got = got.withColumns({f"n{i}": F.kll_sketch_get_n_double(f"at{i}") for i in range(k)})
+        got = got.withColumns({f"at{i}": F.when(F.col(f"n{i}") > 0, F.kll_sketch_get_quantile_double(f"at{i}", asked)) for i in range(k)})
+        got = got.withColumns({f"{name}{i}": F.col(f"at{i}")[len(sides) + j] for i in range(k) for j, name in enumerate(("min", "max"))})
     few = lambda i: F.col(f"n{i}") < 2 / away      # noqa: E731  too few rows for the slack to span a rank on either side: all of them
     low = lambda i, j, p: F.when(few(i) | F.lit(p <= away), F.col(f"min{i}")).otherwise(F.col(f"at{i}")[j])
     high = lambda i, j, p: F.when(few(i) | F.lit(p >= 1 - away), F.col(f"max{i}")).otherwise(F.col(f"at{i}")[len(probs) + j])
@@ -59,12 +70,10 @@ def _brackets(d: DataFrame, groups: list[str], k: int, probs: list[float]) -> Da
     return got.select(*groups, *out)
 
 
-def quantile_table(df: DataFrame, values: dict[str, Column], probs: list[float], groups: list[str] | None = None) -> DataFrame:
-    """(groups…, cid, q): the quantiles of each value column (cid: its number) per group; absent where all are missing."""
-    groups, k = list(groups or []), len(values)
+def _inside(d: DataFrame, groups: list[str], k: int, probs: list[float], certain: bool = False) -> DataFrame:
+    """(groups…, cid, slot, v, c): how often a value inside a bracket occurs, and what lies below (v null), with the bracket's ranks and the value's part."""
     keys = [*groups, "cid"]
-    d = df.select(*groups, *[F.nanvl(v.cast("double"), F.lit(None)).alias(f"v{i}") for i, v in enumerate(values.values())])
-    held, hkeys = _renamed(materialize(_brackets(d, groups, k, probs), "quantile-brackets"), groups, "h_")
+    held, hkeys = _renamed(materialize(_brackets(d, groups, k, probs, certain), "quantile-brackets"), groups, "h_")
     rows = d.join(held, _same(groups, hkeys)) if groups else d.crossJoin(held)
 
     def item(i: int, j: int) -> Column:
@@ -89,7 +98,24 @@ def quantile_table(df: DataFrame, values: dict[str, Column], probs: list[float],
     width = F.col("hi") / 2 - F.col("lo") / 2
     place = F.when(width > 0, F.nanvl((F.col("v") / 2 - F.col("lo") / 2) / width * PARTS, F.lit(0.0))).otherwise(0.0)
     part = F.when(F.col("v").isNull(), -1).otherwise(F.least(F.lit(float(PARTS)), F.greatest(F.lit(0.0), place)).cast("int"))
-    inside = materialize(inside.withColumn("part", part), "quantile-values")
+    return materialize(inside.withColumn("part", part), "quantile-values")
+
+
+def _missed(inside: DataFrame, keys: list[str]) -> bool:
+    """Whether a wanted rank lies outside its bracket."""
+    below, upto = F.coalesce(F.sum(F.when(F.col("part") < 0, F.col("c"))), F.lit(0)), F.sum("c")
+    held = inside.groupBy(*keys, "slot").agg(((F.first("first") < below) | (F.first("second") >= upto)).alias("missed"))
+    return not held.filter("missed").isEmpty()
+
+
+def quantile_table(df: DataFrame, values: dict[str, Column], probs: list[float], groups: list[str] | None = None) -> DataFrame:
+    """(groups…, cid, q): the quantiles of each value column (cid: its number) per group; absent where all are missing."""
+    groups, k = list(groups or []), len(values)
+    keys = [*groups, "cid"]
+    d = df.select(*groups, *[F.nanvl(v.cast("double"), F.lit(None)).alias(f"v{i}") for i, v in enumerate(values.values())])
+    inside = _inside(d, groups, k, probs)
+    if _missed(inside, keys):
+        inside = _inside(d, groups, k, probs, certain=True)
 
     by = Window.partitionBy(*keys, "slot").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = inside.groupBy(*keys, "slot", "part").agg(F.sum("c").alias("t"), F.first("first").alias("first"), F.first("second").alias("second"))

@@ -66,3 +66,37 @@ def test_only_rows_inside_brackets_are_exchanged(spark, monkeypatch):
         assert got[r["g"], 0] == r["a"] and got[r["g"], 1] == r["b"]
     assert set(kept) == {"quantile-brackets", "quantile-values"}                # two passes over the rows
     assert kept["quantile-values"].count() < 0.01 * 2 * n                       # of 2 n values
+
+
+def test_a_bracket_that_misses_its_rank_is_found_out(spark, monkeypatch):
+    """The sketch may err; the counts tell, and the brackets are made again by the sure way."""
+    from millwright.operators import quantiles
+
+    made = []
+    brackets = quantiles._brackets
+
+    def misled(d, groups, k, probs, certain=False):
+        made.append(certain)
+        got = brackets(d, groups, k, probs, certain)
+        return got if certain else got.withColumn("lo0", F.transform("lo0", lambda v: v + 200)).withColumn("hi0", F.transform("hi0", lambda v: v + 200))
+
+    monkeypatch.setattr(quantiles, "_brackets", misled)
+    d = spark.range(20000).select((F.col("id") * 7919 % 20000).cast("double").alias("a"), (F.col("id") % 4).cast("double").alias("c"))
+    assert exact_quantiles(d, {"a": F.col("a"), "c": F.col("c")}, [0.25, 0.5]) == {"a": [4999.75, 9999.5], "c": [0.75, 1.5]}
+    assert made == [False, True]
+
+
+def test_large_groups_with_infinities_take_one_sketch_pass(spark, monkeypatch):
+    """The costly ``percentile_approx`` is not run over the rows; a group without values has no row."""
+    from millwright.operators import quantiles
+
+    plans = []
+    write = quantiles.materialize
+    monkeypatch.setattr(quantiles, "materialize", lambda df, name: plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or write(df, name))
+    inf = float("inf")
+    d = spark.range(12000).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 3 < 2, F.when(F.col("id") % 5 == 0, F.lit(inf)).when(F.col("id") % 5 == 1, F.lit(-inf)).otherwise(F.rand(9) - 0.5)).alias("a"))
+    d = write(d, "infinite-doubles")
+    got = {r["g"]: list(r["q"]) for r in quantile_table(d, {"a": F.col("a")}, PROBS, ["g"]).collect()}
+    ref = {r["g"]: list(r["a"]) for r in d.filter("g < 2").groupBy("g").agg(F.percentile("a", F.array(*map(F.lit, PROBS))).alias("a")).collect()}
+    assert got == ref and set(got) == {0, 1}
+    assert [n for n, _ in plans] == ["quantile-brackets", "quantile-values"] and not any("percentile_approx" in p for _, p in plans)
