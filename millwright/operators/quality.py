@@ -3,12 +3,14 @@
 ``Cleaner.fit`` runs a fixed number of aggregate actions regardless of the number
 of sensor columns:
 
-  1. the de-duplicated table (persisted) and its statistics: row counts, missing counts, mean,
-     sample std, tier mode - grouped by tier, then one row,
-  2. exact medians, overall and per tier after the tier fill, in one call (``quantiles``: a
-     sketch and an exact pass); the tiers' are a written table,
-  3. quartiles of the imputed values, likewise,
-  4. audit counts (Tukey, z) and after-cleaning moments — one row.
+  1. the input is written once with a hash of each row; rows are counted by it, and only those whose
+     hash occurs again are grouped by all their columns (``_distinct``),
+  2. statistics of the distinct rows: row counts, missing counts, mean,
+     sample std, tier mode and quantile sketches - grouped by tier, then one row,
+  3. exact medians, overall and per tier after the tier fill, in one pass (``quantiles``); the
+     tiers' are a written table,
+  4. quartiles of the imputed values (a sketch and an exact pass),
+  5. audit counts (Tukey, z) and after-cleaning moments — one row.
 
 ``CleanerModel.transform`` is a projection (``coalesce`` / ``least`` / ``greatest`` /
 ``rint``) over a join with the table of tier medians, whose size Spark knows; it also
@@ -19,13 +21,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millwright.functions.exprs import clip, col, lower_name_rounds_to_int, np_round
-from millwright.operators.quantiles import exact_quantiles, quantile_table, wide
+from millwright.operators.quantiles import exact_quantiles, quantile_table, sketch, wide
 from millwright.session import materialize
 
 
@@ -59,6 +60,34 @@ def drop_exact_duplicates(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
+#: more repeated hashes than this, or a larger share of repeated rows, and all rows are grouped
+REPEATED, SHARE = 1 << 20, 0.1
+
+
+def _grouped(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The distinct rows with their copy counts; hot copies are combined map-side."""
+    return df.groupBy(*[col(c) for c in columns]).agg(F.count(F.lit(1)).alias("__copies"))
+
+
+def _distinct(df: DataFrame) -> DataFrame:
+    """The distinct rows of ``df`` with their copy counts ``__copies``, from written tables.
+
+    The input is read once and written, so that each pass reads its columns only. Rows are counted by a 64-bit hash of all
+    columns: a hash that occurs once is a row without copies (equal rows have equal hashes); only the others, chance meetings
+    included, are grouped by the columns themselves. Where copies are many, all rows are grouped.
+    """
+    rows = materialize(df.withColumn("__row", F.xxhash64(*[col(c) for c in df.columns])), "hashed-rows")
+    hashes = rows.groupBy("__row").agg(F.count(F.lit(1)).alias("n"))
+    repeated = materialize(hashes.groupBy(F.when(F.col("n") > 1, F.col("__row")).alias("__row")).agg(F.sum("n").alias("n")), "repeated-rows")
+    r = repeated.agg(F.count("__row").alias("hashes"), F.sum("n").alias("all"), F.sum(F.when(F.col("__row").isNotNull(), F.col("n"))).alias("rows")).first()
+    if r["hashes"] > REPEATED or (r["rows"] or 0) > SHARE * (r["all"] or 0):
+        return materialize(_grouped(rows, df.columns), "distinct-rows")
+    repeated = F.broadcast(repeated.filter("__row is not null").select("__row"))      # at most REPEATED rows
+    copied = materialize(_grouped(rows.join(repeated, "__row", "left_semi"), df.columns), "copied-rows")
+    single = rows.join(repeated, "__row", "left_anti").drop("__row").withColumn("__copies", F.lit(1).cast("long"))
+    return single.unionByName(copied)
+
+
 @dataclass
 class CleanerModel:
     sensors: list[str]
@@ -197,42 +226,37 @@ class Cleaner:
         self.dedup = dedup
 
     def fit(self, df: DataFrame) -> CleanerModel:
-        model, _ = self.fit_dedup(df)
-        self._cached.unpersist()
-        return model
+        return self.fit_dedup(df)[0]
 
     def fit_dedup(self, df: DataFrame) -> tuple[CleanerModel, DataFrame]:
-        """Fit and also return the de-duplicated input, persisted once and shared by every
-        statistics pass and by the caller's ``transform`` (the cached frame is ``self._cached``)."""
+        """Fit and also return the de-duplicated input, a written table shared by every statistics pass and by the
+        caller's ``transform``."""
         tier_col = self.tier_col if (self.tier_col and self.tier_col in df.columns) else None
-        if self.dedup:
-            # one grouped pass (map-side combined) gives the distinct rows with their copy counts
-            g = df.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__copies"))
-        else:
-            g = df.withColumn("__copies", F.lit(1).cast("long"))
-        self._cached = g.persist(StorageLevel.MEMORY_AND_DISK)
-        return self._fit_on(self._cached, tier_col), self._cached.drop("__copies")
+        counted = _distinct(df) if self.dedup else materialize(df, "rows").withColumn("__copies", F.lit(1).cast("long"))
+        return self._fit_on(counted, tier_col), counted.drop("__copies")
 
     def _stats(self, counted: DataFrame, tier_col: str | None):
-        """One row: initial rows n, distinct rows m, missing tiers, the mode, and per sensor its missing count m<i>,
-        mean a<i> and sample std s<i>; first per tier, so that the mode needs no pass of its own."""
+        """(row, table): the row has initial rows n, distinct rows m, missing tiers, the mode, and per sensor its missing count m<i>,
+        mean a<i> and sample std s<i>; the table is its first step, per tier ``__t``, with the sketches at<i>, so that neither they nor the mode need a pass."""
         parts, aggs = [F.sum("__copies").alias("__n"), F.count(F.lit(1)).alias("__m")], []
         for i, c in enumerate(self.sensors):
             v = numeric_cast(c)
-            parts += [F.count(v).alias(f"c{i}"), F.avg(v).alias(f"a{i}"), F.var_pop(v).alias(f"v{i}")]
+            parts += [F.count(v).alias(f"c{i}"), F.avg(v).alias(f"a{i}"), F.var_pop(v).alias(f"v{i}"), *([sketch(v).alias(f"at{i}")] if self.exact else [])]
         tiers = counted.groupBy((col(tier_col) if tier_col else F.lit("")).alias("__t")).agg(*parts)
+        tiers = materialize(tiers, "tier-statistics")
         for i in range(len(self.sensors)):
             n, mean, var = (F.col(f"{x}{i}") for x in "cav")
             total, average = F.sum(n), F.sum(n * mean) / F.nullif(F.sum(n), F.lit(0))
             spread = F.sum(n * var) + F.greatest(F.lit(0.0), F.sum(n * mean * mean) - total * average * average)
             aggs += [(F.sum("__m") - total).alias(f"m{i}"), average.alias(f"a{i}"), F.sqrt(spread / F.nullif(total - 1, F.lit(0))).alias(f"s{i}")]
         named = F.when(F.col("__t").isNotNull(), F.struct((-F.col("__m")).alias("n"), F.col("__t").alias("t")))
-        return tiers.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("n"), F.coalesce(F.sum("__m"), F.lit(0)).alias("m"),
+        row = tiers.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("n"), F.coalesce(F.sum("__m"), F.lit(0)).alias("m"),
                          F.coalesce(F.sum(F.when(F.col("__t").isNull(), F.col("__m"))), F.lit(0)).alias("tier_missing"), F.min(named)["t"].alias("mode"), *aggs).first()
+        return row, tiers
 
     def _fit_on(self, counted: DataFrame, tier_col: str | None) -> CleanerModel:
         ex, work = self.exact, counted.drop("__copies")
-        g = self._stats(counted, tier_col)
+        g, tiers = self._stats(counted, tier_col)
         counts = {"initial_rows": int(g["n"]), "cleaned_rows": int(g["m"]), "duplicates_removed": int(g["n"] - g["m"]), "tier_missing": int(g["tier_missing"]) if tier_col else 0}
         before = {}
         for i, c in enumerate(self.sensors):
@@ -244,8 +268,10 @@ class Cleaner:
         # medians, overall and per tier after the tier fill: every row counts in its tier and in the whole
         vals = {c: numeric_cast(c) for c in self.sensors}
         if ex and tier_col:
-            scopes = F.explode(F.array(F.struct(F.lit(False).alias("whole"), model.tier_expr().alias("tier")), F.struct(F.lit(True).alias("whole"), F.lit(None).cast("string").alias("tier")))).alias("__scope")
-            both = materialize(wide(quantile_table(work.withColumn("__scope", scopes), vals, [0.5], ["__scope"]), self.sensors, ["__scope"]), "medians")
+            scopes = lambda tier: F.explode(F.array(F.struct(F.lit(False).alias("whole"), tier.alias("tier")), F.struct(F.lit(True).alias("whole"), F.lit(None).cast("string").alias("tier")))).alias("__scope")
+            made = tiers.withColumn("__scope", scopes(F.coalesce("__t", F.lit(tier_fill))))
+            both = quantile_table(work.withColumn("__scope", scopes(model.tier_expr())), vals, [0.5], ["__scope"], sketches=made)
+            both = materialize(wide(both, self.sensors, ["__scope"]), "medians")
             model.tier_table = both.filter(~F.col("__scope.whole")).select(F.col("__scope.tier").alias("tier"), *[col(c) for c in self.sensors])
             whole = both.filter("__scope.whole").select(*[col(c) for c in self.sensors]).first()
             mid = {c: whole[c] if whole is not None else None for c in self.sensors}

@@ -46,8 +46,16 @@ def _renamed(df: DataFrame, keys: list[str], tag: str) -> tuple[DataFrame, list[
     return df.withColumnsRenamed(names), list(names.values())
 
 
-def _brackets(d: DataFrame, groups: list[str], k: int, probs: list[float], certain: bool = False) -> DataFrame:
-    """One row per group: for column i its count ``n<i>``, and ``lo<i>`` / ``hi<i>``, a value on either side of each probability."""
+def sketch(values: Column) -> Column:
+    """A mergeable sketch of a column's values, for ``quantile_table(sketches=...)``."""
+    return F.kll_sketch_agg_double(values, F.lit(WIDTH))
+
+
+def _brackets(d: DataFrame, groups: list[str], k: int, probs: list[float], certain: bool = False, sketched: bool = False) -> DataFrame:
+    """One row per group: for column i its count ``n<i>``, and ``lo<i>`` / ``hi<i>``, a value on either side of each probability.
+
+    ``sketched``: the rows of ``d`` are sketches ``at<i>``, to be merged, instead of values ``v<i>``.
+    """
     away = SLACK / ACCURACY if certain else AWAY
     sides = [min(1.0, max(0.0, p + side)) for side in (-away, away) for p in probs]
     if certain:
@@ -57,7 +65,7 @@ def _brackets(d: DataFrame, groups: list[str], k: int, probs: list[float], certa
     else:
         # a sketch knows the number, the least and the greatest of its values; an empty one cannot be asked for a value
         asked = F.array(*map(F.lit, [*sides, 0.0, 1.0]))
-        got = d.groupBy(*groups).agg(*[F.kll_sketch_agg_double(f"v{i}", F.lit(WIDTH)).alias(f"at{i}") for i in range(k)])
+        got = d.groupBy(*groups).agg(*[(F.kll_merge_agg_double(f"at{i}") if sketched else sketch(F.col(f"v{i}"))).alias(f"at{i}") for i in range(k)])
         got = got.withColumns({f"n{i}": F.kll_sketch_get_n_double(f"at{i}") for i in range(k)})
         got = got.withColumns({f"at{i}": F.when(F.col(f"n{i}") > 0, F.kll_sketch_get_quantile_double(f"at{i}", asked)) for i in range(k)})
         got = got.withColumns({f"{name}{i}": F.col(f"at{i}")[len(sides) + j] for i in range(k) for j, name in enumerate(("min", "max"))})
@@ -70,10 +78,11 @@ def _brackets(d: DataFrame, groups: list[str], k: int, probs: list[float], certa
     return got.select(*groups, *out)
 
 
-def _inside(d: DataFrame, groups: list[str], k: int, probs: list[float], certain: bool = False) -> DataFrame:
+def _inside(d: DataFrame, groups: list[str], k: int, probs: list[float], certain: bool = False, sketches: DataFrame | None = None) -> DataFrame:
     """(groups…, cid, slot, v, c): how often a value inside a bracket occurs, and what lies below (v null), with the bracket's ranks and the value's part."""
     keys = [*groups, "cid"]
-    held, hkeys = _renamed(materialize(_brackets(d, groups, k, probs, certain), "quantile-brackets"), groups, "h_")
+    brackets = _brackets(d, groups, k, probs, certain) if certain or sketches is None else _brackets(sketches, groups, k, probs, sketched=True)
+    held, hkeys = _renamed(materialize(brackets, "quantile-brackets"), groups, "h_")
     rows = d.join(held, _same(groups, hkeys)) if groups else d.crossJoin(held)
 
     def item(i: int, j: int) -> Column:
@@ -108,12 +117,16 @@ def _missed(inside: DataFrame, keys: list[str]) -> bool:
     return not held.filter("missed").isEmpty()
 
 
-def quantile_table(df: DataFrame, values: dict[str, Column], probs: list[float], groups: list[str] | None = None) -> DataFrame:
-    """(groups…, cid, q): the quantiles of each value column (cid: its number) per group; absent where all are missing."""
+def quantile_table(df: DataFrame, values: dict[str, Column], probs: list[float], groups: list[str] | None = None, sketches: DataFrame | None = None) -> DataFrame:
+    """(groups…, cid, q): the quantiles of each value column (cid: its number) per group; absent where all are missing.
+
+    ``sketches``: (groups…, at0, at1…) made with ``sketch`` from the same values, any number of rows a group; they
+    spare the pass that builds them.
+    """
     groups, k = list(groups or []), len(values)
     keys = [*groups, "cid"]
     d = df.select(*groups, *[F.nanvl(v.cast("double"), F.lit(None)).alias(f"v{i}") for i, v in enumerate(values.values())])
-    inside = _inside(d, groups, k, probs)
+    inside = _inside(d, groups, k, probs, sketches=sketches)
     if _missed(inside, keys):
         inside = _inside(d, groups, k, probs, certain=True)
 
