@@ -80,3 +80,16 @@ def test_a_query_asks_only_cells_within_its_bound(spark, monkeypatch):
     for i in range(0, 1200, 37):
         order = [j for j in np.lexsort((np.arange(1200), np.round(np.sqrt(((x[i] - x) ** 2).sum(axis=1)), 9))) if j != i][:3]
         assert [got[f"k{i:04d}", r + 1] for r in range(3)] == [f"k{j:04d}" for j in order]
+
+
+def test_explanations_cross_no_exchange(spark):
+    """Every row of attributions was shuffled by its key to meet its score, and written twice."""
+    ctx = ModelLab(_rows(spark, 400), ["a", "b", "c"], cfg=SMALL)
+    ctx._made["champion"] = M.LEAFY
+    ctx._made[f"model-{M.LEAFY}"] = M.fit_leafy(ctx.train, ctx.features, SMALL)
+    d, name = Q.explained(spark, ctx)
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert name == M.LEAFY and "Join" not in plan and "Repartition" in plan
+    got = d.toPandas()
+    margin = got["base"] + np.stack(got["shap"]).sum(axis=1)
+    assert len(got) == 400 and np.abs(1 / (1 + np.exp(-margin)) - got["score"]).max() < 1e-9
