@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from millwright.functions.exprs import clip, col, hash_normal, lower_name_rounds_to_int, np_round
+from millwright.functions.exprs import clip, col, lower_name_rounds_to_int, md5_normal, np_round
 from millwright.operators.scoring import generic_risk
 
 HISTORY = 32
@@ -50,14 +50,14 @@ def perturbed_replicas(df: DataFrame, sensors: list[str], ranges: dict[str, dict
     """K replicas per row: v + 0.04·std·N(0,1) (hash-normal on key#replica), clamped to [min, max],
     rounded by name (integer for rpm/wear/cycle/hours, else 2 dp)."""
     d = df.withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    # in steps of named columns: the draw names the md5 four times and ``clip`` the value twice, so written out
+    # in one expression a row would work eight md5s out per sensor
     rkey = F.concat(col(key).cast("string"), F.lit("#"), F.col("replica").cast("string"))
-    out = {}
-    for c in sensors:
-        r = ranges[c]
-        v = col(c) + F.lit(0.04 * r["std"]) * hash_normal(rkey, c)
-        v = clip(v, r["min"], r["max"])
-        out[c] = np_round(v, 0) if lower_name_rounds_to_int(c) else np_round(v, 2)
-    return d.withColumns(out)
+    d = d.withColumns({f"__md5_{i}": F.md5(F.concat(rkey, F.lit("|"), F.lit(c))) for i, c in enumerate(sensors)})
+    d = d.withColumns({f"__v_{i}": col(c) + F.lit(0.04 * ranges[c]["std"]) * md5_normal(F.col(f"__md5_{i}")) for i, c in enumerate(sensors)})
+    d = d.withColumns({f"__v_{i}": clip(f"__v_{i}", ranges[c]["min"], ranges[c]["max"]) for i, c in enumerate(sensors)})
+    d = d.withColumns({c: np_round(f"__v_{i}", 0 if lower_name_rounds_to_int(c) else 2) for i, c in enumerate(sensors)})
+    return d.drop(*[f"__md5_{i}" for i in range(len(sensors))], *[f"__v_{i}" for i in range(len(sensors))])
 
 
 # ----------------------------------------------------------------------------- scoring used by T3–T5

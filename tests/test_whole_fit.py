@@ -93,3 +93,17 @@ def test_explanations_cross_no_exchange(spark):
     got = d.toPandas()
     margin = got["base"] + np.stack(got["shap"]).sum(axis=1)
     assert len(got) == 400 and np.abs(1 / (1 + np.exp(-margin)) - got["score"]).max() < 1e-9
+
+
+def test_a_replica_works_out_one_md5_a_sensor(spark):
+    from millwright.functions.exprs import clip, hash_normal, np_round
+    from millwright.streaming import monitor as T
+
+    d = spark.createDataFrame([("a", 1.5, 100.0), ("b", None, 300.0), (None, 2.5, None)], "rk string, air double, rpm double")
+    rng = {c: {"std": 2.0, "min": 0.0, "max": 200.0} for c in ("air", "rpm")}
+    got = T.perturbed_replicas(d, ["air", "rpm"], rng, 2)
+    assert got.columns == ["rk", "air", "rpm", "replica"]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 2
+    key = F.concat(F.col("rk"), F.lit("#"), F.col("replica").cast("string"))
+    want = d.withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(1)))).select("rk", *[np_round(clip(F.col(c) + F.lit(0.04 * 2.0) * hash_normal(key, c), 0.0, 200.0), n).alias(c) for c, n in (("air", 2), ("rpm", 0))], "replica")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
